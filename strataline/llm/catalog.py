@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module of this subpackage that defines it
 MODULES = {
+    "op5_byte_bpe": "bpe",
     "op3_language_id": "language",
 
     "op8_url_filter": "urls",

@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module of this subpackage that defines it
 MODULES = {
+    "op6_simhash": "simhash",
     "op9_packing": "packing",
     "op5_byte_bpe": "bpe",
     "op3_language_id": "language",

@@ -168,3 +168,50 @@ def window_starts(first: np.ndarray, size: int) -> np.ndarray:
     np.add.at(mark, first[1:], -1)
     ok &= np.cumsum(mark[:-1]) == 0
     return np.flatnonzero(ok)
+
+
+# ---------------------------------------------------------------- packed numbers and shared files
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Unsigned integers as compressed byte planes."""
+    v = np.ascontiguousarray(values)
+    planes = v.view(np.uint8).reshape(-1, v.dtype.itemsize).T.tobytes() if len(v) else b""
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def expand(blob: bytes, n: int, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(blob, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(dtype).ravel() if n else np.zeros(0, dtype)
+
+
+def filesystem(uri: str):
+    """A pyarrow file system and the path in it; plain paths are local."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def write_file(uri: str, parts) -> int:
+    """Write under a temporary name in the same folder, then rename: readers see whole files only. Returns the size."""
+    fs, path = filesystem(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    temporary = f"{path.rpartition('/')[0]}/.{path.rpartition('/')[2]}.{uuid.uuid4().hex}.tmp"
+    size = 0
+    with fs.open_output_stream(temporary) as out:
+        for p in parts:
+            out.write(p)
+            size += len(p)
+    fs.move(temporary, path)
+    return size
+
+
+def read_file(uri: str) -> bytes | None:
+    """Content of a shared file, or None if there is none."""
+    fs, path = filesystem(uri)
+    try:
+        with fs.open_input_file(path) as f:
+            return f.read()
+    except FileNotFoundError:
+        return None

@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module of this subpackage that defines it
 MODULES = {
+    "op7_warc": "warc",
     "op2_substring_dedup": "substring",
     "op6_simhash": "simhash",
     "op9_packing": "packing",

@@ -23,7 +23,10 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share; a default of our own only where the session names none."""
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
-    return (found or "file:///tmp/checkpoints/strataline").rstrip("/")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path((found or "file:///tmp/checkpoints/strataline").rstrip("/"))
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> module of this subpackage that defines it
 MODULES = {
+    "op1_ann": "ann",
+    "op4_pii": "pii",
     "op7_warc": "warc",
     "op2_substring_dedup": "substring",
     "op6_simhash": "simhash",

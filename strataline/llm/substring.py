@@ -297,9 +297,9 @@ def _each_batch(docs: DataFrame, batches: int, window: int, max_runs: int, bits:
         # equal ids with unequal texts are told apart by the text's hash
         names = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "key": F.xxhash64("text"), "text": F.coalesce("text", F.lit(""))}
         flags, path = index.judge(batch.select(*(v.alias(k) for k, v in names.items())), keep=not own or k + 1 < len(tests))
-        by_doc = flags.where("length(data) > 0").groupBy("id", "key").agg(F.collect_list("data").alias("_sl_flags"))  # the windows of one text
+        by_doc = flags.where("length(data) > 0").groupBy(F.col("id").alias("_sl_id2"), F.col("key").alias("_sl_key2")).agg(F.collect_list("data").alias("_sl_flags"))  # the windows of one text
         marked = batch.select("*", *(v.alias(f"_sl_{k}") for k, v in names.items()))
-        yield marked.join(by_doc, (F.col("_sl_id") == F.col("id")) & (F.col("_sl_key") == F.col("key")), "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_sl_text", "_sl_flags")
+        yield marked.join(by_doc, (F.col("_sl_id") == F.col("_sl_id2")) & (F.col("_sl_key") == F.col("_sl_key2")), "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_sl_text", "_sl_flags")
         C.remove(spark, path)
         C.release(spark)
     if own:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one step of a vectorised scan holds at once (a longer text is a step of its own).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Odd multipliers of the polynomial hashes (fixed values).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 U64 = np.uint64

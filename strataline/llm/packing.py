@@ -30,7 +30,7 @@ from . import common as C
 LENGTH, END_ID = 2048, 1
 DIMENSIONS, BITS = 4, 8
 #: Words whose ids a worker keeps at once.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Fixed value: the split pattern of the vocabulary's pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -50,7 +50,6 @@ class WordTokenizer(dict):
     def __init__(self, blob: bytes, limit: int = CACHE_WORDS):
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
         super().__init__()
         self.limit = limit
@@ -64,11 +63,20 @@ class WordTokenizer(dict):
                 ranks[bytes(symbols[c] for c in body) + b" " * whole] = i
         self.merges = tiktoken.Encoding("words", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.find = regex.compile(PIECES).findall
-        self.slow = Tokenizer.from_str(blob.decode())
-        self.slow.encode_special_tokens = True
+        self.blob, self.library = blob, None
         if max(model["vocab"].values()) > 0xFFFF:
             raise ValueError("the vocabulary does not fit 16-bit ids")
 
+    @property
+    def slow(self):
+        """The tokenizers library's own encoder, built when a word first needs it."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.blob.decode())
+            self.library.encode_special_tokens = True
+        return self.library
+
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if not text.isascii():
@@ -158,7 +166,7 @@ def _pieces(length: int, total: int):
     last = tail if tail and tail & (tail - 1) == 0 else length
 
     def run(batches):
-        for part in C.chunks(batches, "ids", 16 << 20):
+        for part in C.chunks(batches, "ids"):
             data, off = C.utf8(part.column("ids"))
             raw = memoryview(data.tobytes())
             g, n = part.column("start").to_numpy(), part.column("n").to_numpy()

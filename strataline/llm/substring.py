@@ -325,7 +325,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     full = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, n_words long, n_removed long, kept_sha256 string, _sl_clean string"
     for part in _each_batch(docs, BATCHES, WINDOW, MAX_RUNS, 64, None):
         cleaned = part.mapInArrow(_clean(names, WINDOW, True), full).where("n_removed = 0 or n_removed < n_words")
-        cleaned.select(*((F.when(F.col("text").isNull(), None).otherwise(F.col("_sl_clean")).alias("text") if c == "text" else F.col(f"`{c}`")) for c in names)).write.mode("append").parquet(out)
+        text = F.when(F.col("text").isNull(), None).otherwise(F.col("_sl_clean"))
+        new = {"text": text, "n_chars": F.length(text)}
+        cleaned.select(*((new[c] if c in new else F.col(f"`{c}`")).cast(schema[c].dataType).alias(c) for c in names)).write.mode("append").parquet(out)
     return spark.read.schema(schema).parquet(out)
 
 

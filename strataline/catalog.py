@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import samples, timelines
+
 
 def queries() -> dict:
-    return {}
+    return {**timelines.QUERIES, **samples.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**timelines.SQL, **samples.SQL}

@@ -203,28 +203,34 @@ def link_nodes(nodes: DataFrame, radius: int = RADIUS, limit: int = BUCKET_LIMIT
 def _fingerprint(batches):
     for part in C.chunks(batches, "text"):
         fp = fingerprints(*C.utf8(part.column("text")))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(fp.view(np.int64))], ["doc_id", "key", "fp"])
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, limit: int = BUCKET_LIMIT) -> DataFrame:
-    """One row per document: doc_id, fingerprint, component_id (the smallest doc_id of its class)."""
+def _classes(docs: DataFrame, radius: int, limit: int) -> DataFrame:
+    """doc_id, key (hash of the text), fp, root (smallest fingerprint of the class), component_id of every row."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = C.materialise(rows.mapInArrow(_fingerprint, "doc_id long, fp long"), "fingerprints")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
+    marked = C.materialise(rows.mapInArrow(_fingerprint, "doc_id long, key long, fp long"), "fingerprints")
     nodes = C.materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     root = components(link_nodes(nodes.select("fp"), radius, limit))
     named = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     best = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = named.join(best, "root").select("fp", "component_id")
-    return marked.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    label = named.join(best, "root").select("fp", "root", "component_id")
+    return marked.join(label, "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, limit: int = BUCKET_LIMIT) -> DataFrame:
+    """One row per document: doc_id, fingerprint, component_id (the smallest doc_id of its class)."""
+    return _classes(docs, radius, limit).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the smallest id stays; of repeated rows with that id, one."""
-    keep = near_duplicates(docs).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    names = docs.columns
-    one = docs.join(keep.withColumnRenamed("doc_id", "_sl_keep"), F.col("doc_id").eqNullSafe(F.col("_sl_keep")), "left_semi")
-    return one.dropDuplicates(["doc_id"]).select(*names)
+    """Pipeline stage: of each class the document with the smallest id stays (null ids are largest; of repeated rows, one)."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    keep = _classes(docs, RADIUS, BUCKET_LIMIT).groupBy("root").agg(F.min(place).alias("k")).select(F.col("k.doc_id").alias("_sl_keep"), F.col("k.key").alias("_sl_key2")).distinct()
+    marked = docs.withColumn("_sl_key", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_sl_keep")) & (F.col("_sl_key") == F.col("_sl_key2"))
+    return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_sl_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

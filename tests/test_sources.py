@@ -136,3 +136,29 @@ def test_safe_overwrite_reads_its_own_target(spark, tmp_path):
 def test_checkpoint(spark):
     df = spark.createDataFrame([("m/checkpoint-9",), ("m/checkpoint-10",), ("m/checkpoint-x",)], "path string")
     assert R.latest_checkpoint(df).first().path == "m/checkpoint-10"
+
+
+def test_hierarchy_of_all_takes(spark, root):
+    from strataline.functions import vocab as V
+    from strataline.plans import hierarchy as H
+
+    got = H.build(spark, root)
+    l0 = {(r.take, r.segment_id): r for r in got["l0"].collect()}
+    nurse = l0["901_PKA", "nurse_L0_000"]
+    assert nurse.description == "scrub nurse: is holding drill" and nurse.duration_frames == 10 and (nurse.time_start, nurse.time_end, nurse.duration_s) == (100, 111, 12)
+    assert l0["901_PKA", "drill_L0_000"].description == "drill: scrub nurse is holding"
+    assert l0["901_PKA", "robot_setup_L0_000"].description == "robot setup (physical): a"
+    assert l0["901_PKA", "robot_monitor_L0_000"].description == "robot monitor (Mako screen): P (S)"
+    assert [t.text for t in nurse.transcript] == []
+    l1 = {r.segment_id: r for r in got["l1"].where("take = '901_PKA'").collect()}
+    assert l1["nurse_L1_000"].children == ["nurse_L0_000"] and l1["nurse_L1_000"].summary == "is holding drill"
+    assert got["l2"].where("take = '901_PKA' and role = 'nurse'").first().children == ["nurse_L1_000"]
+    assert {(r.take, r.role): (r.raw, r.debounced) for r in got["report"].collect()} == {("901_PKA", "nurse"): (1, 1), ("902_TKA", "nurse"): (1, 1)}
+    roles = [r.role for r in H.ordered_roles(got["l0"].where("take = '901_PKA'").select("role")).collect()]
+    assert roles == ["nurse", "robot_monitor", "drill", "robot_setup"]
+    item = F.struct("segment_id", "time_start", "time_end", "duration_s", "description", "transcript")
+    ask = got["l0"].where("take = '901_PKA' and role = 'drill'").groupBy("role").agg(F.collect_list(item).alias("s"))
+    text = ask.select(H.segment_prompt(F.col("role"), F.col("s"), F.col("role").isin(*V.TOOLS)).alias("p")).first().p
+    assert "Note:" in text and "[drill_L0_000] t=100s-111s (12s): drill: scrub nurse is holding\n      Speech: —" in text
+    few = H.entries(R.relation_labels(spark, root, R.frame_map(spark, root)), "000002", 3)
+    assert sorted(r.tp_id for r in few.where("take = '902_TKA'").collect()) == ["000002", "000003", "000004"]

@@ -32,8 +32,9 @@ from . import common as C
 WINDOW = 13
 BATCHES = 4
 MAX_RUNS = 2
-#: Text bytes that one bucket's windows stem from, at most about.
-BUCKET_BYTES = 64 << 20
+#: Text bytes that one bucket's windows stem from, about; and the least number of buckets. The number does not follow the
+#: session's partitions: a document's removed windows come back as one row per bucket.
+BUCKET_BYTES, MIN_BUCKETS = 16 << 20, 64
 LAST = (1 << 63) - 1
 
 
@@ -284,8 +285,7 @@ def _each_batch(docs: DataFrame, batches: int, window: int, max_runs: int, bits:
     root = root or C.scratch(spark, "index")
     cuts = [i / batches for i in range(1, batches)]
     facts = docs.agg(F.percentile_approx("doc_id", cuts).alias("cuts"), F.sum(F.octet_length("text")).alias("n")).first()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = FingerprintIndex(spark, root, max(2 * parts, -(-(facts["n"] or 0) // BUCKET_BYTES)), window, max_runs, bits)
+    index = FingerprintIndex(spark, root, max(MIN_BUCKETS, -(-(facts["n"] or 0) // BUCKET_BYTES)), window, max_runs, bits)
     edges = sorted(set(facts["cuts"] or []))
     tests = []
     for low, high in zip([None, *edges], [*edges, None], strict=True):

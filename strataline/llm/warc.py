@@ -104,10 +104,18 @@ def _writer(root: str, roll_bytes: int, date: str, level: int):
             state.update(parts=[], size=0, n=0, k=state["k"] + 1)
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["file", "records", "bytes", "sha256"])
 
-        for b in C.chunks(batches, "html", 16 << 20):
-            columns = [b.column(k).to_pylist() for k in ("page_id", "url", "html", "payload_digest", "refers_to")]
+        mark, done = None, None
+        for b in C.chunks(batches, "html", 4 << 20):
             state["part"] = b.column("part")[0].as_py()
-            for page_id, url, html, digest, refers in zip(*columns, strict=True):
+            for page_id, digest, first, url, html in zip(*(b.column(k).to_pylist() for k in ("page_id", "payload_digest", "first", "url", "html")), strict=True):
+                own = (page_id, digest)
+                if first is not None:  # stands before the rows that it is about
+                    mark = (*own, first)
+                    continue
+                refers = mark[2] if mark and mark[:2] == own else None
+                if refers == page_id and done != own:  # of rows with the first id, one alone is the response
+                    refers = None
+                done = own
                 member = _gzip(record(page_id, url or "", (html or "").encode(), digest, refers, date), level)
                 state["parts"].append(member)
                 state["size"] += len(member)
@@ -120,45 +128,33 @@ def _writer(root: str, roll_bytes: int, date: str, level: int):
     return run
 
 
-def mark_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html, payload_digest and refers_to (null for responses)."""
+def with_marks(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """Page rows (first null), and for each page that shares its payload a small row with the first page's id.
+
+    Only ids and digests are grouped and joined; payloads are shuffled once, by the sort that follows.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("payload_digest", F.sha2(F.encode("html", "UTF-8"), 256)).withColumn("uid", F.monotonically_increasing_id())
-    # small rows decide; one row per digest and task is shuffled, and only digests of several rows are joined
+    rows = rows.withColumn("payload_digest", F.sha2(F.encode("html", "UTF-8"), 256))
     keys = rows.where((F.octet_length("html") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
     first = keys.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(first, "payload_digest", "left")
+    none = F.lit(None).cast("string")
+    marks = keys.distinct().join(first, "payload_digest").select("page_id", none.alias("url"), none.alias("html"), "payload_digest", "first")
+    return rows.withColumn("first", F.lit(None).cast("long")).unionByName(marks)
 
 
 def write(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, date: str = DATE, level: int = LEVEL) -> DataFrame:
     """Write the archive under `root`; returns its manifest (file, records, bytes, sha256), which stands as JSON in root/manifest."""
     spark = pages.sparkSession
     ship_package(spark)
-    marked = mark_revisits(pages, min_revisit)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("page_id").asc_nulls_first(), F.col("payload_digest"), F.xxhash64("url", "html")]
-    ranged = marked.drop("uid").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # of rows with the first id and its payload, one alone is the response: the sort has them side by side
-    ranged = ranged.withColumn("part", F.spark_partition_id())
-    cut = ranged.mapInArrow(_settle, "page_id long, url string, html string, payload_digest string, refers_to long, part int")
-    manifest = cut.mapInArrow(_writer(root, roll_bytes, date, level), _MANIFEST)
+    key = [F.col("page_id").asc_nulls_first(), F.col("payload_digest")]
+    ranged = with_marks(pages, min_revisit).repartitionByRange(parts, *key)  # rows with equal keys meet in one partition
+    ordered = ranged.sortWithinPartitions(*key, F.col("first").desc_nulls_last(), F.xxhash64("url", "html"))
+    manifest = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_writer(root, roll_bytes, date, level), _MANIFEST)
     manifest.write.mode("overwrite").json(f"{root}/manifest")
     return spark.read.schema(_MANIFEST).json(f"{root}/manifest")
 
 
-def _settle(batches):
-    """refers_to: null for the first row with its digest's first id, that id for all others."""
-    last = None
-    for b in batches:
-        ids, digest, first = (b.column(k).to_pylist() for k in ("page_id", "payload_digest", "first"))
-        refers = []
-        for i, d, f in zip(ids, digest, first, strict=True):
-            here = f is not None and i == f and last != (i, d)
-            refers.append(None if f is None or here or i is None else f)
-            last = (i, d)
-        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("page_id", "url", "html", "payload_digest")), pa.array(refers, pa.int64()), b.column("part")], ["page_id", "url", "html", "payload_digest", "refers_to", "part"])
-
-
 def parse(member: bytes) -> dict:
     """Headers and body of one record, held against its own length and digest."""
     head, _, rest = member.partition(b"\r\n\r\n")

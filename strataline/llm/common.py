@@ -109,7 +109,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = max(n, len(self.up) + len(self.up) // 4)
             for name, b in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(size, b, U64)
                 steps[0] = 1

@@ -96,34 +96,34 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _encode(sent, block: int):
-    def run(batches):
-        q = sent.value
-        held: dict[int, list] = {}
-        size: dict[int, int] = {}
-
-        def row(cell):
-            ids, codes = (np.concatenate(x) for x in zip(*held.pop(cell), strict=True))
-            size.pop(cell)
-            return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([codes.tobytes()])], ["cell", "ids", "codes"])
+def _encode(sent):
+    """List and code of each vector."""
 
+    def run(batches):
         for b in batches:
             for part in (b.slice(i, 4096) for i in range(0, b.num_rows, 4096)):
-                ids = part.column("id").to_numpy()
-                cell, codes = q.encode(_matrix(part.column("v")))
-                for c in np.unique(cell).tolist():
-                    on = np.flatnonzero(cell == c)
-                    for i in range(0, len(on), block):
-                        held.setdefault(c, []).append((ids[on[i : i + block]], codes[on[i : i + block]]))
-                        size[c] = size.get(c, 0) + len(on[i : i + block])
-                        if size[c] >= block:
-                            yield row(c)
-        for c in sorted(held):
-            yield row(c)
+                cell, codes = sent.value.encode(_matrix(part.column("v")))
+                raw = codes.tobytes()
+                n = codes.shape[1]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(cell.astype(np.int32)), pa.array([raw[i : i + n] for i in range(0, len(raw), n)], pa.binary())], ["id", "cell", "code"])
 
     return run
 
 
+def _pack(table: pa.Table) -> pa.Table:
+    """One block of a list, in id order."""
+    table = table.sort_by("id")
+    return pa.table([pa.array([table.column("cell")[0].as_py()], pa.int32()), pa.array([table.column("id").to_numpy().astype("<i8").tobytes()]), pa.array([b"".join(table.column("code").to_pylist())])], names=["cell", "ids", "codes"])
+
+
+def _blocks(coded: DataFrame, block: int) -> DataFrame:
+    """The lists, each cut by a hash of the id into as many blocks as its size asks for."""
+    sizes = {r["cell"]: -(-r["count"] // block) for r in coded.groupBy("cell").count().collect()}  # a row per list
+    cuts = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair)) if sizes else F.create_map().cast("map<int,int>")
+    salted = coded.withColumn("salt", F.pmod(F.xxhash64("id"), cuts[F.col("cell")]))
+    return salted.groupBy("cell", "salt").applyInArrow(lambda t: _pack(t), "cell int, ids binary, codes binary")
+
+
 def _assign(sent, probe: int, block: int):
     """Queries packed by the lists they visit."""
 
@@ -189,7 +189,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     rows = every.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()  # at most `sample` rows
     sent = spark.sparkContext.broadcast(Quantiser(np.array([r["v"] for r in rows], np.float64), lists, parts))
     parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = every.mapInArrow(_encode(sent, BLOCK), "cell int, ids binary, codes binary")
+    blocks = _blocks(C.materialise(every.mapInArrow(_encode(sent), "id long, cell int, code binary"), "codes"), BLOCK)
     packed = asked.mapInArrow(_assign(sent, probe, QUERY_BLOCK), "cell int, qids binary, qvecs binary")
     # a row is a whole block; each is dealt to a task of its own, whatever its list
     met = blocks.join(packed, "cell").repartition(parts_n)

@@ -16,6 +16,7 @@ packed one by one; an empty table gives no rows; columns beyond id and text are
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 import zlib
 
@@ -30,7 +31,7 @@ from . import common as C
 LENGTH, END_ID = 2048, 1
 DIMENSIONS, BITS = 4, 8
 #: Words whose ids a worker keeps at once.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 #: Fixed value: the split pattern of the vocabulary's pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -78,20 +79,26 @@ class WordTokenizer(dict):
         return self.library
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        if text.isascii() or max(text) < "ɐ":
-            ids: list[int] = []
-            for piece in self.find("".join([c.lower() for c in text]) if not text.isascii() else text.lower()):
-                ids += self.merges.encode_single_piece(piece.encode() + b" ")
+        if word.isalpha():  # ASCII letters: one piece
+            ids = self.merges.encode_single_piece(word.lower() + b" ")
         else:
-            ids = self.slow.encode(text, add_special_tokens=False).ids
+            ids = self._pieces(word.decode("utf-8", "replace"))
         if len(self) >= self.limit:
             self.clear()
-        out = self[word] = np.array(ids, "<u2").tobytes()
+        out = self[word] = struct.pack(f"<{len(ids)}H", *ids)
         return out
 
+    def _pieces(self, text: str) -> list[int]:
+        if text.isascii():
+            low = text.lower()
+        else:
+            text = unicodedata.normalize("NFC", text)
+            if max(text) >= "ɐ":
+                return self.slow.encode(text, add_special_tokens=False).ids
+            low = "".join([c.lower() for c in text])
+        one = self.merges.encode_single_piece
+        return [i for piece in self.find(low) for i in one(piece.encode() + b" ")]
+
     def encode(self, text: bytes) -> bytes:
         """Ids of a whole text, two bytes each."""
         return b"".join(map(self.__getitem__, text.split()))

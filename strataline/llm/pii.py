@@ -6,7 +6,9 @@ that fail the check digit, colon-separated hexadecimal groups) are candidates th
 
 Patterns are lexical: the one and the two words before a span. Spark scores the bipartite graph of patterns and instances in
 rounds. A pattern's confidence for a kind is the sum of the reliabilities of what fills its slot, over all occurrences of
-its words in the corpus, whatever follows them (counted in hashed slots over every text; a collision can only lower it).
+its words in the corpus, whatever follows them. These are counted exactly, by 64-bit hash, in a second pass over every text,
+for the patterns of at least `support` distinct fillers (no other can be accepted). A bitmap of their hashes, of a fixed
+size, keeps most other words out of the shuffle; the join after it decides, so the bitmap's collisions change nothing.
 An instance's reliability is 1 for seeds, else 1 - prod(1 - confidence) over its patterns. Patterns of at least `support`
 distinct reliable fillers and `confidence` accept the candidates in their slots; those become added spans.
 
@@ -33,7 +35,10 @@ from . import common as C
 #: The kinds, in the order that ties follow.
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.5
-SLOT_BITS = 18
+#: Bits of a pattern's hash that number its bit in the bitmap of the counting pass (4 MB).
+SLOT_BITS = 25
+#: Different contexts that a counting task holds before it hands them on.
+HELD_CONTEXTS = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -113,8 +118,8 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-_FIELDS = {"t": pa.int32(), "id": pa.int64(), "key": pa.int64(), "kind": pa.int32(), "pattern": pa.int64(), "slot": pa.int32(), "instance": pa.int64(), "n": pa.int64(), "start": pa.int64(), "end": pa.int64(), "spans": pa.string(), "counts": pa.list_(pa.int64())}
-_SCHEMA = "t int, id long, key long, kind int, pattern long, slot int, instance long, n long, start long, end long, spans string, counts array<long>"
+_FIELDS = {"t": pa.int32(), "id": pa.int64(), "key": pa.int64(), "kind": pa.int32(), "pattern": pa.int64(), "instance": pa.int64(), "n": pa.int64(), "start": pa.int64(), "end": pa.int64(), "spans": pa.string(), "counts": pa.list_(pa.int64())}
+_SCHEMA = "t int, id long, key long, kind int, pattern long, instance long, n long, start long, end long, spans string, counts array<long>"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _MARK = np.zeros(256, bool)
@@ -128,21 +133,20 @@ def _rows(**columns):
     return pa.RecordBatch.from_arrays([columns[k].cast(t) if isinstance(columns.get(k), pa.Array) else pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in _FIELDS.items()], list(_FIELDS))
 
 
+def _contexts(low: np.ndarray, off: np.ndarray):
+    """Words (starts, first number per document), and the pattern keys of each word and of each pair with the next word."""
+    starts, ends, first = C.words(low, off)
+    word = C.span_hashes(low, starts, ends)
+    one = C.mix(word + np.uint64(1))
+    two = C.mix(word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:] + np.uint64(2)) if len(word) > 1 else np.zeros(0, np.uint64)
+    return starts, first, one, two
+
+
 def _scan(batches):
-    """Rows of type 0: a document's base spans; 1: an occurrence of pattern and instance; 2: how often a slot's words occur."""
-    seen = np.zeros(1 << SLOT_BITS, np.int64)
-    shift = np.uint64(64 - SLOT_BITS)
+    """Rows of type 0: a document's base spans; 1: an occurrence of pattern and instance."""
     for part in C.chunks(batches, "text"):
         data, off = C.utf8(part.column("text"))
-        low = _LOWER[data]
-        starts, ends, first = C.words(data, off)
-        word = C.span_hashes(low, starts, ends)
-        one = C.mix(word + np.uint64(1))
-        two = C.mix(word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:] + np.uint64(2)) if len(word) > 1 else np.zeros(0, np.uint64)
-        inner = np.ones(len(two) + 1, bool)
-        inner[np.maximum(first[1:-1] - 1, 0)] = False  # a pair does not cross documents
-        seen += np.bincount((one >> shift).astype(np.int64), minlength=1 << SLOT_BITS)
-        seen += np.bincount((two[inner[: len(two)]] >> shift).astype(np.int64), minlength=1 << SLOT_BITS)
+        starts, first, one, two = _contexts(_LOWER[data], off)
         total = np.concatenate([[0], np.cumsum(_MARK[data] | _MARK_AT[data])])
         ids, keys = part.column("id"), part.column("key")
         key_values = keys.to_numpy()
@@ -168,18 +172,67 @@ def _scan(batches):
                 if not len(ok):
                     continue
                 p = value[w[ok] - back]
-                yield _rows(t=[1] * len(ok), id=ids.take(pa.array(doc[ok])), key=key_values[doc[ok]], kind=kind[ok].astype(np.int32), pattern=p.view(np.int64), slot=(p >> shift).astype(np.int32), instance=inst[ok].astype(np.int64), n=seed[ok].astype(np.int64), start=s[ok], end=e[ok])
-    used = np.flatnonzero(seen)
-    for i in range(0, len(used), 1 << 16):
-        u = used[i : i + (1 << 16)]
-        yield _rows(t=[2] * len(u), slot=u.astype(np.int32), n=seen[u])
+                yield _rows(t=[1] * len(ok), id=ids.take(pa.array(doc[ok])), key=key_values[doc[ok]], kind=kind[ok].astype(np.int32), pattern=p.view(np.int64), instance=inst[ok].astype(np.int64), n=seed[ok].astype(np.int64), start=s[ok], end=e[ok])
+
+
+def _count(bitmap):
+    """Counts of the words and pairs whose bit is set (a pattern may come in several rows)."""
+
+    def run(batches):
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        shift = np.uint64(64 - (8 * len(bits)).bit_length() + 1)
+        keys, counts, held = [], [], 0
+
+        def merged():
+            u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.zeros(len(u), np.int64)
+            np.add.at(n, inverse, np.concatenate(counts))
+            return u, n
+
+        for part in C.chunks(batches, "text"):
+            data, off = C.utf8(part.column("text"))
+            _, first, one, two = _contexts(_LOWER[data], off)
+            inner = np.ones(len(two), bool)
+            across = first[1:-1] - 1  # a pair does not cross documents
+            inner[across[(across >= 0) & (across < len(two))]] = False
+            for value in (one, two[inner]):
+                slot = value >> shift
+                hit = value[bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1]
+                u, n = np.unique(hit, return_counts=True)
+                keys.append(u)
+                counts.append(n)
+                held += len(u)
+            if held > HELD_CONTEXTS:
+                u, n = merged()
+                if len(u) > HELD_CONTEXTS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["pattern", "n"])
+                    u, n = u[:0], n[:0]
+                keys, counts, held = [u], [n], len(u)
+        if held:
+            u, n = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["pattern", "n"])
+
+    return run
+
+
+def context_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): how often the words of each of `patterns` (distinct, long) occur in the texts, exactly."""
+    slot = F.shiftrightunsigned("pattern", 64 - SLOT_BITS)
+    pages = patterns.select(F.shiftright(slot, 15).alias("page"), slot.bitwiseAND(F.lit(0x7FFF)).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bitmap = bytearray(1 << SLOT_BITS - 3)
+    for r in pages.collect():  # at most 2**(SLOT_BITS - 15) rows of 4 KB
+        bitmap[r["page"] << 12 : r["page"] + 1 << 12] = r["bits"]
+    sent = docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    counted = docs.select("text").mapInArrow(_count(sent), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+    return counted.join(patterns, "pattern", "left_semi")
 
 
 def score_patterns(occurrences: DataFrame, contexts: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(pattern, kind, confidence) of the accepted patterns.
 
-    occurrences: pattern, slot, kind, instance, seed (boolean); contexts: slot, total. Links are counted first, so a pattern or
-    an instance that fills a large part of the corpus is summed map-side, not gathered.
+    occurrences: pattern, slot (key of its words in contexts), kind, instance, seed (boolean); contexts: slot, total; patterns
+    without a total are left out. Links are counted first, so a pattern or an instance that fills a large part of the corpus is
+    summed map-side, not gathered.
     """
     links = occurrences.groupBy("pattern", "slot", "kind", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     links = C.materialise(links.join(contexts, "slot"), "links")
@@ -200,10 +253,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _found(docs: DataFrame, rounds: int, support: int, confidence: float) -> tuple[DataFrame, DataFrame]:
     """Base rows (id, key, spans, counts), and added spans (id, key, added: array of kind:start:end)."""
     ship_package(docs.sparkSession)
-    scan = C.materialise(_keyed(docs).mapInArrow(_scan, _SCHEMA), "pii")
+    texts = _keyed(docs)
+    scan = C.materialise(texts.mapInArrow(_scan, _SCHEMA), "pii")
     occ = scan.where("t = 1").withColumn("seed", F.col("n") > 0)
-    contexts = scan.where("t = 2").groupBy("slot").agg(F.sum("n").alias("total"))  # at most 2**SLOT_BITS rows
-    accepted = score_patterns(occ.select("pattern", "slot", "kind", "instance", "seed"), contexts, rounds, support, confidence)
+    enough = occ.select("pattern", "kind", "instance").distinct().groupBy("pattern", "kind").count().where(F.col("count") >= support)
+    patterns = C.materialise(enough.select("pattern").distinct(), "patterns")
+    contexts = context_totals(texts, patterns).withColumnRenamed("pattern", "slot")
+    accepted = score_patterns(occ.select("pattern", F.col("pattern").alias("slot"), "kind", "instance", "seed"), contexts, rounds, support, confidence)
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     added = occ.where("not seed").join(accepted, ["pattern", "kind"]).select("id", "key", F.concat_ws(":", name, "start", "end").alias("span"))
     return scan.where("t = 0").select("id", "key", "spans", "counts"), added.groupBy("id", "key").agg(F.collect_set("span").alias("added"))

@@ -4,11 +4,13 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from strataline.llm import common as C
 from strataline.llm import pii as P
 
-from .helpers import DOCS, clashing, empty, odd_documents
+from .helpers import DOCS, clashing, empty, odd_documents, words
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -84,6 +86,40 @@ def test_scores_match_brute_force(spark):
     assert {(x.pattern, x.kind): round(x.confidence, 6) for x in got.collect()} == {x: round(v, 6) for x, v in c.items()}
 
 
+@pytest.mark.parametrize("bits", [P.SLOT_BITS, 18])
+def test_unrelated_words_do_not_lower_confidence(spark, monkeypatch, bits):
+    """Many occurrences of a word and of a pair whose hashes begin with the same 18 bits as `us:` and `contact us:`."""
+    monkeypatch.setattr(P, "SLOT_BITS", bits)
+    tried = [f"q{i}" for i in range(1 << 21)]
+    data = np.frombuffer("".join(tried).encode(), np.uint8)
+    end = np.cumsum([len(x) for x in tried])
+    key = C.span_hashes(data, np.concatenate([[0], end[:-1]]), end)
+    contact, us = (C.span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)])) for x in (b"contact", b"us:"))
+    one = lambda w: C.mix(w + np.uint64(1)) >> np.uint64(46)
+    two = lambda w: C.mix(contact * np.uint64(0x9E3779B97F4A7C15) + w + np.uint64(2)) >> np.uint64(46)
+    word = tried[np.flatnonzero(one(key) == one(us))[0]]
+    pair = "contact " + tried[np.flatnonzero(two(key) == two(us))[0]]
+    extra = [(400 + i, f"{word} {pair} " * 50, "en", "s", 1) for i in range(4)]
+    docs = spark.createDataFrame([(0, "", "en", "s", 1), *planted(), *extra], DOCS)
+    assert sorted(r.doc_id for r in P.find(docs).collect() if r.n_added) == [200, 201, 202, 203, 204]
+
+
+def test_context_totals_match_brute_force(spark):
+    docs = odd_documents(spark, planted()).coalesce(1)
+    expected = Counter()
+    for r in docs.collect():
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or ""))
+        expected.update(w)
+        expected.update(zip(w, w[1:], strict=False))
+    raw = {}
+    for x in expected:
+        _, _, one, two = P._contexts(np.frombuffer((x if isinstance(x, str) else " ".join(x)).encode(), np.uint8), np.array([0, len((x if isinstance(x, str) else " ".join(x)).encode())]))
+        raw[int((one if isinstance(x, str) else two).view(np.int64)[0])] = expected[x]
+    some = dict(list(raw.items())[::2])
+    got = P.context_totals(P._keyed(docs), spark.createDataFrame([(k,) for k in some], "pattern long"))
+    assert {r.pattern: r.total for r in got.collect()} == some
+
+
 def test_stage_masks(spark):
     docs = clashing(odd_documents(spark, planted()))
     kept = P.stage(spark, docs, "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one step of a vectorised scan holds at once (a longer text is a step of its own).
 CHUNK_BYTES = 2 << 20
-#: Odd multipliers of the polynomial hashes (fixed values).
+#: Odd multipliers of the hashes (fixed values).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 U64 = np.uint64
 
@@ -20,9 +21,11 @@ U64 = np.uint64
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default of our own only where the session names none."""
+    """The folder that driver and executors share; on one machine, where the session names none, a default of our own."""
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{key} must name a folder that driver and executors share")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path((found or "file:///tmp/checkpoints/strataline").rstrip("/"))
     uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -30,7 +33,24 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one; it goes with the application, as results may read it until then."""
+    out = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return out
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of our own that none of `columns` has, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -100,39 +120,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, len(self.up) + len(self.up) // 4)
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, b, U64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS: dict[int, Powers] = {}
-
-
-def powers(k: int) -> Powers:
-    if k not in _POWERS:
-        _POWERS[k] = Powers(MULTIPLIERS[k])
-    return _POWERS[k]
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = 0) -> np.ndarray:
-    """64-bit hash of values[start:end] for each span: a polynomial through prefix sums, with the length mixed in."""
-    n = len(values)
-    up, down = powers(k).get(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum((values.astype(U64) + U64(1)) * up[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(MULTIPLIERS[(k + 1) % 4]))
+def remix(x: np.ndarray) -> np.ndarray:
+    """Another bijective finaliser of 64-bit values, with other shifts and multipliers."""
+    x = x ^ (x >> U64(33))
+    x = x * U64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> U64(33))
+    x = x * U64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> U64(33))
+
+
+#: Bytes of a span that lanes() mixes itself; longer spans go through BLAKE2b.
+SHORT = 32
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the bytes data[start:end], together a digest of 128 bits.
+
+    Eight bytes at a time are mixed into each lane by a bijective, non-linear step of its own, so neither lane has the
+    algebraic collisions of a polynomial, and the two do not fail together. Spans of more than SHORT bytes get a BLAKE2b digest.
+    """
+    size = ends - starts
+    buf = np.concatenate([data, np.zeros(8, np.uint8)])
+    wide = np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
+    a = size.astype(U64) * U64(MULTIPLIERS[0]) + U64(MULTIPLIERS[1])
+    b = size.astype(U64) * U64(MULTIPLIERS[2]) + U64(MULTIPLIERS[3])
+    for k in range(0, SHORT, 8):
+        on = np.flatnonzero((size > k) & (size <= SHORT))
+        if not len(on):
+            break
+        item = wide[starts[on] + k] & _MASKS[np.minimum(size[on] - k, 8)]
+        a[on] = mix(a[on] ^ item)
+        b[on] = remix(b[on] + item * U64(MULTIPLIERS[1]))
+    far = np.flatnonzero(size > SHORT)
+    if len(far):
+        raw = memoryview(np.ascontiguousarray(data))
+        digest = b"".join([hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(starts[far].tolist(), ends[far].tolist(), strict=True)])
+        a[far], b[far] = np.frombuffer(digest, "<u8").reshape(-1, 2).T
+    return a, b
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes data[start:end] of each span: the first lane of its digest."""
+    return lanes(data, starts, ends)[0]
+
+
+def window_lanes(items: tuple[np.ndarray, np.ndarray], at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digest lanes of `size` consecutive items from each place of `at`, from those of the items.
+
+    Neighbours are joined pairwise up a tree (1, 2, 4, ... items); each join ends in a bijective mix.
+    """
+    out = []
+    for lane, join, odd in zip(items, (mix, remix), MULTIPLIERS[1:3], strict=True):
+        whole, done, level, n = None, 0, lane, 1
+        while True:
+            if size & n:
+                part = level[at + done]
+                whole = part if whole is None else join(whole * U64(odd) + part)
+                done += n
+            if done == size:
+                break
+            level = join(level[:-n] * U64(odd) + level[n:]) if len(level) > n else level[:0]
+            n *= 2
+        out.append(join(whole + U64(size)))
+    return out[0], out[1]
 
 
 _SEPARATOR = np.zeros(256, bool)

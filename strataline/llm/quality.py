@@ -38,19 +38,21 @@ def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def _repeats(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each item: is its (doc, hash) found twice or more; is it later than the first of its kind."""
-    if not len(hashes):
-        return np.zeros(0, bool), np.zeros(0, bool)
-    order = np.lexsort((hashes, doc))  # stable: items of a kind stay in order
-    d, h = doc[order], hashes[order]
-    same = np.zeros(len(h), bool)
-    same[1:] = (d[1:] == d[:-1]) & (h[1:] == h[:-1])
-    many = same.copy()
-    many[:-1] |= same[1:]
-    twice, later = np.empty(len(h), bool), np.empty(len(h), bool)
-    twice[order], later[order] = many, same
-    return twice, later
+def _repeats(doc: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """For each item: is its (doc, 128-bit digest) found twice or more."""
+    if not len(h1):
+        return np.zeros(0, bool)
+    order = np.lexsort((h1, doc))
+    d, a, b = doc[order], h1[order], h2[order]
+    if ((d[1:] == d[:-1]) & (a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # equal in the first half alone
+        order = np.lexsort((h2, h1, doc))
+        d, a, b = doc[order], h1[order], h2[order]
+    same = np.zeros(len(a), bool)
+    same[1:] = (d[1:] == d[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    same[:-1] |= same[1:]
+    out = np.empty(len(a), bool)
+    out[order] = same
+    return out
 
 
 def base_counts(data: np.ndarray, off: np.ndarray, window: int = 5) -> dict[str, np.ndarray]:
@@ -65,22 +67,15 @@ def base_counts(data: np.ndarray, off: np.ndarray, window: int = 5) -> dict[str,
     chars = _sums(covered & ((data & 0xC0) != 0x80), off)
     symbols = _sums(_SYMBOL[data], off)
 
-    breaks = np.flatnonzero(data == 0x0A)
-    line_start = np.union1d(off[:-1][n_words > 0], breaks + 1)
-    line_start = line_start[line_start < len(data)]
-    line_doc = np.searchsorted(off, line_start, side="right") - 1
-    line_end = np.searchsorted(breaks, line_start)
-    line_end = np.where(line_end < len(breaks), breaks[np.minimum(line_end, len(breaks) - 1)] if len(breaks) else len(data), len(data))
-    line_end = np.minimum(line_end, off[line_doc + 1])
-    with_word = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
-    line_start, line_end, line_doc = line_start[with_word], line_end[with_word], line_doc[with_word]
-    _, later = _repeats(line_doc, C.span_hashes(data, line_start, line_end))
-    dup_lines = np.bincount(line_doc[later], minlength=n)
-
-    word = C.span_hashes(data, starts, ends)
+    raw = data.tobytes()
+    dup_lines = np.zeros(n, np.int64)
+    for i in np.flatnonzero(_sums(data == 0x0A, off)).tolist():
+        lines = [x for x in raw[off[i] : off[i + 1]].split(b"\n") if x and not x.isspace()]
+        dup_lines[i] = len(lines) - len(set(lines))
+
     at = C.window_starts(first, window)
-    twice, _ = _repeats(np.searchsorted(first, at, side="right") - 1, C.span_hashes(word, at, at + window, 1))
-    mark = np.zeros(len(word) + 1, np.int64)
+    twice = _repeats(np.searchsorted(first, at, side="right") - 1, *C.window_lanes(C.lanes(data, starts, ends), at, window))
+    mark = np.zeros(len(starts) + 1, np.int64)
     np.add.at(mark, at[twice], 1)
     np.subtract.at(mark, at[twice] + window, 1)
     repeat = _sums(np.cumsum(mark[:-1]) > 0, first)

@@ -1,19 +1,25 @@
 """Substring dedup with a log-structured fingerprint index.
 
 A window is WINDOW consecutive words of one document. The index holds the windows of all earlier batches as immutable runs,
-one file per run and hash bucket, each sorted by a 64-bit window hash with a second, independent 32-bit hash beside it. A
-batch is hashed in blocks; a block settles repeats within itself and sends only the windows of each hash's smallest document
-to the hash's bucket. There the blocks are merged, joined with the sorted runs, and every match of the 64-bit key is verified
-by the second hash (96 independent bits: among 10**13 windows a false match is expected about 0.001 times). The bucket then
-writes its new run; when more than `max_runs` would stand, it merges them into one (compaction), and the old ones go.
+one file per run and hash bucket, each sorted by a 64-bit key with a second 64-bit hash beside it. A batch is hashed in
+blocks; a block settles repeats within itself and sends only the windows of each hash's smallest document to the hash's
+bucket. There the blocks are merged, joined with the sorted runs, and every match of the key is verified by the second hash:
+the two are a 128-bit digest of the window's words, from two non-linear mixes that do not fail together (`common.lanes`,
+`common.window_lanes`; among 10**13 windows a false match is expected about 10**-13 times). The words themselves are not
+kept, as the texts of earlier batches need not be at hand. The bucket then writes its new run. Runs have tiers: when more
+than `max_runs` of one tier would stand, they merge with the new one into a run of the next tier (compaction).
 
 A window is removed if its word sequence is in the index or starts in a document of the same batch with a smaller id; each
 word under a removed window is removed. Windows are judged on the input. `dedup` feeds a whole table in ascending ranges of
-doc_id, so history always has smaller ids.
+doc_id, so history always has smaller ids; a batch fed to a standing index comes after all that is in it, whatever its ids.
+
+Recovery: a batch joins the index when its rows are written, not before. A call that fails may be repeated: its run has the
+same name and is written anew, and its windows are not held against themselves. A batch that has a `name` is taken once;
+the same name again is an error.
 
 Defined results: a null text is empty; texts under WINDOW words lose nothing; a null id counts as larger than all others and
 equal to other nulls; rows with equal ids never remove each other's windows; repeated rows get repeated results; an empty
-table gives no rows; operators read id and text only, and the stage keeps all columns of its input.
+table gives no rows; operators read id and text only, and the stage keeps all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +37,8 @@ from . import common as C
 
 WINDOW = 13
 BATCHES = 4
-MAX_RUNS = 2
+#: Runs of one tier that may stand.
+MAX_RUNS = 1
 #: Text bytes that one bucket's windows stem from, about; and the least number of buckets. The number does not follow the
 #: session's partitions: a document's removed windows come back as one row per bucket.
 BUCKET_BYTES, MIN_BUCKETS = 16 << 20, 64
@@ -39,14 +46,11 @@ LAST = (1 << 63) - 1
 
 
 def window_hashes(data: np.ndarray, off: np.ndarray, size: int, bits: int = 64):
-    """First word number per document, window numbers, 64-bit and 32-bit hashes."""
+    """First word number per document, window numbers, and both 64-bit hashes of each window (the first cut to `bits`)."""
     starts, ends, first = C.words(data, off)
     at = C.window_starts(first, size)
-    h = []
-    for k in (0, 2):
-        word = C.span_hashes(data, starts, ends, k)
-        h.append(C.span_hashes(word, at, at + size, k + 1))
-    return first, at, h[0] >> np.uint64(64 - bits) << np.uint64(64 - bits) if bits < 64 else h[0], (h[1] >> np.uint64(32)).astype(np.uint32)
+    h1, h2 = C.window_lanes(C.lanes(data, starts, ends), at, size)
+    return first, at, h1 >> np.uint64(64 - bits) << np.uint64(64 - bits) if bits < 64 else h1, h2
 
 
 def _groups(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +119,7 @@ def _block_rows(size: int, buckets: int, bits: int):
                 used, where = np.unique(doc[own], return_inverse=True)
                 p = pos[own].astype(np.int64)
                 p[1:] -= np.where(where[1:] == where[:-1], p[:-1], 0)
-                fields = [C.squeeze(h1[own]), C.squeeze(h2[own]), C.squeeze(np.diff(where, prepend=0).astype(np.uint32)), C.squeeze(p.astype(np.uint32)), ids[used].astype("<i8").tobytes(), keys[used].astype("<i8").tobytes()]
+                fields = [h1[own].tobytes(), h2[own].tobytes(), C.squeeze(np.diff(where, prepend=0).astype(np.uint32)), C.squeeze(p.astype(np.uint32)), ids[used].astype("<i8").tobytes(), keys[used].astype("<i8").tobytes()]
                 head = np.array([n, *map(len, fields)], "<u4").tobytes()
                 rows.append((int(bucket[s]), None, None, head + b"".join(fields)))
             for i in range(0, len(rows), 2000):
@@ -137,18 +141,18 @@ def _open_block(blob: bytes):
     total = np.cumsum(pos)
     base = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     pos = total - (total - pos)[base]
-    return C.expand(part[0], n, "<u8"), C.expand(part[1], n, "<u4"), np.frombuffer(part[4], "<i8")[where], np.frombuffer(part[5], "<i8")[where], pos
+    return np.frombuffer(part[0], "<u8"), np.frombuffer(part[1], "<u8"), np.frombuffer(part[4], "<i8")[where], np.frombuffer(part[5], "<i8")[where], pos
 
 
 def pack_run(h1: np.ndarray, h2: np.ndarray) -> bytes:
-    """A sorted run: steps of the sorted hashes and the second hashes, as byte planes."""
-    a, b = C.squeeze(np.diff(h1, prepend=np.uint64(0))), C.squeeze(h2)
-    return np.array([len(h1), len(a)], "<u8").tobytes() + a + b
+    """A sorted run: steps of the sorted keys as byte planes, and the second hashes."""
+    a = C.squeeze(np.diff(h1, prepend=np.uint64(0)))
+    return np.array([len(h1), len(a)], "<u8").tobytes() + a + h2.astype("<u8").tobytes()
 
 
 def open_run(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, la = (int(x) for x in np.frombuffer(blob, "<u8", 2))
-    return np.cumsum(C.expand(blob[16 : 16 + la], n, "<u8"), dtype=np.uint64), C.expand(blob[16 + la :], n, "<u4")
+    return np.cumsum(C.expand(blob[16 : 16 + la], n, "<u8"), dtype=np.uint64), np.frombuffer(blob, "<u8", n, 16 + la)
 
 
 def in_run(run: tuple[np.ndarray, np.ndarray], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -167,26 +171,31 @@ def in_run(run: tuple[np.ndarray, np.ndarray], h1: np.ndarray, h2: np.ndarray) -
     return out
 
 
-def _merge(root: str, old: list[str], new: str | None, compact: bool):
-    """Judge one bucket of a batch against its runs and write its new run."""
+def _merge(root: str, runs: list[str], merged: list[str], new: str | None):
+    """Judge one bucket of a batch against the runs; write its new run, with those of `merged` in it."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         passed = table.filter(table.column("id").is_valid()).select(["id", "key", "data"])
         blocks = [_open_block(b) for b in table.filter(table.column("id").is_null()).column("data").to_pylist()]
-        out = []
-        runs = [open_run(b) for name in old if (b := C.read_file(f"{root}/{name}/{bucket:06d}")) is not None] if blocks or (new and compact) else []
-        h1, h2 = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        out, keep = [], []
+        h1, h2 = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         if blocks:
             h1, h2, ids, keys, pos = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            blocks.clear()
             order, gone = _later(h1, h2, ids)
             h1, h2 = h1[order], h2[order]
-            for r in runs:
-                gone |= in_run(r, h1, h2)
+        for name in runs:
+            if (len(h1) or (new and name in merged)) and (blob := C.read_file(f"{root}/{name}/{bucket:06d}")) is not None:
+                old = open_run(blob)
+                if len(h1):
+                    gone |= in_run(old, h1, h2)
+                if new and name in merged:
+                    keep.append(old)
+        if len(h1):
             hit = order[gone]
             out = _flag_rows(ids[hit], keys[hit], pos[hit])
         if new:
-            keep = runs if compact else []
             a, b = np.concatenate([h1, *(r[0] for r in keep)]), np.concatenate([h2, *(r[1] for r in keep)])
             by = np.lexsort((b, a)) if keep else np.arange(len(a))
             a, b = a[by], b[by]
@@ -201,43 +210,62 @@ def _merge(root: str, old: list[str], new: str | None, compact: bool):
 
 
 class FingerprintIndex:
-    """The windows of all batches so far, under `root` in the shared folder; state.json names the runs that count."""
+    """The windows of all batches so far, under `root` in the shared folder; state.json names the runs and batches that count."""
 
     def __init__(self, spark, root: str, buckets: int, window: int = WINDOW, max_runs: int = MAX_RUNS, bits: int = 64):
-        self.spark, self.root, self.buckets, self.window, self.max_runs, self.bits = spark, root, buckets, window, max_runs, bits
+        self.spark, self.root, self.window, self.max_runs, self.bits = spark, root, window, max_runs, bits
         found = C.read_file(f"{root}/state.json")
-        state = json.loads(found) if found else {"runs": [], "next": 0, "buckets": buckets}
-        self.runs, self.next, self.buckets = state["runs"], state["next"], state["buckets"]
+        self.state = json.loads(found) if found else {"runs": [], "next": 0, "buckets": buckets, "batches": []}
+        self.buckets = self.state["buckets"]
         ship_package(spark)
 
-    def judge(self, batch: DataFrame, keep: bool = True) -> tuple[DataFrame, str]:
-        """(id, key, data) rows of removed windows of a batch of (id, key, text), and their folder; the batch joins the index if `keep`."""
-        new = f"run-{self.next:06d}" if keep else None
-        compact = bool(new) and len(self.runs) + 1 > self.max_runs
+    def _place(self) -> tuple[int, list[str]]:
+        """Tier of the next run, and the runs that go into it."""
+        tier, merged = 0, []
+        while len(same := [n for n, t in self.state["runs"] if t == tier]) >= self.max_runs:
+            merged += same
+            tier += 1
+        return tier, merged
+
+    def judge(self, batch: DataFrame, name: str | None = None, keep: bool = True):
+        """(rows, done): (id, key, data) rows of the removed windows of a batch of (id, key, text), and what to call when the
+        batch's results stand: from then on it is in the index, if `keep`, and its rows here are gone."""
+        if name is not None and name in self.state["batches"]:
+            raise ValueError(f"batch {name} is in the index")
+        new = f"run-{self.state['next']:06d}" if keep else None
+        tier, merged = self._place() if keep else (0, [])
         rows = batch.mapInArrow(_block_rows(self.window, self.buckets, self.bits), "bucket int, id long, key long, data binary")
-        if compact:  # buckets without windows in this batch still have runs to merge
+        if merged:  # buckets without windows in this batch still have runs to merge
             rows = rows.unionByName(self.spark.range(self.buckets).selectExpr("cast(id as int) bucket", "0L id", "0L key", "cast('' as binary) data"))
         path = C.scratch(self.spark, "removed")
-        flags = C.materialise(rows.groupBy("bucket").applyInArrow(_merge(self.root, list(self.runs), new, compact), "id long, key long, data binary"), "removed", path)
-        if new:
-            gone = self.runs if compact else []
-            self.runs, self.next = [new] if compact else [*self.runs, new], self.next + 1
-            C.write_file(f"{self.root}/state.json", [json.dumps({"runs": self.runs, "next": self.next, "buckets": self.buckets}).encode()])
-            for name in gone:
-                C.remove(self.spark, f"{self.root}/{name}")
-        return flags, path
+        flags = C.materialise(rows.groupBy("bucket").applyInArrow(_merge(self.root, [n for n, _ in self.state["runs"]], merged, new), "id long, key long, data binary"), "removed", path)
+
+        def done() -> None:
+            if new:
+                self.state["runs"] = [[n, t] for n, t in self.state["runs"] if n not in merged] + [[new, tier]]
+                self.state["next"] += 1
+                self.state["batches"] += [name] if name is not None else []
+                C.write_file(f"{self.root}/state.json", [json.dumps(self.state).encode()])
+                for old in merged:
+                    C.remove(self.spark, f"{self.root}/{old}")
+            C.remove(self.spark, path)
+
+        return flags, done
 
 
-def _clean(names: list[str], size: int, with_text: bool):
-    """Word counts, hash of the kept words, and the text without removed words."""
+def _clean(names: list[str], size: int, own: list[str], made: list[str]):
+    """Columns `names`, and `made`: word counts, hash of the kept words and, if a fourth is named, the text without removed words.
+
+    own: the columns of the text and of its removed windows.
+    """
 
     def run(batches):
-        for part in C.chunks(batches, "_sl_text"):
-            data, off = C.utf8(part.column("_sl_text"))
+        for part in C.chunks(batches, own[0]):
+            data, off = C.utf8(part.column(own[0]))
             starts, ends, first = C.words(data, off)
             n = np.diff(first)
             mark = np.zeros(len(starts) + 1, np.int64)
-            flags = part.column("_sl_flags")
+            flags = part.column(own[1])
             for i in np.flatnonzero(flags.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 for blob in flags[i].as_py():
                     at = np.cumsum(np.frombuffer(blob, "<u4").astype(np.int64)) + first[i]
@@ -260,9 +288,9 @@ def _clean(names: list[str], size: int, with_text: bool):
             raw = memoryview(joined.tobytes())
             a, b = new[total[first[:-1]]].tolist(), (new[total[first[1:]]] - 1).tolist()
             sha = [hashlib.sha256(raw[x : max(x, y)]).hexdigest() for x, y in zip(a, b, strict=True)]
-            extra = {"n_words": pa.array(n.astype(np.int64)), "n_removed": pa.array(removed.astype(np.int64)), "kept_sha256": pa.array(sha, pa.string())}
-            if with_text:
-                text = part.column("_sl_text").to_pylist()
+            extra = [pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(sha, pa.string())]
+            if len(made) > len(extra):
+                text = part.column(own[0]).to_pylist()
                 for i in np.flatnonzero(removed).tolist():
                     # a removed stretch goes from its first word to the next kept word
                     k = kept[first[i] : first[i + 1]]
@@ -272,16 +300,19 @@ def _clean(names: list[str], size: int, with_text: bool):
                     pieces = [base[w[x] - off[i] : w[y] - off[i]] for x, y in zip(edge[::2], edge[1::2], strict=True)]
                     lead = base[: w[0] - off[i]] if k[0] else b""
                     text[i] = (lead + b"".join(pieces)).decode("utf-8", "replace").rstrip() if not k[-1] else (lead + b"".join(pieces)).decode("utf-8", "replace")
-                extra["_sl_clean"] = pa.array(text, pa.string())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *extra.values()], [*names, *extra])
+                extra.append(pa.array(text, pa.string()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *extra], [*names, *made])
 
     return run
 
 
-def _each_batch(docs: DataFrame, batches: int, window: int, max_runs: int, bits: int, root: str | None):
-    """(batch with its removed windows) for each ascending range of ids; columns as given, and _sl_text, _sl_flags."""
+def _each_batch(docs: DataFrame, batches: int, window: int, max_runs: int, bits: int, root: str | None, name: str | None, own: list[str]):
+    """(batch with its removed windows) for each ascending range of ids; columns as given, and `own`: text and flags.
+
+    A batch joins the index when the next one is asked for: its rows must be written by then.
+    """
     spark = docs.sparkSession
-    own = root is None
+    temporary = root is None
     root = root or C.scratch(spark, "index")
     cuts = [i / batches for i in range(1, batches)]
     facts = docs.agg(F.percentile_approx("doc_id", cuts).alias("cuts"), F.sum(F.octet_length("text")).alias("n")).first()
@@ -292,40 +323,46 @@ def _each_batch(docs: DataFrame, batches: int, window: int, max_runs: int, bits:
         t = F.lit(True) if low is None else F.col("doc_id") > low
         t = t & (F.col("doc_id") <= high) if high is not None else t | F.col("doc_id").isNull()
         tests.append(t)
+    text, flags_, id_, key_, id2, key2 = [*own, *C.fresh([*docs.columns, *own], "own_id", "own_key", "flag_id", "flag_key")]
     for k, test in enumerate(tests):
         batch = docs.where(test)
         # equal ids with unequal texts are told apart by the text's hash
-        names = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "key": F.xxhash64("text"), "text": F.coalesce("text", F.lit(""))}
-        flags, path = index.judge(batch.select(*(v.alias(k) for k, v in names.items())), keep=not own or k + 1 < len(tests))
-        by_doc = flags.where("length(data) > 0").groupBy(F.col("id").alias("_sl_id2"), F.col("key").alias("_sl_key2")).agg(F.collect_list("data").alias("_sl_flags"))  # the windows of one text
-        marked = batch.select("*", *(v.alias(f"_sl_{k}") for k, v in names.items()))
-        yield marked.join(by_doc, (F.col("_sl_id") == F.col("_sl_id2")) & (F.col("_sl_key") == F.col("_sl_key2")), "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_sl_text", "_sl_flags")
-        C.remove(spark, path)
+        found = {id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), key_: F.xxhash64("text"), text: F.coalesce("text", F.lit(""))}
+        marked = batch.select("*", *(v.alias(n) for n, v in found.items()))
+        asked = marked.select(F.col(id_).alias("id"), F.col(key_).alias("key"), F.col(text).alias("text"))
+        flags, done = index.judge(asked, None if name is None else f"{name}/{k}", keep=not temporary or k + 1 < len(tests))
+        by_doc = flags.where("length(data) > 0").groupBy(F.col("id").alias(id2), F.col("key").alias(key2)).agg(F.collect_list("data").alias(flags_))  # the windows of one text
+        yield marked.join(by_doc, (F.col(id_) == F.col(id2)) & (F.col(key_) == F.col(key2)), "left").select(*(F.col(f"`{c}`") for c in docs.columns), text, flags_)
+        done()
         C.release(spark)
-    if own:
+    if temporary:
         C.remove(spark, root)
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, max_runs: int = MAX_RUNS, bits: int = 64, root: str | None = None, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 (and `text` without removed words if asked)."""
+def dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, max_runs: int = MAX_RUNS, bits: int = 64, root: str | None = None, with_text: bool = False, name: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 (and `text` without removed words if asked).
+
+    root: a standing index to judge against and to join; name: what this call's batches are called there.
+    """
     spark = docs.sparkSession
     out = C.scratch(spark, "dedup")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", _sl_clean string" * with_text
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", clean string" * with_text
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for part in _each_batch(rows, batches, window, max_runs, bits, root):
-        part.select("doc_id", "_sl_text", "_sl_flags").mapInArrow(_clean(["doc_id"], window, with_text), schema).write.mode("append").parquet(out)
-    return spark.read.schema(schema).parquet(out).withColumnsRenamed({"_sl_clean": "text"})
+    own = ["whole", "flags"]
+    for part in _each_batch(rows, batches, window, max_runs, bits, root, name, own):
+        part.select("doc_id", *own).mapInArrow(_clean(["doc_id"], window, own, ["n_words", "n_removed", "kept_sha256", "clean"][: 3 + with_text]), schema).write.mode("append").parquet(out)
+    return spark.read.schema(schema).parquet(out).withColumnsRenamed({"clean": "text"})
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated passages are cut from the later documents; a document of which nothing is left goes."""
     out = C.scratch(spark, "cleaned")
-    names = [c for c in docs.columns]
-    schema = docs.schema
-    full = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, n_words long, n_removed long, kept_sha256 string, _sl_clean string"
-    for part in _each_batch(docs, BATCHES, WINDOW, MAX_RUNS, 64, None):
-        cleaned = part.mapInArrow(_clean(names, WINDOW, True), full).where("n_removed = 0 or n_removed < n_words")
-        text = F.when(F.col("text").isNull(), None).otherwise(F.col("_sl_clean"))
+    names, schema = docs.columns, docs.schema
+    *own, n_words, n_removed, sha, clean = C.fresh(names, "whole", "flags", "n_words", "n_removed", "kept_sha256", "clean")
+    full = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, {n_words} long, {n_removed} long, {sha} string, {clean} string"
+    for part in _each_batch(docs, BATCHES, WINDOW, MAX_RUNS, 64, None, None, own):
+        cleaned = part.mapInArrow(_clean(names, WINDOW, own, [n_words, n_removed, sha, clean]), full).where((F.col(n_removed) == 0) | (F.col(n_removed) < F.col(n_words)))
+        text = F.when(F.col("text").isNull(), None).otherwise(F.col(clean))
         new = {"text": text, "n_chars": F.length(text)}
         cleaned.select(*((new[c] if c in new else F.col(f"`{c}`")).cast(schema[c].dataType).alias(c) for c in names)).write.mode("append").parquet(out)
     return spark.read.schema(schema).parquet(out)

@@ -4,6 +4,7 @@ import random
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -39,7 +40,7 @@ def clashing(docs):
     """Extra columns whose names operators use inside."""
     from pyspark.sql import functions as F
 
-    for name in ("id", "key", "uid", "fp", "u", "v", "t", "n", "part", "data", "bucket", "node", "root", "start", "spans", "added", "fold", "kind"):
+    for name in ("id", "key", "uid", "fp", "u", "v", "t", "n", "part", "data", "bucket", "node", "root", "start", "spans", "added", "fold", "kind", "whole", "flags", "own_id", "own_key", "flag_id", "flag_key", "n_words", "clean", "_sl_key", "_sl_text", "_sl_keep", "keep", "keep_id", "keep_key", "curve", "ids"):
         docs = docs.withColumn(name, F.lit("clash"))
     return docs
 

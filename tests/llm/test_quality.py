@@ -25,6 +25,9 @@ def brute(text):
 
 def test_counts_match_brute_force(spark):
     extra = [(20, "a line here\nother\na line here\n\n \na line here", "en", "x", 1), (21, "w1 w2 w3 w4 w5 " * 3, "en", "x", 1), (22, "#*$%&|<> é# ", "en", "x", 1)]
+    tm = lambda n, a: "".join(a[i.bit_count() & 1] for i in range(n))  # noqa: E731  (equal in every polynomial modulo 2**64)
+    extra += [(23, tm(4096, "ab") + "\n" + tm(4096, "ba") + "\n" + "x y z " * 3, "en", "x", 1)]
+    extra += [(24, " ".join([*"pqrs", tm(2048, "ab"), *"pqrs", tm(2048, "ba")]), "en", "x", 1), (25, "\x0b\x0c\n\x0b\x0c\n a\n a\n a \n", "en", "x", 1)]
     docs = odd_documents(spark, extra)
     labels = spark.createDataFrame([(1, 1, 0), (7, 1, 0), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     got = Q.quality(clashing(docs), labels).collect()

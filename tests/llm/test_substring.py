@@ -8,7 +8,7 @@ import pytest
 from strataline.llm import common as C
 from strataline.llm import substring as S
 
-from .helpers import DOCS, clashing, empty, odd_documents, words
+from .helpers import DATA, DOCS, clashing, empty, odd_documents, words
 
 
 def brute(rows, size=13):
@@ -62,21 +62,76 @@ def test_history_is_judged_across_calls(spark):
     second = spark.createDataFrame([(1, "new " + a[8:], "", "", 1), (2, b, "", "", 1)], DOCS)
     third = spark.createDataFrame([(0, b, "", "", 1)], DOCS)
     assert S.dedup(first, batches=1, root=root).first().n_removed == 0
-    assert {r.doc_id: r.n_removed for r in S.dedup(second, batches=1, root=root).collect()} == {1: 38, 2: 0}
-    assert S.dedup(third, batches=1, root=root).first().n_removed == 40
+    # ids in the order of the calls: what stands in the index comes first
+    expected = [n for _, _, n, _ in brute([(0, a), (1, "new " + a[8:]), (2, b), (3, b)])]
+    assert {r.doc_id: r.n_removed for r in S.dedup(second, batches=1, root=root).collect()} == {1: expected[1], 2: expected[2]}
+    assert S.dedup(third, batches=1, root=root).first().n_removed == expected[3]
     C.remove(spark, root)
 
 
 def test_stage_cuts_passages_and_keeps_the_rest(spark):
     passage = " ".join(f"p{i}" for i in range(60))
-    rows = [(1, f"Head one.\n{passage}\nTail one.", "en", "s", 0), (2, f"  Head\ttwo.\n{passage}\nTail two.  ", "en", "s", 0), (3, passage, "en", "s", 0), (4, None, "en", "s", None), (5, "", "en", "s", 0)]
+    rows = [(1, f"Head one.\n{passage}\nTail one.", "en", "s", 0), (2, f"  Head\ttwo.\n{passage}\nEnd of two.  ", "en", "s", 0), (3, passage, "en", "s", 0), (4, None, "en", "s", None), (5, "", "en", "s", 0)]
     docs = clashing(spark.createDataFrame(rows, DOCS))
     got = {r.doc_id: r for r in S.stage(spark, docs, "").collect()}
     assert set(got) == {1, 2, 4, 5} and got[1].text == rows[0][1] and got[4].text is None and got[5].text == ""
-    assert got[2].text == "  Head\ttwo.\nTail two.  " and got[2].id == "clash" and got[2].n_chars == len(got[2].text)
+    removed = {i: (n, m) for i, n, m, _ in brute([r[:2] for r in rows])}
+    assert removed[2] == (65, 60) and removed[3] == (60, 60)
+    assert got[2].text == "  Head\ttwo.\nEnd of two.  " and got[2].id == "clash" and got[2].n_chars == len(got[2].text)
     assert S.stage(spark, docs, "").columns == docs.columns
 
 
+def thue_morse(n, a="ab"):
+    return "".join(a[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("length", [16, 32, 1024, 4096])
+def test_words_that_collide_in_polynomials(spark, length):
+    """Words that agree in every polynomial hash with an odd base modulo 2**64, alone and as patterns of words."""
+    a, b = thue_morse(length), thue_morse(length, "ba")
+    same = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([*same, a])), (2, " ".join([*same, b])), (3, " ".join(thue_morse(64, "xy"))), (4, " ".join(thue_morse(64, "yx"))), (5, " ".join([*same, a]))]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS)
+    for options in ({}, {"batches": 1}, {"window": 2}):
+        assert Counter(map(tuple, S.dedup(docs, **options).collect())) == Counter(brute(rows, options.get("window", 13)))
+
+
+def test_a_batch_counts_when_its_rows_stand(spark):
+    """A call that fails may be repeated; a named batch is taken once."""
+    root = C.scratch(spark, "test-index")
+    text = " ".join(f"x{i}" for i in range(40))
+    docs = spark.createDataFrame([(5, text, "", "", 1)], DOCS)
+    index = S.FingerprintIndex(spark, root, 64)
+    asked = docs.selectExpr("doc_id id", "xxhash64(text) key", "text")
+    flags, _ = index.judge(asked, "monday")  # the caller fails before its rows are written
+    assert flags.count() == 0
+    assert S.dedup(docs, batches=1, root=root, name="monday").first().n_removed == 0
+    with pytest.raises(ValueError, match="monday"):
+        S.dedup(docs, batches=1, root=root, name="monday")
+    assert S.dedup(docs, batches=1, root=root, name="tuesday").first().n_removed == 40
+    C.remove(spark, root)
+
+
+def test_runs_merge_by_tier(spark):
+    root = C.scratch(spark, "test-index")
+    index = S.FingerprintIndex(spark, root, 2)
+    for k in range(7):
+        docs = spark.createDataFrame([(k, k, " ".join(f"x{k}y{i}" for i in range(20)))], "id long, key long, text string")
+        index.judge(docs)[1]()
+    assert [t for _, t in index.state["runs"]] == [2, 1, 0] and S.FingerprintIndex(spark, root, 9).state == index.state
+    docs = spark.createDataFrame([(k, k, " ".join(f"x{k}y{i}" for i in range(20))) for k in range(7)], "id long, key long, text string")
+    flags, done = index.judge(docs, keep=False)
+    assert {r.id for r in flags.collect() if r.data} == set(range(7))
+    done()
+    C.remove(spark, root)
+
+
+def test_query_on_the_driver_tables(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = S.op2_substring_dedup(spark, DATA).collect()
+    assert Counter(map(tuple, got)) == Counter(brute([(r.doc_id, r.text) for r in docs.collect()]))
+
+
 def test_empty(spark):
     assert S.dedup(empty(spark)).count() == 0
     assert S.stage(spark, empty(spark), "").count() == 0

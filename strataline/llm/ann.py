@@ -1,34 +1,47 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Training takes a bounded sample (`sample` vectors, those with the smallest hash of their id): k-means gives the coarse
-centroids, and k-means in each subspace of the residuals gives the code books. Every valid vector is indexed: it goes to its
-nearest centroid's list as one byte per subspace. Lists are cut into blocks of at most `block` vectors, so a hot list is many
-rows. A query visits the lists of its `probe` nearest centroids; queries meet list blocks by list number, many queries at a
-time; each block is scored with asymmetric distance tables (query residual against code book), and the best `rerank`
-candidates of a query, ties to smaller ids, are ranked anew by the exact distance of the original vectors. Vectors with equal
+centroids, about 8 * sqrt(rows) of them as far as the sample can fit them (LEAST vectors each), and k-means in each subspace
+of the residuals gives the code books. How many lists a query visits is read off a measured curve: for some vectors of the
+sample, in how many of the nearest lists their true neighbours in the sample lie; `target` of these must be reached. So
+clustered vectors cost few lists, and vectors without any structure cost many, at the same recall.
+
+Every valid vector is indexed: it goes to its nearest centroid's list as one byte per subspace and one number that no query
+changes. Lists that lie close together form a group; a group of more than GROUP vectors is cut by a hash of the id, so a hot
+list is many groups. Vectors are sent to their group once. A query is sent once to each group that holds a list it visits,
+and scores the group's codes through its own asymmetric distance tables: squared distance = |q - c|^2 - 2 q.r + (|r|^2 + 2 c.r)
+for a residual r of list c, where q.r is a sum over table entries. A group yields at most `rerank` candidates of a query; the
+best `rerank` of all, ties to smaller ids, are ranked anew by the exact distance of the original vectors. Vectors with equal
 codes and distances keep the order of their ids throughout, so a group of copies yields its smallest ids.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither do vectors of a
-length other than the commonest one (ties: the longer), nor rows without id; repeated rows (same id) count once, with the
-smallest vector; fewer candidates than k give fewer rows; no valid query gives no rows; other columns are not read.
+length other than `dimension` (by default the commonest one; ties: the longer), nor rows without id; repeated rows (same id)
+count once, with the smallest vector; fewer candidates than k give fewer rows; no valid query gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
 from . import common as C
 
 SAMPLE = 20_000
-BLOCK = 4096
-QUERY_BLOCK = 256
+#: Sampled vectors that a list needs; sampled vectors whose neighbours are looked up for the curve of visited lists.
+LEAST, MEASURED = 8, 256
+#: Share of the true neighbours that the visited lists must hold, as measured on the sample.
+TARGET = 0.95
+#: Vectors of a group; scores that a group's task holds at once.
+GROUP, SCORES = 1 << 18, 1 << 22
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Centroids of the rows of x; empty ones are put on the rows farthest from theirs."""
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]].astype(np.float64).copy()
@@ -55,32 +68,55 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Quantiser:
-    """Coarse centroids and residual code books; of a size that the parameters fix."""
+    """Coarse centroids, residual code books and the number of lists to visit; of a size that the parameters fix."""
 
-    def __init__(self, sample: np.ndarray, lists: int, parts: int, codes: int = 256):
-        self.coarse = kmeans(sample, min(lists, len(sample)))
-        residual = sample - self.coarse[nearest(sample, self.coarse)[0]]
+    def __init__(self, sample: np.ndarray, lists: int, parts: int, codes: int = 256, target: float = TARGET, k: int = 10):
+        self.coarse = kmeans(sample, max(1, min(lists, len(sample) // LEAST)))
+        cell, _ = nearest(sample, self.coarse)
+        residual = sample - self.coarse[cell]
         bounds = np.linspace(0, sample.shape[1], min(parts, sample.shape[1]) + 1).astype(int)
         self.slices = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.books = [kmeans(residual[:, s], min(codes, len(sample))) for s in self.slices]
-
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = residual[: 32 * codes]
+        self.books = [kmeans(some[:, s], min(codes, len(some))) for s in self.slices]
+        self.probe = self._curve(sample, cell, target, k)
+
+    def _curve(self, sample: np.ndarray, cell: np.ndarray, target: float, k: int) -> int:
+        """The least number of nearest lists that hold `target` of the true neighbours of sampled vectors."""
+        q = sample[:MEASURED]
+        d = (sample * sample).sum(1) - 2 * q @ sample.T
+        d[np.arange(len(q)), np.arange(len(q))] = np.inf
+        true = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+        if not true.size:
+            return len(self.coarse)
+        order = np.argsort(self.distances(q), axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(len(self.coarse))[None], 1)
+        need = np.sort(np.take_along_axis(place, cell[true], 1).ravel())
+        return int(need[min(len(need) - 1, int(np.ceil(target * len(need))) - 1)]) + 1
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, code, and the part of the distance that no query changes, of each vector."""
         cell, _ = nearest(x, self.coarse)
-        r = x - self.coarse[cell]
-        return cell, np.stack([nearest(r[:, s], b)[0] for s, b in zip(self.slices, self.books, strict=True)], axis=1).astype(np.uint8)
+        c = self.coarse[cell]
+        r = x - c
+        codes = np.stack([nearest(r[:, s], b)[0] for s, b in zip(self.slices, self.books, strict=True)], axis=1).astype(np.uint8)
+        near = np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], axis=1)
+        return cell, codes, (near * near).sum(1) + 2 * (c * near).sum(1)
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
-        d = ((q[:, None, :] - self.coarse[None]) ** 2).sum(2) if len(q) * len(self.coarse) < 1 << 16 else (self.coarse**2).sum(1) - 2 * q @ self.coarse.T
-        return np.argsort(d, axis=1, kind="stable")[:, :n]
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        """Squared distances of queries to the centroids."""
+        return (q * q).sum(1)[:, None] - 2 * q @ self.coarse.T + (self.coarse**2).sum(1)
 
-    def scores(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric squared distances of queries (rows) to coded vectors (columns) of a list."""
-        r = q - self.coarse[cell]
-        out = np.zeros((len(q), len(codes)))
-        for j, (s, b) in enumerate(zip(self.slices, self.books, strict=True)):
-            table = ((r[:, None, s] - b[None]) ** 2).sum(2)
-            out += table[:, codes[:, j]]
-        return out
+    def visits(self, q: np.ndarray, probe: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distances to all lists, and which lists a query visits."""
+        d = self.distances(q)
+        on = np.zeros(d.shape, bool)
+        np.put_along_axis(on, np.argsort(d, axis=1, kind="stable")[:, :probe], True, 1)
+        return d, on
+
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """Asymmetric tables: for each subspace, the products of queries (rows) and code words (columns)."""
+        return [q[:, s] @ b.T for s, b in zip(self.slices, self.books, strict=True)]
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -97,105 +133,121 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _encode(sent):
-    """List and code of each vector."""
+    """List, code and constant part of each vector."""
 
     def run(batches):
         for b in batches:
             for part in (b.slice(i, 4096) for i in range(0, b.num_rows, 4096)):
-                cell, codes = sent.value.encode(_matrix(part.column("v")))
+                cell, codes, term = sent.value.encode(_matrix(part.column("v")))
                 raw = codes.tobytes()
                 n = codes.shape[1]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(cell.astype(np.int32)), pa.array([raw[i : i + n] for i in range(0, len(raw), n)], pa.binary())], ["id", "cell", "code"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(cell.astype(np.int32)), pa.array([raw[i : i + n] for i in range(0, len(raw), n)], pa.binary()), pa.array(term)], ["id", "cell", "data", "term"])
 
     return run
 
 
-def _pack(table: pa.Table) -> pa.Table:
-    """One block of a list, in id order."""
-    table = table.sort_by("id")
-    return pa.table([pa.array([table.column("cell")[0].as_py()], pa.int32()), pa.array([table.column("id").to_numpy().astype("<i8").tobytes()]), pa.array([b"".join(table.column("code").to_pylist())])], names=["cell", "ids", "codes"])
-
-
-def _blocks(coded: DataFrame, block: int) -> DataFrame:
-    """The lists, each cut by a hash of the id into as many blocks as its size asks for."""
-    sizes = {r["cell"]: -(-r["count"] // block) for r in coded.groupBy("cell").count().collect()}  # a row per list
-    cuts = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair)) if sizes else F.create_map().cast("map<int,int>")
-    salted = coded.withColumn("salt", F.pmod(F.xxhash64("id"), cuts[F.col("cell")]))
-    return salted.groupBy("cell", "salt").applyInArrow(lambda t: _pack(t), "cell int, ids binary, codes binary")
-
-
-def _assign(sent, probe: int, block: int):
-    """Queries packed by the lists they visit."""
+def _assign(sent, probe: int):
+    """A query for each group that holds a list it visits."""
 
     def run(batches):
-        q = sent.value
+        q, start, cuts = sent.value  # per list: its group, and into how many the group is cut
         for b in batches:
-            for i in range(0, b.num_rows, block):
-                part = b.slice(i, block)
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
                 ids, v = part.column("id").to_numpy(), _matrix(part.column("v"))
-                cells = q.probes(v, probe)
-                rows = [(int(c), ids[on].astype("<i8").tobytes(), v[on].astype("<f8").tobytes()) for c in np.unique(cells) for on in [np.flatnonzero((cells == c).any(1))]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["cell", "qids", "qvecs"])
+                _, on = q.visits(v, probe)
+                for j, x in enumerate(v):
+                    first, at = np.unique(start[on[j]], return_index=True)
+                    n = cuts[on[j]][at]
+                    group = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), pa.array(np.ones(len(group), np.int32)), pa.array(np.full(len(group), -1, np.int32)), pa.array(np.full(len(group), ids[j], np.int64)), pa.array([x.astype("<f8").tobytes()] * len(group), pa.binary()), pa.array(np.zeros(len(group)))], _ROW)
 
     return run
 
 
-def _scan(sent, rerank: int):
-    """Best candidates of each query among the blocks of a task, by approximate distance and id."""
+_ROW = ["group", "kind", "cell", "id", "data", "term"]
+
+
+def _candidates(q: Quantiser, probe: int, rerank: int, cell, ids, codes, term, qids, v):
+    """(query, id, approximate squared distance): the best of a group for each query that visits one of its lists."""
+    d, on = q.visits(v, probe)
+    tables = q.tables(v)
+    score = np.repeat(term[None], len(v), axis=0)
+    for j, t in enumerate(tables):
+        score -= 2 * t[:, codes[:, j]]
+    score += d[:, cell]
+    score[~on[:, cell] | (ids[None] == qids[:, None])] = np.inf
+    for i, s in enumerate(score):
+        at = np.flatnonzero(s <= np.partition(s, rerank)[rerank]) if len(s) > rerank else np.arange(len(s))  # all that can rank, ties included
+        at = at[np.isfinite(s[at])]
+        at = at[np.lexsort((ids[at], s[at]))[:rerank]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), qids[i], np.int64)), pa.array(ids[at]), pa.array(s[at])], ["query_id", "id", "approx"])
 
-    def run(batches):
-        q = sent.value
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        def flush():
-            for i in sorted(best):
-                d, ids = best[i]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), i, np.int64)), pa.array(ids), pa.array(d)], ["query_id", "id", "approx"])
-            best.clear()
+def _scan(sent, probe: int, rerank: int):
+    """Candidates from rows in order of group and kind: a group's vectors come before its queries."""
 
+    def run(batches):
+        q, group, held, index = sent.value[0], None, [], None
         for b in batches:
-            for cell, ids, codes, qids, qvecs in zip(*(b.column(k).to_pylist() for k in ("cell", "ids", "codes", "qids", "qvecs")), strict=True):
-                ids, qids = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
-                codes = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
-                score = q.scores(np.frombuffer(qvecs, "<f8").reshape(len(qids), -1), cell, codes)
-                for i, s in zip(qids.tolist(), score, strict=True):
-                    d, own = s, ids
-                    if len(d) > 4 * rerank:  # all that can rank, ties included
-                        on = d <= np.partition(d, rerank)[rerank]
-                        d, own = d[on], own[on]
-                    on = own != i
-                    d, own = d[on], own[on]
-                    if i in best:
-                        d, own = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], own])
-                    order = np.lexsort((own, d))[:rerank]
-                    best[i] = d[order], own[order]
-                if len(best) > 4096:
-                    yield from flush()
-        yield from flush()
+            g, kind = b.column("group").to_numpy(), b.column("kind").to_numpy()
+            cut = np.flatnonzero((g[1:] != g[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(g)], strict=True):
+                if lo == hi:
+                    continue
+                part = b.slice(lo, hi - lo)
+                if g[lo] != group:
+                    group, held, index = g[lo], [], None
+                ids, data = part.column("id").to_numpy(), b"".join(part.column("data").to_pylist())
+                if kind[lo] == 0:
+                    held.append((part.column("cell").to_numpy(), ids, np.frombuffer(data, np.uint8).reshape(len(ids), -1), part.column("term").to_numpy()))
+                elif held:
+                    index = index or [np.concatenate(x) for x in zip(*held, strict=True)]
+                    v = np.frombuffer(data, "<f8").reshape(len(ids), -1)
+                    step = max(1, SCORES // len(index[1]))
+                    for i in range(0, len(ids), step):
+                        yield from _candidates(q, probe, rerank, *index, ids[i : i + step], v[i : i + step])
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", lists: int = 64, probe: int = 52, parts: int = 16, rerank: int = 1000, sample: int = SAMPLE) -> DataFrame:
-    """The k nearest found of each query: query_id, rank, id, score (Euclidean, double precision)."""
+def search(
+    vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", lists: int | None = None, probe: int | None = None,
+    parts: int = 16, rerank: int = 200, sample: int = SAMPLE, target: float = TARGET, dimension: int | None = None,
+) -> DataFrame:
+    """The k nearest found of each query: query_id, rank, vec_id, score (Euclidean, double precision).
+
+    lists and probe follow from the number of rows and the measured curve unless given.
+    """
     spark = vectors.sparkSession
     ship_package(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     every, asked = valid(vectors, id_col, vec_col), valid(queries, id_col, vec_col)
-    sizes = every.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    sizes = every.where(F.size("v") == dimension) if dimension else every
+    sizes = sizes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if sizes is None:
         return spark.createDataFrame([], schema)
     every, asked = C.materialise(every.where(F.size("v") == sizes["d"]), "vectors"), asked.where(F.size("v") == sizes["d"])
     rows = every.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()  # at most `sample` rows
-    sent = spark.sparkContext.broadcast(Quantiser(np.array([r["v"] for r in rows], np.float64), lists, parts))
-    parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _blocks(C.materialise(every.mapInArrow(_encode(sent), "id long, cell int, code binary"), "codes"), BLOCK)
-    packed = asked.mapInArrow(_assign(sent, probe, QUERY_BLOCK), "cell int, qids binary, qvecs binary")
-    # a row is a whole block; each is dealt to a task of its own, whatever its list
-    met = blocks.join(packed, "cell").repartition(parts_n)
-    found = met.mapInArrow(_scan(sent, rerank), "query_id long, id long, approx double")
-    from pyspark.sql import Window
-
+    q = Quantiser(np.array([r["v"] for r in rows], np.float64), lists or 8 * math.isqrt(sizes["count"]) + 1, parts, target=target, k=k)
+    probe = probe or q.probe
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = spark.sparkContext.broadcast(q)
+    coded = C.materialise(every.mapInArrow(_encode(sent), "id long, cell int, data binary, term double"), "codes")
+    # groups: neighbouring lists, each as large as a task can hold
+    near, _ = nearest(q.coarse, kmeans(q.coarse, min(len(q.coarse), max(tasks, -(-sizes["count"] // GROUP)))))
+    size = np.zeros(len(q.coarse), np.int64)
+    for r in coded.groupBy("cell").count().collect():  # a row per list
+        size[r["cell"]] = r["count"]
+    cuts = np.maximum(1, -(-np.bincount(near, size).astype(np.int64) // GROUP))
+    start = np.cumsum(cuts) - cuts
+    grouped = spark.sparkContext.broadcast((q, start[near], cuts[near]))
+    places = F.broadcast(spark.createDataFrame([(i, int(start[g]), int(cuts[g])) for i, g in enumerate(near.tolist())], "cell int, start int, cuts int"))  # a row per list
+    group = (F.col("start") + F.pmod(F.xxhash64("id"), F.col("cuts"))).cast("int")
+    indexed = coded.join(places, "cell").select(group.alias("group"), F.lit(0).alias("kind"), "cell", "id", "data", "term")
+    wanted = asked.mapInArrow(_assign(grouped, probe), "group int, kind int, cell int, id long, data binary, term double")
+    met = indexed.unionByName(wanted).repartition(max(tasks, int(cuts.sum())), "group").sortWithinPartitions("group", "kind")
+    found = met.mapInArrow(_scan(grouped, probe, rerank), "query_id long, id long, approx double")
     order = Window.partitionBy("query_id").orderBy("approx", "id")
     short = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rerank).select("query_id", "id")
     exact = short.join(every, "id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")

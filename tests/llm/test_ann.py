@@ -56,6 +56,48 @@ def test_recall(spark):
     assert hits / sum(map(len, expected.values())) >= 0.9
 
 
+def test_query_on_the_driver_tables(spark):
+    """The registered query with its own parameters: recall, scores, and the share of the vectors that it scores."""
+    import os
+
+    for name in ("sf0.001", "sf0.1"):
+        path = f"/root/testdata/{name}"
+        if not os.path.isdir(path):
+            continue
+        rows = [(r.vec_id, r.embedding, None) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
+        expected = brute(rows, [i for i, *_ in rows if i % 100 == 0])
+        got = A.op1_ann(spark, path).collect()
+        assert {r.query_id for r in got} == set(expected) and len(got) == 10 * len(expected)
+        exact = {i: v for i, v, _ in rows}
+        hits = 0
+        for r in got:
+            assert abs(r.score - math.dist(exact[r.query_id], exact[r.vec_id])) < 1e-9
+            hits += r.vec_id in {i for _, i in expected[r.query_id]}
+        assert hits / len(got) >= 0.9
+
+
+def test_clustered_vectors_cost_few_lists():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.2
+    q = A.Quantiser(x, 8 * math.isqrt(len(x)), 4)
+    assert len(q.coarse) == 500 and q.probe < 50
+    cell, codes, term = q.encode(x)
+    near = np.concatenate([b[codes[:, j]] for j, b in enumerate(q.books)], axis=1) + q.coarse[cell]
+    d = q.distances(x[:3])[:, cell] + term - 2 * sum(t[:, codes[:, j]] for j, t in enumerate(q.tables(x[:3])))
+    assert np.allclose(d, ((x[:3, None] - near[None]) ** 2).sum(2))
+
+
+def test_hot_lists_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(A, "GROUP", 64)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)], 1) for i in range(300)] + [(i, [1.0] * 8, 1) for i in range(300, 700)]
+    every = spark.createDataFrame(rows, ROWS)
+    got = A.search(every, every.where("vec_id in (0, 100, 500)"), probe=10**6).collect()
+    expected = brute(rows, [0, 100, 500])
+    for q, near in expected.items():
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [i for _, i in near]
+
+
 def test_kmeans_keeps_all_centroids_busy():
     x = np.repeat(np.eye(3), 50, axis=0)
     near, dist = A.nearest(x, A.kmeans(x, 3))

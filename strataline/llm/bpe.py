@@ -24,7 +24,7 @@ from ..session import ship_package
 from . import common as C
 
 #: Characters of a leaf and of a first window on each side.
-LEAF, WINDOW = 8192, 32
+LEAF, WINDOW = 256, 32
 
 _BUILT: dict[bytes, Codec] = {}
 
@@ -36,7 +36,7 @@ class Codec:
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
-        self.leaf, self.window = max(2, leaf), max(1, window)
+        self.leaf, self.window, self.joins = max(2, leaf), max(1, window), 0
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.bytes_of = [b""] * (max(table.values()) + 1)
         for token, rank in table.items():
@@ -54,6 +54,7 @@ class Codec:
 
     def join(self, left: str, left_ids: np.ndarray, right: str, right_ids: np.ndarray) -> np.ndarray:
         """Ids of left + right from the ids of both."""
+        self.joins += 1
         if not left or not right:
             return left_ids if left else right_ids
         a, b = self._last_boundary(left), self._first_boundary(right)

@@ -7,7 +7,7 @@ import pytest
 
 from strataline.llm import bpe as B
 
-from .helpers import clashing, empty, odd_documents
+from .helpers import DATA, clashing, empty, odd_documents
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -36,6 +36,21 @@ def test_very_long_texts(ranks, text):
     assert codec.encode(text).tolist() == codec.encoding.encode_ordinary(text)
 
 
+def test_query_on_the_driver_tables(spark, ranks):
+    """Ids of every document, and most documents go through joins."""
+    codec = B.Codec(ranks, P.PATTERN)
+    expected, joined = [], 0
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    for r in docs:
+        ids = np.array(codec.encoding.encode_ordinary(r.text or ""), "<u4")
+        before = codec.joins
+        assert codec.encode(r.text or "").tolist() == ids.tolist()
+        joined += codec.joins > before
+        expected.append((r.doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert sorted(map(tuple, B.op5_byte_bpe(spark, DATA).collect())) == sorted(expected)
+    assert joined > 0.7 * len(docs) and codec.joins > 3 * len(docs)
+
+
 def test_query(spark, ranks):
     docs = odd_documents(spark)
     plain = B.codec(ranks, P.PATTERN).encoding

@@ -7,7 +7,8 @@ need padding. Start positions come from sums per range partition, whose number i
 
 Tokenising: text is split at ASCII white space, which no token crosses; the ids of each such word are found once and kept in
 a bounded table per worker. A new word goes through the normaliser, the split pattern and the merges; words with characters
-beyond Latin Extended-B go through the tokenizers library itself.
+beyond Latin Extended-B, and whole texts that hold a string of one of the vocabulary's added tokens, go through the tokenizers
+library itself: ids are those of `Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False)`.
 
 Defined results: a null text is empty (its one id is the end id); a null id stays null and sorts first; repeated rows are
 packed one by one; an empty table gives no rows; columns beyond id and text are not read.
@@ -54,7 +55,11 @@ class WordTokenizer(dict):
 
         super().__init__()
         self.limit = limit
-        model = json.loads(blob)["model"]
+        file = json.loads(blob)
+        model = file["model"]
+        if any(t["normalized"] for t in file["added_tokens"]):
+            raise ValueError("an added token is looked up in the normalised text")
+        self.added = tuple(t["content"].encode() for t in file["added_tokens"])
         mark, symbols = model["end_of_word_suffix"], _byte_symbols()
         ranks = {}
         for token, i in model["vocab"].items():
@@ -75,7 +80,6 @@ class WordTokenizer(dict):
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_str(self.blob.decode())
-            self.library.encode_special_tokens = True
         return self.library
 
     def __missing__(self, word: bytes) -> bytes:
@@ -101,6 +105,8 @@ class WordTokenizer(dict):
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a whole text, two bytes each."""
+        if any(t in text for t in self.added):
+            return np.array(self.slow.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes()
         return b"".join(map(self.__getitem__, text.split()))
 
 

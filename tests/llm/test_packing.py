@@ -5,9 +5,11 @@ from itertools import groupby
 import numpy as np
 import pytest
 
+from tokenizers import Tokenizer
+
 from strataline.llm import packing as K
 
-from .helpers import clashing, empty, odd_documents
+from .helpers import DATA, clashing, empty, odd_documents
 
 
 @pytest.fixture(scope="module")
@@ -16,8 +18,11 @@ def tokenizer():
         return K.WordTokenizer(f.read(), limit=500)
 
 
-def library(tok, text):
-    return tok.slow.encode(text, add_special_tokens=False).ids
+LIBRARY = Tokenizer.from_file(K.default_vocabulary())  # as it comes, with all defaults
+
+
+def library(text):
+    return LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def test_words_equal_the_library(tokenizer):
@@ -25,7 +30,7 @@ def test_words_equal_the_library(tokenizer):
     parts = [*"abcdefghijklmnopqrstuvwxyzAZ", "'s", "'", "'re", "é", "ß", "İ", "e\u0301", " ", "  ", "\n", "1", "22", "!", "?!", "日本", "\u00a0", "\u3000", "🙂", "\x1c", "\x85", "<|endoftext|>", "ſ", "ª", "²", "\u200b", "\x00", "the", "ing", "-"]
     for _ in range(4000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
-        assert np.frombuffer(tokenizer.encode(text.encode()), "<u2").tolist() == library(tokenizer, text), text
+        assert np.frombuffer(tokenizer.encode(text.encode()), "<u2").tolist() == library(text), text
 
 
 def test_hilbert_neighbours_are_adjacent():
@@ -36,7 +41,7 @@ def test_hilbert_neighbours_are_adjacent():
         assert (np.abs(np.diff(grid[order], axis=0)).sum(1) == 1).all()
 
 
-def check(rows, docs, tok, length):
+def check(rows, docs, length):
     """Every id of every document is in one piece; sequences are gapless and full but for the last."""
     pieces = sorted(rows, key=lambda r: (r.sequence_id, r.offset))
     for s, group in groupby(pieces, key=lambda r: r.sequence_id):
@@ -47,7 +52,7 @@ def check(rows, docs, tok, length):
         assert at == length or s == pieces[-1].sequence_id
     expected, found = [], []
     for r in docs:
-        ids = np.array([*library(tok, r.text or ""), 1], "<u4")
+        ids = np.array([*library(r.text or ""), 1], "<u4")
         expected.append((r.doc_id, len(ids)))
         by_start = [p for p in rows if p.doc_id == r.doc_id and p.doc_tokens == len(ids)]
         assert any(p.start == 0 for p in by_start)
@@ -60,9 +65,28 @@ def check(rows, docs, tok, length):
 
 
 @pytest.mark.parametrize("length", [2048, 64])
-def test_pieces(spark, tokenizer, length):
-    docs = odd_documents(spark)
-    check(K.pack(clashing(docs), K.default_vocabulary(), length).collect(), docs.collect(), tokenizer, length)
+def test_pieces(spark, length):
+    docs = odd_documents(spark, [(20, "hello <|endoftext|> there<|startoftext|>", "en", "s", 1), (21, "<|ENDOFTEXT|> <|other|>", "en", "s", 1)])
+    check(K.pack(clashing(docs), K.default_vocabulary(), length).collect(), docs.collect(), length)
+
+
+def test_added_tokens_are_the_librarys(tokenizer):
+    text = "hello <|endoftext|> there"
+    assert np.frombuffer(tokenizer.encode(text.encode()), "<u2").tolist() == [3306, 49407, 997] == library(text)
+
+
+def test_ties_on_the_curve_follow_ids(spark):
+    rows = [(i, "the same text here", None, None, None) for i in (5, 3, 9, 1, 7, 3)]
+    got = K.pack(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), K.default_vocabulary(), 8).collect()
+    check(got, [type("R", (), {"doc_id": i, "text": t}) for i, t, *_ in rows], 8)
+    assert [r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0] == [1, 3, 3, 5, 7, 9]
+
+
+def test_query_on_the_driver_tables(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    got = K.op9_packing(spark, DATA).collect()
+    check(got, docs, 2048)
+    assert {r.padded_length for r in got} <= {2048, *(1 << k for k in range(11))}
 
 
 def test_empty(spark):

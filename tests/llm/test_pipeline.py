@@ -1,5 +1,5 @@
 import corpus_pipeline
-from strataline.llm import catalog, language, packing
+from strataline.llm import catalog, language
 
 from .helpers import DOCS, words
 from .test_packing import check
@@ -30,8 +30,7 @@ def test_stages_match_brute_force(spark, tmp_path):
             t = t[:s] + f"[{('EMAIL', 'IP', 'CARD', 'PHONE')[k]}]" + t[e:]
         expected.append(t)
     docs_left = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(cut, expected, strict=True)], DOCS).collect()
-    with open(packing.default_vocabulary(), "rb") as f:
-        check(corpus_pipeline.run(spark, str(tmp_path)).collect(), docs_left, packing.WordTokenizer(f.read()), 2048)
+    check(corpus_pipeline.run(spark, str(tmp_path)).collect(), docs_left, 2048)
 
 
 def test_catalog_is_whole():

@@ -1,14 +1,18 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page id. Each task writes its range as gzip members, one per record, and starts the next file when
-the compressed size passes `roll_bytes`. Headers are made anew from the content: WARC-Record-ID is derived from page id and
+Records are range-sorted by page id into shards whose bounds follow from the pages alone: bytes are summed by range of ids,
+ranges of more than the target are cut again, and neighbouring ranges are joined up to it. The target is `shard_bytes`, or a
+65,536th of all bytes if that is more. A task writes whole shards, each as gzip members, one per record, and starts a shard's
+next file when the compressed size passes `roll_bytes`. Headers are made anew from the content: WARC-Record-ID is derived from page id and
 payload digest, WARC-Date is a parameter, both digests are SHA-256, Content-Length counts what is written. Equal payloads of
 at least `min_revisit` bytes are written once: the smallest page id is the response, the others are revisits that name it.
 Files are written under temporary names and renamed; each task reports its files as manifest rows, and the archive counts as
-committed when the manifest stands. The same input gives the same bytes, so a repeated task overwrites its own result.
+committed when the manifest stands. The same input gives the same files and bytes, whatever the number of partitions, so a
+repeated task overwrites its own result.
 
 Defined results: a null html is an empty payload; a null url is written as an empty target; rows with a null page id are
-written with an empty id, are never referred to and sort first; repeated rows are written one by one, and of rows with equal
+written with an empty id, are never referred to and stand in shards of their own, first and in order of their digests; the
+rows of one page id are never split; repeated rows are written one by one, and of rows with equal
 id and payload one is the response (the others revisit its id); an empty table gives an empty manifest; other columns are
 not read.
 """
@@ -27,6 +31,8 @@ from ..session import ship_package
 from . import common as C
 
 ROLL_BYTES = 64 << 20
+#: Bytes of a shard before compression, with HEAD bytes for each record's headers; most shards of an archive.
+SHARD_BYTES, HEAD, SHARDS = 32 << 20, 512, 1 << 16
 MIN_REVISIT = 100
 DATE = "2000-01-01T00:00:00Z"
 LEVEL = 6
@@ -92,10 +98,10 @@ def _members(blob_stream, size: int = 1 << 20):
 
 def _writer(root: str, roll_bytes: int, date: str, level: int):
     def run(batches):
-        state = {"parts": [], "size": 0, "n": 0, "k": 0, "part": None}
+        state = {"parts": [], "size": 0, "n": 0, "k": 0, "shard": None}
 
         def close():
-            name = f"part-{state['part']:06d}-{state['k']:05d}.warc.gz"
+            name = f"part-{state['shard']:06d}-{state['k']:05d}.warc.gz"
             C.write_file(f"{root}/{name}", state["parts"])
             h = hashlib.sha256()
             for p in state["parts"]:
@@ -106,8 +112,11 @@ def _writer(root: str, roll_bytes: int, date: str, level: int):
 
         mark, done = None, None
         for b in C.chunks(batches, "html", 4 << 20):
-            state["part"] = b.column("part")[0].as_py()
-            for page_id, digest, first, url, html in zip(*(b.column(k).to_pylist() for k in ("page_id", "payload_digest", "first", "url", "html")), strict=True):
+            for shard, page_id, digest, first, url, html in zip(*(b.column(k).to_pylist() for k in ("shard", "page_id", "payload_digest", "first", "url", "html")), strict=True):
+                if shard != state["shard"]:
+                    if state["n"]:
+                        yield close()
+                    state.update(shard=shard, k=0)
                 own = (page_id, digest)
                 if first is not None:  # stands before the rows that it is about
                     mark = (*own, first)
@@ -128,30 +137,85 @@ def _writer(root: str, roll_bytes: int, date: str, level: int):
     return run
 
 
-def with_marks(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """Page rows (first null), and for each page that shares its payload a small row with the first page's id.
+def shard_starts(sizes: DataFrame, target: int) -> list[int]:
+    """First page id of each shard, from (page_id, n): all rows of ids from one start to the next make up to `target` bytes,
+    unless a single id has more. Sums of bytes by range are all that reaches the driver, a bounded number at a time."""
+    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
+    if low is None:
+        return []
+    wide = max(0, (high - low).bit_length() - 12)
 
-    Only ids and digests are grouped and joined; payloads are shuffled once, by the sort that follows.
+    def sums(rows: DataFrame, shift: int) -> dict[int, int]:
+        return {r["cell"]: r["n"] for r in rows.groupBy(F.shiftright("page_id", shift).alias("cell")).agg(F.sum("n").alias("n")).collect()}
+
+    done: list[tuple[int, int]] = []
+    cells, shift = sums(sizes, wide), wide
+    while True:
+        heavy = [c for c, n in cells.items() if n > target and shift]
+        done += [(c << shift, n) for c, n in cells.items() if n <= target or not shift]
+        if not heavy:
+            break
+        step = min(shift, 12, max(1, 19 - len(heavy).bit_length()))
+        places = sizes.sparkSession.createDataFrame([(c,) for c in heavy], "cell long")  # at most bytes / target rows
+        rows = sizes.join(F.broadcast(places), F.shiftright("page_id", shift) == F.col("cell"), "left_semi")
+        cells, shift = sums(rows, shift - step), shift - step
+    out, held = [], 0
+    for start, n in sorted(done):
+        if not out or held + n > target:
+            out.append(start)
+            held = 0
+        held += n
+    return out
+
+
+def with_shard(rows: DataFrame, starts: list[int], null_bits: int | None) -> DataFrame:
+    """Rows with the number of their shard: of the last start at or below the page id; null ids go by their digest."""
+    first = 0 if null_bits is None else 1 << null_bits
+    by_digest = F.shiftright(F.conv(F.substring("payload_digest", 1, 4), 16, 10).cast("int"), 16 - (null_bits or 0))
+    if not starts:
+        return rows.withColumn("shard", by_digest)
+    shift = max(0, (starts[-1] - starts[0]).bit_length() - 12)
+    cells: dict[int, list[int]] = {}
+    for s in starts:
+        cells.setdefault(s >> shift, []).append(s)
+    low, number, table = min(cells), 0, []
+    for c in range(low, max(cells) + 1):  # at most 4,097 rows, and a number per shard
+        table.append((c, number, cells.get(c, [])))
+        number += len(cells.get(c, []))
+    places = F.broadcast(rows.sparkSession.createDataFrame(table, "cell long, before int, starts array<long>"))
+    cell = F.least(F.greatest(F.shiftright("page_id", shift), F.lit(low)), F.lit(max(cells)))
+    placed = rows.withColumn("cell", cell).join(places, "cell", "left")
+    inside = F.size(F.filter("starts", lambda x: x <= F.col("page_id")))
+    return placed.withColumn("shard", F.when(F.col("page_id").isNull(), by_digest).otherwise(F.lit(first) + F.col("before") + inside - 1)).drop("cell", "before", "starts")
+
+
+def write(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, date: str = DATE, level: int = LEVEL, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Write the archive under `root`; returns its manifest (file, records, bytes, sha256), which stands as JSON in root/manifest.
+
+    Only ids, sizes and digests are grouped and joined: a page that shares its payload gets a small row with the first page's
+    id, which is sorted before it. Payloads are shuffled once, to their shard.
     """
+    spark = pages.sparkSession
+    ship_package(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("payload_digest", F.sha2(F.encode("html", "UTF-8"), 256))
-    keys = rows.where((F.octet_length("html") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
+    facts_at = C.scratch(spark, "pages")
+    size = F.octet_length("html").cast("long")
+    facts = C.materialise(rows.select("page_id", "payload_digest", size.alias("size"), (size + F.coalesce(F.octet_length("url"), F.lit(0)) + HEAD).alias("n")), "pages", facts_at)
+    whole = facts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.when(F.col("page_id").isNull(), F.col("n"))).alias("none")).first()
+    target = max(shard_bytes, whole["n"] // SHARDS)
+    starts = shard_starts(facts.where("page_id is not null"), target)
+    null_bits = None if whole["none"] is None else min(16, (whole["none"] // target).bit_length())
+    keys = facts.where((F.col("size") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
     first = keys.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     none = F.lit(None).cast("string")
     marks = keys.distinct().join(first, "payload_digest").select("page_id", none.alias("url"), none.alias("html"), "payload_digest", "first")
-    return rows.withColumn("first", F.lit(None).cast("long")).unionByName(marks)
-
-
-def write(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, date: str = DATE, level: int = LEVEL) -> DataFrame:
-    """Write the archive under `root`; returns its manifest (file, records, bytes, sha256), which stands as JSON in root/manifest."""
-    spark = pages.sparkSession
-    ship_package(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = [F.col("page_id").asc_nulls_first(), F.col("payload_digest")]
-    ranged = with_marks(pages, min_revisit).repartitionByRange(parts, *key)  # rows with equal keys meet in one partition
-    ordered = ranged.sortWithinPartitions(*key, F.col("first").desc_nulls_last(), F.xxhash64("url", "html"))
-    manifest = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_writer(root, roll_bytes, date, level), _MANIFEST)
+    every = with_shard(rows.withColumn("first", F.lit(None).cast("long")).unionByName(marks), starts, null_bits)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(starts) // 8)
+    ordered = every.repartition(tasks, "shard").sortWithinPartitions("shard", "page_id", "payload_digest", F.col("first").desc_nulls_last(), F.xxhash64("url", "html"))
+    manifest = ordered.mapInArrow(_writer(root, roll_bytes, date, level), _MANIFEST)
     manifest.write.mode("overwrite").json(f"{root}/manifest")
+    C.remove(spark, facts_at)
     return spark.read.schema(_MANIFEST).json(f"{root}/manifest")
 
 

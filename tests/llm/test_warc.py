@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from strataline.llm import common as C
 from strataline.llm import warc as W
@@ -47,6 +48,37 @@ def test_round_trip(spark, roll):
         C.remove(spark, path)
 
 
+def test_shards_do_not_follow_the_session(spark):
+    """100,000 pages, ids dense here and sparse there: equal files at any number of partitions."""
+    ids = F.when(F.col("id") < 60000, F.col("id")).when(F.col("id") < 99990, F.col("id") * 1000).otherwise(F.shiftleft("id", 40))
+    pages = spark.range(100_000).select(ids.alias("page_id"), F.concat(F.lit("http://a/"), "id").alias("url"), F.when(F.col("id") % 9 > 0, F.repeat(F.sha2(F.col("id").cast("string"), 256), 2)).otherwise("x" * 150).alias("html"))
+    pages = pages.unionByName(spark.range(3000).selectExpr("cast(null as bigint) page_id", "'u' url", "concat('n', id) html"))
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n, source in (("4", pages), ("7", pages.repartition(3).orderBy("html"))):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        root = C.scratch(spark, "test-warc")
+        manifest = W.write(source, root, shard_bytes=1 << 20, roll_bytes=100_000)
+        found.append(sorted(map(tuple, manifest.collect())))
+        assert W.read(spark, root).count() == 103_000
+        C.remove(spark, root)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    shards = {f[0].split("-")[1] for f in found[0]}
+    assert found[0] == found[1] and 40 < len(shards) < 140 and len(found[0]) > len(shards)
+
+
+def test_shards_keep_to_their_target(spark):
+    rows = [(i, 100) for i in range(1000)] + [(5, 5000), (1 << 62, 100), (-(1 << 62), 100)]
+    starts = W.shard_starts(spark.createDataFrame(rows, "page_id long, n long"), 1000)
+    total = {}
+    for i, n in rows:
+        k = sum(s <= i for s in starts)
+        total.setdefault(k, []).append((i, n))
+    assert min(total) == 1 and all(sum(n for _, n in x) <= 1000 or len({i for i, _ in x}) == 1 for x in total.values())
+    assert len(starts) < 250
+    placed = W.with_shard(spark.createDataFrame([(i, "ab") for i, _ in rows], "page_id long, payload_digest string"), starts, None)
+    assert all(r.shard == sum(s <= r.page_id for s in starts) - 1 for r in placed.collect())
+
+
 def test_empty(spark):
     root = C.scratch(spark, "test-warc")
     assert W.write(spark.createDataFrame([], PAGES), root).count() == 0

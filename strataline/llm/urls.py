@@ -18,6 +18,7 @@ null; columns beyond id and url are not read.
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,15 +31,17 @@ HOST_RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Pattern rules in production: gambling, adult, advertising, tracking and download traps.
-PATTERN_RULES = (
-    "^casino^", "^poker^", "^betting^", "^slots^", "^jackpot^",
-    "^porn^", "^xxx^", "^adult^", "^sex^",
-    "^ads^", "^adserver^", "^banner^", "||doubleclick.", "^popunder^",
-    "^viagra^", "^cialis^", "^payday-loans^", "^free-download^", "^warez^", "^torrent^", "^crack^", "^keygen^",
-    "/wp-login.php", "^phishing^", "^malware^", "^spam^",
-)
-#: Most rules whose index is a literal in the plan; more are joined by token.
+
+
+def read_rules(path: str | Path) -> tuple[str, ...]:
+    """The pattern rules of a file: one a line, without comments and empty lines."""
+    lines = (line.strip() for line in Path(path).read_text(encoding="utf-8").splitlines())
+    return tuple(dict.fromkeys(line for line in lines if line and not line.startswith("#")))
+
+
+#: Pattern rules in production: gambling, adult, advertising, tracking, shops, download traps and attacks.
+PATTERN_RULES = read_rules(Path(__file__).with_name("url_rules.txt"))
+#: Most rules whose tokens are broadcast and whose index is a literal in the plan; more are joined by token.
 LITERAL_RULES = 2_000
 
 
@@ -97,14 +100,18 @@ def _tokens(url: Column) -> Column:
 
 
 def rule_index(urls: DataFrame, patterns=PATTERN_RULES) -> tuple[dict[str, list[str]], list[str]]:
-    """Regexes of the rules filed under each token: a rule's rarest literal token in `urls`; and the regexes of rules without one."""
+    """Regexes of the rules filed under each token: a rule's rarest literal token in `urls`; and the regexes of rules without one.
+
+    The rules are a list of the caller's; what comes back to the driver has a row per rule.
+    """
     spark = urls.sparkSession
     pairs = [(t, r) for r in dict.fromkeys(patterns) for t in tokens_of(r)]
     without = [to_regex(r) for r in dict.fromkeys(patterns) if not tokens_of(r)]
     if not pairs:
         return {}, without
     wanted = spark.createDataFrame(pairs, "token string, rule string")
-    seen = urls.select(F.explode(_tokens(F.col("url"))).alias("token")).join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi").groupBy("token").count()
+    asked = wanted.select("token").distinct()
+    seen = urls.select(F.explode(_tokens(F.col("url"))).alias("token")).join(F.broadcast(asked) if len(pairs) <= LITERAL_RULES else asked, "token", "left_semi").groupBy("token").count()
     best = wanted.join(seen, "token", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("count", F.lit(0)), "token"))["token"].alias("token"))
     index: dict[str, list[str]] = {}
     for rule, token in sorted(best.collect()):  # one row per rule

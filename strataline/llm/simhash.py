@@ -5,10 +5,12 @@ A text is lower-cased (A-Z), its words are joined by single spaces, and every 4-
 bits; table v (every nonzero vector) keeps the bits with <m(i), v> = 1. The m(i) of RADIUS differing bits do not span the
 space, so some v is orthogonal to all of them: the pair has equal masked fingerprints in that table, always.
 
-Equal fingerprints are one node from the start. Buckets are read as sorted runs: within a run the links found are those of a
-spanning forest (each verified), so a run emits fewer links than it has members. A run of more than `limit` nodes is handed
-on instead: two nodes of one bucket within 4 bits share a value within 2 bits of both, so each member is sent to all values
-within 2 bits of it outside the mask, and members of one value link to the smallest: linear and exact, of any size.
+Equal fingerprints are one node from the start. Nodes are counted by bucket first. Buckets of up to `limit` nodes are read as
+sorted runs: the links found in a run are those of a spanning forest (each verified), so it emits fewer links than it has
+members. The nodes of larger buckets never meet in one task: two nodes of one bucket within 4 bits share a value within 2
+bits of both, so each node is sent, from where it lies, to all values within 2 bits of it outside the mask, and nodes of one
+value link to the smallest: linear and exact, of any size. Classes reach documents by fingerprint; a fingerprint of more than
+COPIES documents is looked up in a table of its own, which holds at most documents / COPIES rows.
 
 Defined results: a null text is empty; a text without words has fingerprint zero, linked like any other; a null id gets a
 row of its own and counts as largest (component_id is null only if all members' ids are); repeated rows give repeated
@@ -30,6 +32,8 @@ from .xxh64 import hash_spans
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Nodes of a bucket that one task compares; larger buckets go through shared values.
 BUCKET_LIMIT = 8192
+#: Documents of one fingerprint from which on its class is broadcast, not joined by key.
+COPIES = 100_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -81,7 +85,7 @@ def _signed(x: int) -> int:
 
 
 def _runs(batches, keys: list[str]):
-    """Sorted batches, cut so that no run of equal keys is split, as long as runs are short; (key columns, fp) arrays."""
+    """Sorted batches, cut so that no run of equal keys is split; (key columns, fp) arrays. Runs are of a bounded length."""
     held = None
     for b in batches:
         cols = [b.column(k).to_numpy() for k in [*keys, "fp"]]
@@ -118,7 +122,9 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _bucket_links(radius: int, limit: int):
+def _bucket_links(radius: int):
+    """Links of the runs of equal (t, key)."""
+
     def run(batches):
         for t, key, fp in _runs(batches, ["t", "key"]):
             new = np.ones(len(t), bool)
@@ -128,19 +134,11 @@ def _bucket_links(radius: int, limit: int):
             two = start[size == 2]
             ok = np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= radius
             a, b = [fp[two + 1][ok]], [fp[two][ok]]
-            big = []
             for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                if n <= limit:
-                    x, y = _forest(fp[s : s + n], radius)
-                    a.append(np.array(x, np.int64))
-                    b.append(np.array(y, np.int64))
-                else:
-                    big.append((s, n))
-            u, v = np.concatenate(a), np.concatenate(b)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), -1, np.int32)), pa.array(u), pa.array(v)], ["t", "u", "v"])
-            for s, n in big:
-                yield pa.RecordBatch.from_arrays([pa.array(t[s : s + n]), pa.array(fp[s : s + n]), pa.array(key[s : s + n])], ["t", "u", "v"])
+                x, y = _forest(fp[s : s + n], radius)
+                a.append(np.array(x, np.int64))
+                b.append(np.array(y, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["u", "v"])
 
     return run
 
@@ -150,7 +148,7 @@ def _spread(radius: int, family: list[int]):
 
     def run(batches):
         for b in batches:
-            t, fp = b.column("t").to_numpy(), b.column("u").to_numpy()
+            t, fp = b.column("t").to_numpy(), b.column("fp").to_numpy()
             for table in np.unique(t):
                 free = [np.uint64(1 << i) for i in range(64) if not family[table] >> i & 1]
                 flips, level = [np.uint64(0)], [(0, np.uint64(0))]
@@ -192,10 +190,11 @@ def link_nodes(nodes: DataFrame, radius: int = RADIUS, limit: int = BUCKET_LIMIT
     family = masks(radius)
     signed = [_signed(m) for m in family]
     tables = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed))))
-    keyed = nodes.select("fp", tables.alias("e")).select("e.t", "e.key", "fp").repartition("t", "key").sortWithinPartitions("t", "key", "fp")
-    found = C.materialise(keyed.mapInArrow(_bucket_links(radius, limit), "t int, u long, v long"), "buckets")
-    small = found.where("t < 0").select("u", "v")
-    spread = found.where("t >= 0").select("t", "u").mapInArrow(_spread(radius, family), "t int, key long, fp long")
+    keyed = nodes.select("fp", tables.alias("e")).select("e.t", "e.key", "fp")
+    hot = C.materialise(keyed.groupBy("t", "key").count().where(F.col("count") > limit).select("t", "key"), "buckets")
+    usual = keyed.join(hot, ["t", "key"], "left_anti").repartition("t", "key").sortWithinPartitions("t", "key", "fp")
+    small = usual.mapInArrow(_bucket_links(radius), "u long, v long")
+    spread = keyed.join(hot, ["t", "key"], "left_semi").select("t", "fp").mapInArrow(_spread(radius, family), "t int, key long, fp long")
     large = spread.repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(_value_links, "u long, v long")
     return small.unionByName(large)
 
@@ -211,12 +210,14 @@ def _classes(docs: DataFrame, radius: int, limit: int) -> DataFrame:
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
     marked = C.materialise(rows.mapInArrow(_fingerprint, "doc_id long, key long, fp long"), "fingerprints")
-    nodes = C.materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    nodes = C.materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
     root = components(link_nodes(nodes.select("fp"), radius, limit))
-    named = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    named = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low", "n")
     best = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = named.join(best, "root").select("fp", "root", "component_id")
-    return marked.join(label, "fp")
+    label = C.materialise(named.join(best, "root").select("fp", "root", "component_id", "n"), "classes")
+    many = F.broadcast(label.where(F.col("n") > COPIES).drop("n"))  # at most a row per COPIES documents
+    usual = marked.join(many.select("fp"), "fp", "left_anti").join(label.where(F.col("n") <= COPIES).drop("n"), "fp")
+    return usual.unionByName(marked.join(many, "fp"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -227,10 +228,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, limit: int = BUCKET_L
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the document with the smallest id stays (null ids are largest; of repeated rows, one)."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    keep = _classes(docs, RADIUS, BUCKET_LIMIT).groupBy("root").agg(F.min(place).alias("k")).select(F.col("k.doc_id").alias("_sl_keep"), F.col("k.key").alias("_sl_key2")).distinct()
-    marked = docs.withColumn("_sl_key", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_sl_keep")) & (F.col("_sl_key") == F.col("_sl_key2"))
-    return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_sl_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    own, keep_id, keep_key = C.fresh(docs.columns, "own_key", "keep_id", "keep_key")
+    keep = _classes(docs, RADIUS, BUCKET_LIMIT).groupBy("root").agg(F.min(place).alias("k")).select(F.col("k.doc_id").alias(keep_id), F.col("k.key").alias(keep_key)).distinct()
+    marked = docs.withColumn(own, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & (F.col(own) == F.col(keep_key))
+    return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", own]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

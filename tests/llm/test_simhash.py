@@ -10,7 +10,7 @@ from strataline.llm import simhash as S
 from strataline.llm.graph import components
 from strataline.llm.xxh64 import hash_spans
 
-from .helpers import DOCS, clashing, empty, odd_documents
+from .helpers import DATA, DOCS, clashing, empty, odd_documents
 
 
 def fingerprint(text):
@@ -113,7 +113,19 @@ def test_stage_keeps_one_of_each_class(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(p[:2] for p in expected.values())
 
 
-def test_hot_group_of_copies(spark):
+def test_hot_group_of_copies(spark, monkeypatch):
     rows = [(i, "the very same text here and there" if i % 3 else f"own {i} text " * 9, "en", "s", 1) for i in range(300)]
-    got = S.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    docs = spark.createDataFrame(rows, DOCS)
+    got = S.near_duplicates(docs).collect()
     assert {r.component_id for r in got if r.doc_id % 3} == {1}
+    monkeypatch.setattr(S, "COPIES", 100)
+    assert Counter(map(tuple, S.near_duplicates(docs).collect())) == Counter(map(tuple, got)) == brute([r[:2] for r in rows])
+
+
+def test_query_on_the_driver_tables(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    assert Counter(map(tuple, S.op6_simhash(spark, DATA).collect())) == brute([(r.doc_id, r.text) for r in docs])
+
+
+def test_empty_stage(spark):
+    assert S.stage(spark, empty(spark), "").count() == 0

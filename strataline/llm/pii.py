@@ -12,6 +12,8 @@ size, keeps most other words out of the shuffle; the join after it decides, so t
 An instance's reliability is 1 for seeds, else 1 - prod(1 - confidence) over its patterns. Patterns of at least `support`
 distinct reliable fillers and `confidence` accept the candidates in their slots; those become added spans.
 
+Where personal data stands among unrelated words there is no pattern to learn, and the base spans are all that is reported.
+
 Defined results: a null text is empty; a null id gets a row of its own; repeated rows get repeated results (their contexts
 count each time); an empty table gives no rows; spans never overlap base spans of any kind if added; the operator reads id
 and text only, and the stage keeps all columns of its input, with spans replaced by their kind in brackets.
@@ -312,14 +314,15 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all found spans are masked; every document and column stays."""
     _, added = _found(docs, ROUNDS, SUPPORT, CONFIDENCE)
     names = docs.columns
-    marked = docs.select("*", F.col("doc_id").cast("long").alias("_sl_id"), F.xxhash64("text").alias("_sl_key"))
-    added = added.select(F.col("id").alias("_sl_id2"), F.col("key").alias("_sl_key2"), F.col("added").alias("_sl_added"))
-    same = F.col("_sl_id").eqNullSafe(F.col("_sl_id2")) & (F.col("_sl_key") == F.col("_sl_key2"))
-    joined_ = marked.join(added, same, "left").select(*(F.col(f"`{c}`") for c in names), "_sl_added")
+    own, own_key, flag_id, flag_key, flag = C.fresh(names, "own_id", "own_key", "flag_id", "flag_key", "flags")
+    marked = docs.select("*", F.col("doc_id").cast("long").alias(own), F.xxhash64("text").alias(own_key))
+    added = added.select(F.col("id").alias(flag_id), F.col("key").alias(flag_key), F.col("added").alias(flag))
+    same = F.col(own).eqNullSafe(F.col(flag_id)) & (F.col(own_key) == F.col(flag_key))
+    joined_ = marked.join(added, same, "left").select(*(F.col(f"`{c}`") for c in names), flag)
 
     def run(batches):
         for b in C.chunks(batches, "text"):
-            text, added_ = b.column("text").to_pylist(), b.column("_sl_added").to_pylist()
+            text, added_ = b.column("text").to_pylist(), b.column(flag).to_pylist()
             data, off = C.utf8(b.column("text"))
             total = np.concatenate([[0], np.cumsum(_MARK[data])])
             for i in np.flatnonzero((total[off[1:]] > total[off[:-1]]) | np.array([bool(a) for a in added_], bool)).tolist():

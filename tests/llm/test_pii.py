@@ -10,7 +10,7 @@ import pytest
 from strataline.llm import common as C
 from strataline.llm import pii as P
 
-from .helpers import DOCS, clashing, empty, odd_documents, words
+from .helpers import DATA, DOCS, clashing, empty, odd_documents, words
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -120,6 +120,56 @@ def test_context_totals_match_brute_force(spark):
     assert {r.pattern: r.total for r in got.collect()} == some
 
 
+def all_spans(rows):
+    """The spans column of each row over again: contexts, totals, rounds and discovery from dictionaries."""
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    total, occ, base_of = Counter(), [], []
+    for d, (_, text) in enumerate(rows):
+        text, w = text or "", [(m.start(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0D]+", lower(text))]
+        total.update((x,) for _, x in w)
+        total.update((a, b) for (_, a), (_, b) in zip(w, w[1:], strict=False))
+        base = brute(text)
+        base_of.append(base)
+        for s, k, e, seed in [(*x, True) for x in base] + [(*x, False) for x in P.loose_spans(text, base)]:
+            at = max(i for i, (start, _) in enumerate(w) if start <= s)
+            occ += [((*(x for _, x in w[at - back : at - back + min(back, 2)]),), d, s, k, e, text[s:e], seed) for back in (1, 2) if at >= back]
+    confidence = {}
+    for _ in range(P.ROUNDS):
+        miss = {}
+        for p, k, x in {(p, k, x) for p, _, _, k, _, x, seed in occ if not seed and (p, k) in confidence}:
+            miss[k, x] = miss.get((k, x), 1.0) * (1 - confidence[p, k])
+        sure = {(k, x) for _, _, _, k, _, x, seed in occ if seed}
+        r = lambda k, x: 1.0 if (k, x) in sure else 1 - miss.get((k, x), 1.0)
+        score, fillers = Counter(), {}
+        for p, _, _, k, _, x, _ in occ:
+            score[p, k] += r(k, x) / total[p]
+            if r(k, x) >= 0.5:
+                fillers.setdefault((p, k), set()).add(x)
+        confidence = {y: min(v, 0.999) for y, v in score.items() if v >= P.CONFIDENCE and len(fillers.get(y, ())) >= P.SUPPORT}
+    out = []
+    for d, (i, _) in enumerate(rows):
+        added = {(s, k, e) for p, dd, s, k, e, _, seed in occ if dd == d and not seed and (p, k) in confidence}
+        out.append((i, P.joined({*base_of[d], *added})))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("filler", [0, 5000, 40000])
+def test_spans_match_brute_force_at_any_size(spark, filler):
+    """The planted patterns are found however many other documents there are."""
+    rng = random.Random(filler)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [*planted(), *((10**6 + i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(20)) + rng.choice(["", " 12345678", " +1 (222) 555-1234"]), "en", "s", 1) for i in range(filler))]
+    got = P.find(spark.createDataFrame(rows, DOCS)).collect()
+    assert Counter((r.doc_id, r.spans) for r in got) == all_spans([r[:2] for r in rows])
+    assert sorted(r.doc_id for r in got if r.n_added) == [200, 201, 202, 203, 204]
+
+
+def test_query_on_the_driver_tables(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    got = P.op4_pii(spark, DATA).collect()
+    assert Counter((r.doc_id, r.spans) for r in got) == all_spans([(r.doc_id, r.text) for r in docs])
+
+
 def test_stage_masks(spark):
     docs = clashing(odd_documents(spark, planted()))
     kept = P.stage(spark, docs, "")

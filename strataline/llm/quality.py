@@ -8,7 +8,8 @@ kept if it passes the base rules and its score is at least `threshold`: the same
 
 Defined results: a null text is empty (no words: the base rules fail it); a text under n bytes scores 0; a null id is judged
 like any other but is never part of the target; repeated rows give repeated results; an empty table gives no rows; without
-target documents every score is 0; columns beyond id and text are not read.
+target documents every score is 0; columns beyond id and text are not read. Labels shape the target alone: a document that is
+labelled good and toxic, or bad, is no part of it, but is judged by its text like all others and may be kept.
 """
 
 from __future__ import annotations

@@ -1,10 +1,11 @@
+import math
 from collections import Counter
 
 import numpy as np
 
 from strataline.llm import quality as Q
 
-from .helpers import clashing, empty, odd_documents, words
+from .helpers import DATA, DOCS, clashing, empty, odd_documents, words
 
 
 def brute(text):
@@ -45,6 +46,58 @@ def test_target_separates(spark):
     assert all(got[i] for i in range(60)) and not any(got[100 + i] for i in range(20))
 
 
+def direct(rows, good):
+    """(kept, llr) by id, from dictionaries of slots over all n-grams."""
+
+    def slots(text):
+        b = (text or "").encode()
+        out = []
+        for i in range(len(b) - 3):
+            key = b[i]
+            for c in b[i + 1 : i + 4]:
+                key = key * 0x01000193 % 2**32 ^ c
+            out.append(key * 0x9E3779B1 % 2**32 >> 32 - Q.SLOT_BITS)
+        return out
+
+    raw, target = Counter(), Counter()
+    for i, text in rows:
+        raw.update(slots(text))
+        if i in good:
+            target.update(slots(text))
+    share = target.total() / raw.total()
+    out = {}
+    for i, text in rows:
+        s = slots(text)
+        llr = sum(math.log((target[x] + Q.PRIOR) / (raw[x] * share + Q.PRIOR)) for x in s) / len(s) if s else 0.0
+        out[i] = (not brute(text)[5] and llr >= Q.THRESHOLD, llr)
+    return out
+
+
+def test_query_on_the_driver_tables(spark):
+    """Every column of the registered query, the verdict from scratch."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    good = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r.quality == 1 and not r.toxic}
+    expected = direct([(r.doc_id, r.text) for r in docs], good)
+    got = {r.doc_id: r for r in Q.op10_quality(spark, DATA).collect()}
+    assert set(got) == set(expected)
+    for r in docs:
+        x = got[r.doc_id]
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == brute(r.text)
+        assert abs(x.llr - expected[r.doc_id][1]) < 1e-5
+        assert x.kept == expected[r.doc_id][0] or abs(x.llr - Q.THRESHOLD) < 1e-5
+
+
+def test_a_score_at_the_threshold_is_kept(spark):
+    rows = [(i, " ".join(f"{a}{b}" for a in "abcdefg" for b in "xyz") + f" {i % 2}" * 2, "en", "s", 1) for i in range(8)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    low = min(r.llr for r in Q.quality(docs, labels, threshold=-9.0, prior=0.1).collect())
+    got = {r.doc_id: r for r in Q.quality(docs, labels, threshold=low, prior=0.1).collect()}
+    assert len({r.llr for r in got.values()}) == 2 and all(r.kept for r in got.values())
+    above = {r.doc_id: r.kept for r in Q.quality(docs, labels, threshold=math.nextafter(low, 1), prior=0.1).collect()}
+    assert above == {i: i % 2 == 0 for i in range(8)}
+
+
 def test_empty_table_and_no_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert Q.quality(empty(spark), labels).count() == 0

@@ -1,9 +1,10 @@
-"""Text metrics. Exact match and unigram overlap are columns; BLEU and ROUGE-L walk token lists in Arrow batches."""
+"""Text metrics. Exact match and unigram overlap over whole tables are plans; BLEU and ROUGE walk token lists in Arrow batches."""
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,29 +60,42 @@ def rouge_l(reference: str, hypothesis: str, stem=None) -> float:
     return _f1(lcs_length(a, b), len(a), len(b))
 
 
-def _batch(function):
-    @F.pandas_udf("double")
-    def run(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else function(a, b) for a, b in zip(ref, hyp, strict=True)], dtype="float64")
+def text_scores(reference: Column, hypothesis: Column, stem=None) -> Column:
+    """Struct bleu, rouge1, rougeL of each pair; both texts are read once. Null if either is. stem: a function of a token."""
 
-    return run
+    @F.pandas_udf("bleu double, rouge1 double, rougeL double")
+    def run(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+        known: dict[str, str] = {}
 
+        def tokens(t: str) -> list[str]:
+            return _tokens(t) if stem is None else [known.get(x) or known.setdefault(x, stem(x)) for x in _tokens(t)]
 
-def bleu_column(reference: Column, hypothesis: Column) -> Column:
-    return _batch(bleu)(reference, hypothesis)
+        rows = []
+        for a, b in zip(ref, hyp, strict=True):
+            if a is None or b is None:
+                rows.append((None, None, None))
+                continue
+            x, y = tokens(a), tokens(b)
+            hits = sum((Counter(x) & Counter(y)).values())
+            rows.append((bleu(a, b), _f1(hits, len(x), len(y)), _f1(lcs_length(x, y), len(x), len(y)) if hits else 0.0))
+        return pd.DataFrame(rows, columns=["bleu", "rouge1", "rougeL"]).astype("float64")
 
+    return run(reference, hypothesis)
 
-def rouge_l_column(reference: Column, hypothesis: Column) -> Column:
-    return _batch(rouge_l)(reference, hypothesis)
 
+def batch_score(function) -> Callable[[Column, Column], Column]:
+    """A scorer from a function of two lists of texts (references, hypotheses) to a list of numbers, called once per batch:
+    the way in for a text encoder's score. Pairs with a null have no score."""
 
-def rouge1_column(reference: Column, hypothesis: Column) -> Column:
-    """Unstemmed ROUGE-1 F1 in built-in functions: clipped counts of distinct tokens."""
-    words = lambda t: F.filter(F.split(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " "), " "), lambda x: x != "")
-    a, b = words(reference), words(hypothesis)
-    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    hits = F.aggregate(F.transform(F.array_distinct(a), lambda x: F.least(count(a, x), count(b, x))), F.lit(0), lambda s, x: s + x)
-    return F.when(hits == 0, 0.0).otherwise(2.0 * hits / (F.size(a) + F.size(b)))
+    @F.pandas_udf("double")
+    def run(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+        ok = ref.notna() & hyp.notna()
+        out = pd.Series([None] * len(ref), dtype="float64")
+        if ok.any():
+            out[ok.to_numpy()] = [float(x) for x in function(ref[ok].tolist(), hyp[ok].tolist())]
+        return out
+
+    return run
 
 
 def exact_match(a: Column, b: Column) -> Column:
@@ -89,19 +103,27 @@ def exact_match(a: Column, b: Column) -> Column:
     return (strip(a) == strip(b)).cast("int")
 
 
-def evaluate(predictions: DataFrame, truth: DataFrame, levels=("l0", "l1", "l2"), key: str = "id", scorers=None) -> DataFrame:
+def evaluate(predictions: DataFrame, truth: DataFrame, levels=("l0", "l1", "l2"), key: str = "id", scorers=None, stem=None) -> DataFrame:
     """One row per level and metric: level, metric, value, over predictions whose id has a truth row.
 
-    predictions: id, pred_<level>; duplicates count. truth: id, gt_<level>, ord; the last per id counts.
-    scorers: metric name to a function of (reference, hypothesis) columns. A text encoder's score can be plugged in here.
+    predictions: id, pred_<level>; duplicates count. truth: id, gt_<level>, ord; the last per id counts. Level `all` has the
+    numbers of matched and of all predictions; without a match there is `matched` alone.
+    scorers: metric name to a function of (reference, hypothesis) columns that takes the place of the default metrics.
     """
-    scorers = scorers or {"bleu": bleu_column, "rouge1": rouge1_column, "rougeL": rouge_l_column, "exact_match": exact_match}
     last = truth.groupBy(key).agg(F.max_by(F.struct(*(f"gt_{x}" for x in levels)), "ord").alias("_g")).select(key, "_g.*")
     both = predictions.join(last, key)
-    cols = [F.avg(f(F.col(f"gt_{x}"), F.col(f"pred_{x}"))).alias(f"{x}/{name}") for x in levels for name, f in scorers.items()]
-    flat = both.agg(F.count("*").cast("double").alias("all/matched"), *cols)
-    names = flat.columns
-    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("value")) for n in names)))
+    cols = []
+    for x in levels:
+        ref, hyp = F.col(f"gt_{x}"), F.col(f"pred_{x}")
+        if scorers is None:
+            both = both.withColumn(f"_{x}", text_scores(ref, hyp, stem))
+            cols += [F.avg(F.col(f"_{x}")[m]).alias(f"{x}/{m}") for m in ("bleu", "rouge1", "rougeL")] + [F.avg(exact_match(ref, hyp)).alias(f"{x}/exact_match")]
+        else:
+            cols += [F.avg(f(ref, hyp)).alias(f"{x}/{name}") for name, f in scorers.items()]
+    total = predictions.agg(F.count("*").cast("double").alias("_total"))  # one row
+    flat = both.agg(F.count("*").cast("double").alias("all/matched"), *cols).join(F.broadcast(total))
+    flat = flat.withColumn("all/total_predictions", F.when(F.col("all/matched") > 0, F.col("_total"))).drop("_total")
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("value")) for n in flat.columns)))
     rows = flat.select(pairs.alias("p")).select(F.split_part("p.name", F.lit("/"), F.lit(1)).alias("level"), F.split_part("p.name", F.lit("/"), F.lit(2)).alias("metric"), "p.value")
     return rows.where(F.col("value").isNotNull())
 

@@ -110,6 +110,12 @@ def json_array(text: Column, schema: str) -> Column:
 # ---------------------------------------------------------------- memory and samples
 
 
+# Fixed values of the memory format: the marks around the block and its two headings; shares of the augmentation.
+MEMORY_START, MEMORY_END = "<memory_start>", "<memory_end>"
+LONG, SHORT = "Long: ", "Short: "
+NO_MEMORY, SHORT_ONLY, LONG_ONLY = 0.5, 0.667, 0.833
+
+
 def change(action: Column, level: str, text: Column) -> Column:
     return F.concat(action, F.lit(f"{level}:"), text)
 
@@ -119,23 +125,23 @@ def memory_string(long: Column, short: Column, include_long: bool | Column = Tru
     flag = lambda x: x if isinstance(x, Column) else F.lit(x)
     parts = F.array_compact(
         F.array(
-            F.when(flag(include_long) & (F.size(long) > 0), F.concat(F.lit("Long: "), F.array_join(long, "; "))),
-            F.when(flag(include_short) & (F.size(short) > 0), F.concat(F.lit("Short: "), F.array_join(short, "; "))),
+            F.when(flag(include_long) & (F.size(long) > 0), F.concat(F.lit(LONG), F.array_join(long, "; "))),
+            F.when(flag(include_short) & (F.size(short) > 0), F.concat(F.lit(SHORT), F.array_join(short, "; "))),
         )
     )
-    return F.when(F.size(parts) == 0, "").otherwise(F.concat(F.lit("<memory_start>\n"), F.array_join(parts, "\n"), F.lit("\n<memory_end>")))
+    return F.when(F.size(parts) == 0, "").otherwise(F.concat(F.lit(f"{MEMORY_START}\n"), F.array_join(parts, "\n"), F.lit(f"\n{MEMORY_END}")))
 
 
 def uniform(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) that depends on seed and keys alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / float(1 << 30)
+    """A number in [0, 1) that depends on seed and keys alone: the first 32 bits of the MD5 of their text."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *(k.cast("string") for k in keys))), 1, 8), 16, 10).cast("long") / float(1 << 32)
 
 
 def augment_memory(seed: int, key: Column, long: Column, short: Column) -> Column:
     """Half of the strings empty, a sixth each short, long or both; entries kept with probability one half."""
     roll = uniform(seed, key)
     keep = lambda tag, array: F.filter(array, lambda x, i: uniform(seed + 1, key, F.lit(tag), i) > 0.5)
-    return F.when(roll < 0.5, "").otherwise(memory_string(keep("long", long), keep("short", short), roll >= 0.667, (roll < 0.667) | (roll >= 0.833)))
+    return F.when(roll < NO_MEMORY, "").otherwise(memory_string(keep("long", long), keep("short", short), roll >= SHORT_ONLY, (roll < SHORT_ONLY) | (roll >= LONG_ONLY)))
 
 
 def augment_views(seed: int, key: Column, views: Column) -> Column:
@@ -153,11 +159,20 @@ def strip_image_tokens(text: Column) -> Column:
     return F.regexp_replace(text, r"^(<image>\s*)+", "")
 
 
-def prompt(role: Column, memory: Column, n_images: Column | int = 1) -> Column:
-    """A frame's question, with one image token per view and the memory block if there is one."""
+# The question about a frame, and the image tokens of its three forms.
+QUESTION = "Describe the current activity hierarchy for this role."
+IMAGE_TOKENS = {"sample": "<image>\n", "wrapped": "<im_start><image><im_end>\n", "repeated": "<image>"}
+
+
+def prompt(role: Column, memory: Column, n_images: Column | int = 1, form: str = "sample") -> Column:
+    """A frame's question: image tokens, the role, the memory block if there is one, and what is asked.
+
+    form: "sample" has one token however many views, "wrapped" the same between marks, "repeated" one per view, at least one.
+    """
     n = n_images if isinstance(n_images, Column) else F.lit(n_images)
+    images = F.repeat(F.lit(IMAGE_TOKENS[form]), F.greatest(n.cast("int"), F.lit(1))) if form == "repeated" else F.lit(IMAGE_TOKENS[form])
     block = F.when(memory == "", "").otherwise(F.concat(memory, F.lit("\n")))
-    return F.concat(F.repeat(F.lit("<image>\n"), n.cast("int")), block, F.lit("What is the "), role, F.lit(" doing? Answer as L0: <text> | L1: <text> | L2: <text>"))
+    return F.concat(images, F.lit("Role: "), role, F.lit("\n"), block, F.lit(QUESTION))
 
 
 def relative_images(paths: Column, take: Column, marker: str = "processed/") -> Column:
@@ -193,11 +208,24 @@ def duration(start: Column, end: Column) -> Column:
 
 
 def take_number(take: Column) -> Column:
-    return F.regexp_extract(take, r"^(\d{3})", 1)
+    """What stands before the first underscore."""
+    return F.substring_index(take, "_", 1)
 
 
 def take_suffix(take: Column) -> Column:
-    return F.regexp_extract(take, r"_(PKA|TKA)$", 1)
+    """What stands after the last underscore."""
+    return F.substring_index(take, "_", -1)
+
+
+# The patterns of take names and of hierarchy files.
+def is_safe_name(file: Column) -> Column:
+    """Is a file name one of a hierarchy, without a way out of its folder."""
+    return file.rlike(r"(?Ud)^[\w\-]+_hierarchy[\w\-]*\.json$") & ~F.contains(file, F.lit(".."))
+
+
+def take_of_file(file: Column) -> Column:
+    """The take that a hierarchy file's name begins with, else null."""
+    return F.nullif(F.regexp_extract(file, r"^(\d{3}_[A-Z]+)_hierarchy", 1), F.lit(""))
 
 
 def is_take(take: Column) -> Column:

@@ -56,6 +56,13 @@ ROBOTS = ("robot_setup", "robot_monitor")
 VERB_TOOL = {"Sawing": "saw", "Drilling": "drill", "Hammering": "hammer", "Scanning": "c_arm"}
 CAMERAS = {"azure": "camera01", "simstation": "camera02", "trackercam": "camera03", "tracker": "camera04"}
 
+# The recordings of each split.
+TAKE_SPLITS = {
+    "train": ("001_PKA", "002_PKA", "003_TKA", "004_PKA", "005_TKA", "006_PKA", "007_TKA", "008_PKA", "009_TKA"),
+    "val": ("010_PKA", "011_TKA", "013_PKA"),
+    "test": ("014_PKA", "033_PKA", "035_PKA", "036_PKA", "037_TKA", "038_TKA"),
+}
+
 ACTIVE = tuple(p for p in PREDICATE_NAMES if p not in PASSIVE)
 
 

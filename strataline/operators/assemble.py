@@ -15,9 +15,7 @@ def majority(df: DataFrame, keys: list[str], value: str, order: str) -> DataFram
     Counts are small rows per key and value, so a key that holds most of the input is still summed before it is shuffled.
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
-    best = F.max_by(value, F.struct("_n", (-F.col("_rank")).alias("_late")))
-    ranked = counts.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_first"))) if keys else counts.withColumn("_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_first")))
-    return (ranked.groupBy(*keys) if keys else ranked).agg(best.alias(value))
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct((-F.col("_n")).alias("_n"), "_first")).alias(value))
 
 
 def _or_zero(time: Column) -> Column:

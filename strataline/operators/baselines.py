@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .assemble import majority
@@ -25,22 +25,46 @@ def copy_last(test: DataFrame, order: str = "ord", by_take: bool = False) -> Dat
     return test.select("*", *(F.lag(f"gt_{x}", 1, "").over(w).alias(f"pred_{x}") for x in LEVELS))
 
 
-def random_label(train: DataFrame, test: DataFrame, seed: int = 42, order: str = "ord") -> DataFrame:
-    """Labels of training rows drawn independently per level by a hash of the test id; frequent labels are drawn more often."""
-    n = train.count()
-    if not n:
-        return test.select("*", *(F.lit("").alias(f"pred_{x}") for x in LEVELS))
-    # rows are numbered by range partition: sizes per partition are all that is collected
-    ranged = train.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    sizes = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
-    base, at = {}, 0
-    for part, size in sizes:
-        base[part], at = at, at + size
-    offsets = F.create_map(*(F.lit(x) for pair in base.items() for x in pair))
-    numbered = ranged.withColumn("_i", offsets[F.col("_part")] + inner)
-    out = test
+#: Ranges that the labels of a training set are counted in; a label's range follows from a hash.
+RANGES = 256
+
+
+def _hash(*parts: Column) -> Column:
+    """A whole number below 2**32 from the text of the parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
+
+
+def random_label(train: DataFrame, test: DataFrame, seed: int = 42) -> DataFrame:
+    """Labels drawn independently per level by a hash of the test id, each as often as it stands in the training rows.
+
+    The distinct labels are laid end to end, each as long as its count, and a test row takes the label at its place: its hash
+    modulo the number of training rows. Labels lie in RANGES ranges by hash (a row per range is all that is summed in one
+    place), and a range's places are looked up in one ordered pass. Null labels count as empty; without training rows all are.
+    """
+    out = test.withColumn("_row", F.struct(*test.columns)).select("_row", F.col("id").cast("string").alias("_id"))
     for k, x in enumerate(LEVELS):
-        out = out.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), F.lit(n)))
-        out = out.join(numbered.select(F.col("_i"), F.col(f"gt_{x}").alias(f"pred_{x}")), "_i").drop("_i")
-    return out
+        counts = train.groupBy(F.coalesce(F.col(f"gt_{x}"), F.lit("")).alias("label")).agg(F.count("*").alias("n")).withColumn("part", _hash(F.col("label")) % RANGES)
+        upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = counts.groupBy("part").agg(F.sum("n").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0)))  # at most RANGES rows
+        inside = Window.partitionBy("part").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.withColumn("place", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(parts.select("part", "first")), "part").select("part", (F.col("first") + F.col("place")).alias("place"), "label")
+        ranges = parts.agg(F.array_sort(F.collect_list(F.struct("first", "part"))).alias("ranges"), F.sum("n").alias("total"))  # one row
+        drawn = out.join(F.broadcast(ranges)).withColumn("place", _hash(F.lit(seed), F.lit(k), F.col("_id")) % F.greatest(F.col("total"), F.lit(1)))
+        part = F.element_at(F.filter("ranges", lambda r: r["first"] <= F.col("place")), -1)["part"]
+        drawn = drawn.withColumn("part", F.when(F.size("ranges") > 0, part)).drop("ranges", "total")
+        extra = [c for c in drawn.columns if c not in ("part", "place")]
+        none = [F.lit(None).cast(drawn.schema[c].dataType).alias(c) for c in extra]
+        both = drawn.select("part", "place", F.lit(1).alias("_q"), F.lit(None).cast("string").alias("label"), *extra).unionByName(starts.select("part", "place", F.lit(0).alias("_q"), "label", *none))
+        found = F.last("label", ignorenulls=True).over(Window.partitionBy("part").orderBy("place", "_q").rowsBetween(Window.unboundedPreceding, 0))
+        out = both.withColumn("label", F.coalesce(found, F.lit(""))).where("_q = 1").select(*extra, F.col("label").alias(f"pred_{x}"))
+    return out.select("_row.*", *(f"pred_{x}" for x in LEVELS))
+
+
+def baseline_predictions(train: DataFrame, test: DataFrame, seed: int = 42, order: str = "ord") -> dict[str, DataFrame]:
+    """The three baselines as prediction rows: id, role, tp_id, l2_segment_id, pred_<level>, gt_<level>.
+
+    train, test: id, role, tp_id, gt_l0 .. gt_l2, gt_l2_seg_id, `order`.
+    """
+    rows = test.withColumn("l2_segment_id", F.col("gt_l2_seg_id"))
+    made = {"majority_class": majority_class(train, rows, order), "copy_last": copy_last(rows, order), "random": random_label(train, rows, seed)}
+    return {name: t.select("id", "role", "tp_id", "l2_segment_id", *(f"pred_{x}" for x in LEVELS), *(f"gt_{x}" for x in LEVELS)) for name, t in made.items()}

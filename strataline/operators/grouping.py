@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK, OVERLAP = 30, 3
@@ -67,6 +67,30 @@ def group_segments(segments: pd.DataFrame, grouper: Callable[[pd.DataFrame], lis
     return merge_chunks(segments["segment_id"].tolist(), answers, size, overlap)
 
 
+def group_table(segments: DataFrame, keys: list[str], grouper: Callable[[pd.DataFrame], list[dict] | None], chunked: bool = True, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(keys, ord, segment_ids, summary, audio_summary): the groups that a model finds among each key's segments.
+
+    The grouper sees the rows of one key in order of `ord`, in overlapping chunks unless not `chunked`. Ids are cleaned of
+    white space and brackets. A key whose model call fails has no groups. A key's segments are those of one role in one
+    recording, which the model reads at once.
+    """
+    schema = ", ".join(f"`{k}` {segments.schema[k].dataType.simpleString()}" for k in keys) + ", ord int, segment_ids array<string>, summary string, audio_summary string"
+    names = [*keys, "ord", "segment_ids", "summary", "audio_summary"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord").reset_index(drop=True)
+
+        def ask(part: pd.DataFrame) -> list[dict] | None:
+            found = grouper(part)
+            return None if found is None else [{**g, "segment_ids": [str(x).strip().strip("[]") for x in g.get("segment_ids") or []]} for g in found]
+
+        groups = group_segments(pdf, ask, size, overlap) if chunked else ask(pdf)
+        rows = [{**{k: pdf[k].iloc[0] for k in keys}, "ord": i, "segment_ids": g["segment_ids"], "summary": g.get("summary") or "", "audio_summary": g.get("audio_summary") or ""} for i, g in enumerate(groups or [])]
+        return pd.DataFrame(rows, columns=names)
+
+    return segments.groupBy(*keys).applyInPandas(run, schema)
+
+
 def fold_idle(steps: list[dict], idle: set[str], similarity: Callable[[str, str], float], threshold: float = IDLE_SIMILARITY) -> list[dict]:
     """Fold steps that hold one idle segment alone into their neighbours, from the left, until none is left.
 
@@ -143,8 +167,3 @@ def incomplete_groups(samples: DataFrame, done: DataFrame, group: list[str], key
     marked = samples.join(done.select(key).distinct().withColumn("_done", F.lit(True)), key, "left")
     whole = marked.groupBy(*group).agg(F.bool_and(F.coalesce("_done", F.lit(False))).alias("_all")).where("_all").select(*group)
     return samples.join(whole, group, "left_anti")
-
-
-def last_by(df: DataFrame, key: str, order: Column) -> DataFrame:
-    """One row per key: the last by `order`."""
-    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("_r")).select("_r.*")

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.text import drop_speaker, strip_think
 from .memory import SHORT_TERM, MemoryBuilder
 
 GROUP = ["take", "role", "l2_segment_id"]
@@ -26,6 +28,23 @@ def split_output(text: str) -> tuple[str, str, str]:
     return found["L0"], found["L1"], found["L2"]
 
 
+def answer_batch(df: DataFrame, prompt: str, generate: Callable[[list[str]], list[str]], out: str = "answer") -> DataFrame:
+    """Rows with the model's answer to each prompt, asked a batch at a time, without thoughts and a leading speaker line.
+
+    generate: a list of prompts to a list of texts. A null prompt has no answer.
+    """
+
+    @F.pandas_udf("string")
+    def run(prompts: pd.Series) -> pd.Series:
+        ok = prompts.notna()
+        said = pd.Series([None] * len(prompts), dtype=object)
+        if ok.any():
+            said[ok.to_numpy()] = list(generate(prompts[ok].tolist()))
+        return said
+
+    return df.withColumn(out, drop_speaker(strip_think(run(F.col(prompt)))))
+
+
 def predict(samples: DataFrame, generate: Callable[[list[str], str, str], str], mode: str = "predicted", fill_from_truth: bool = True, short_term: int = SHORT_TERM) -> DataFrame:
     """A prediction per sample, frame after frame within each (take, role, level-2 segment).
 

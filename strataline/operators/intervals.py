@@ -15,13 +15,25 @@ def _buckets(start: Column, end: Column, width: float) -> Column:
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: float, how: str = "inner") -> DataFrame:
-    """Pairs whose closed intervals share a point, within equal keys. A pair is reported in the bucket where it begins."""
+    """Pairs whose closed intervals share a point, within equal keys. A pair is reported in the bucket where it begins.
+
+    how="left" adds the left rows without a partner (rows without keys or times, and empty intervals, among them).
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"how must be inner or left, not {how}")
     (ls, le), (rs, re) = left_span, right_span
-    a = left.withColumn("_id", F.monotonically_increasing_id()) if how == "left" else left
-    x = a.where(F.col(le) >= F.col(ls)).withColumn("_b", _buckets(F.col(ls), F.col(le), width))
+    x = left.where(F.col(le) >= F.col(ls)).withColumn("_b", _buckets(F.col(ls), F.col(le), width))
     y = right.where(F.col(re) >= F.col(rs)).select(*keys, *(c for c in right.columns if c not in keys)).withColumn("_b", _buckets(F.col(rs), F.col(re), width))
     pairs = x.join(y, [*keys, "_b"]).where((F.col(le) >= F.col(rs)) & (F.col(ls) <= F.col(re)) & (F.floor(F.greatest(ls, rs) / width) == F.col("_b"))).drop("_b")
-    return pairs
+    if how == "inner":
+        return pairs
+    # whether a row has a partner follows from its keys and span alone
+    names = [f"_k{i}" for i in range(len(keys) + 2)]
+    met = pairs.select(*(F.col(c).alias(n) for c, n in zip([*keys, ls, le], names, strict=True))).distinct()
+    same = F.lit(True)
+    for c, n in zip([*keys, ls, le], names, strict=True):
+        same = same & (left[c] == met[n])
+    return pairs.unionByName(left.join(met, same, "left_anti"), allowMissingColumns=True).select(*pairs.columns)
 
 
 def overlap_lists(segments: DataFrame, entries: DataFrame, keys: list[str], segment_id: str, span=("time_start", "time_end"), entry_span=("start_s", "end_s"), order: str = "ord", width: float = 60.0) -> DataFrame:
@@ -35,12 +47,15 @@ def overlap_lists(segments: DataFrame, entries: DataFrame, keys: list[str], segm
 
 
 def label_points(points: DataFrame, intervals: DataFrame, keys: list[str], t: str, span: tuple[str, str], label: str, order: str, width: float) -> DataFrame:
-    """Each point with the label of the first interval (by `order`) that contains it (closed bounds), else null."""
-    p = points.withColumn("_b", F.floor(F.col(t) / width))
+    """Each point with the label of the first interval (by `order`) that contains it (closed bounds), else null.
+
+    Places are looked up once each; equal points all stay, and so do points without keys or time (their label is null).
+    """
+    p = points.select(*keys, F.col(t).alias("_t")).distinct().withColumn("_b", F.floor(F.col("_t") / width))
     i = intervals.select(*keys, F.col(span[0]).alias("_s"), F.col(span[1]).alias("_e"), F.col(label).alias("_label"), F.col(order).alias("_ord")).where("_e >= _s").withColumn("_b", _buckets(F.col("_s"), F.col("_e"), width))
-    ids = [c for c in points.columns]
-    hit = (F.col(t) >= F.col("_s")) & (F.col(t) <= F.col("_e"))
-    return p.join(i, [*keys, "_b"], "left").groupBy(*ids).agg(F.min_by(F.when(hit, F.col("_label")), F.when(hit, F.col("_ord"))).alias(label))
+    hit = (F.col("_t") >= F.col("_s")) & (F.col("_t") <= F.col("_e"))
+    found = p.join(i, [*keys, "_b"]).where(hit).groupBy(*keys, "_t").agg(F.min_by("_label", "_ord").alias(label)).withColumnRenamed("_t", t)
+    return points.join(found, [*keys, t], "left").select(*points.columns, label)
 
 
 def expand(segments: DataFrame, start: str, end: str, point: str, keys: list[str], order: str) -> DataFrame:

@@ -101,15 +101,15 @@ def noise_category(before: Column, current: Column, after: Column) -> Column:
     )
 
 
-def one_row_noise(timeline: DataFrame, key: str, ts: str, state: str, tp: str | None = None) -> DataFrame:
+def one_row_noise(timeline: DataFrame, keys, ts: str, state: str, tp: str | None = None) -> DataFrame:
     """The one-row runs of a timeline with their category; neighbours are looked up by time, not by row."""
-    order = [tp or ts]
-    runs = with_run(timeline, key, order, state).withColumn("_len", F.count("*").over(Window.partitionBy(key, "run")))
-    single = runs.where((F.col("_len") == 1) & F.col(ts).isNotNull()).select(key, ts)
-    by_time = timeline.where(F.col(ts).isNotNull()).groupBy(key, ts).agg(F.max_by(state, F.col(order[0])).alias("_s"))
+    order, k = [tp or ts], _names(keys)
+    runs = with_run(timeline, k, order, state).withColumn("_len", F.count("*").over(Window.partitionBy(*k, "run")))
+    single = runs.where((F.col("_len") == 1) & F.col(ts).isNotNull()).select(*k, ts, *(c for c in order if c != ts))
+    by_time = timeline.where(F.col(ts).isNotNull()).groupBy(*k, ts).agg(F.max_by(state, F.col(order[0])).alias("_s"))
     none = F.array().cast(timeline.schema[state].dataType)
-    at = lambda shift, name: by_time.select(F.col(key), (F.col(ts) - shift).alias(ts), F.col("_s").alias(name))
-    joined = single.join(at(0, "current"), [key, ts], "left").join(at(-1, "before"), [key, ts], "left").join(at(1, "after"), [key, ts], "left")
+    at = lambda shift, name: by_time.select(*k, (F.col(ts) - shift).alias(ts), F.col("_s").alias(name))
+    joined = single.join(at(0, "current"), [*k, ts], "left").join(at(-1, "before"), [*k, ts], "left").join(at(1, "after"), [*k, ts], "left")
     for name in ("before", "current", "after"):
         joined = joined.withColumn(name, F.coalesce(name, none))
     return joined.withColumn("category", noise_category(F.col("before"), F.col("current"), F.col("after")))

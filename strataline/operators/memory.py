@@ -18,18 +18,25 @@ def _events(new: Column, old: Column, first: Column, level: str) -> Column:
 def with_memory(frames: DataFrame, keys: list[str], order: list[str], l0: str = "l0", l1: str = "l1", short_term: int = SHORT_TERM) -> DataFrame:
     """Frames with `long_term` (keys in first-seen order) and `short_term` (last changes), both from earlier frames only.
 
-    Events of a frame are numbered within their group; a frame needs only how many came before, and the array of the
-    group's distinct events so far, so it is a running aggregate in one ordered pass per group.
+    The last changes before a frame lie in the last `short_term` frames that have any, so a short window over those gives
+    them. What a group has seen is a list of its distinct keys with the frame that showed them first, built once per group;
+    a frame takes the part of it that is older. Work grows with frames times distinct keys, as the result does.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     first = F.lag(F.lit(True)).over(w).isNull()
     events = F.concat(_events(F.col(l1), F.lag(l1).over(w), first, "L1"), _events(F.col(l0), F.lag(l0).over(w), first, "L0"))
-    staged = frames.withColumn("_ev", events)
-    prior = F.flatten(F.collect_list("_ev").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    staged = staged.withColumn("_prior", prior)
-    short = F.transform(F.slice("_prior", F.greatest(F.size("_prior") - (short_term - 1), F.lit(1)), short_term), lambda x: F.concat(x["sign"], x["key"]))
-    long = F.array_distinct(F.transform(F.filter("_prior", lambda x: x["sign"] == "+"), lambda x: x["key"]))
-    return staged.withColumn("short_term", short).withColumn("long_term", long).drop("_ev", "_prior")
+    staged = frames.withColumn("_ev", events).withColumn("_pos", F.row_number().over(w))
+    some = staged.withColumn("_some", F.size("_ev") > 0)
+    near = F.flatten(F.collect_list("_ev").over(Window.partitionBy(*keys, "_some").orderBy(*order).rowsBetween(1 - short_term, 0)))
+    tail = F.slice(near, F.greatest(F.size(near) - (short_term - 1), F.lit(1)), short_term)
+    some = some.withColumn("_tail", F.when(F.col("_some"), F.transform(tail, lambda x: F.concat(x["sign"], x["key"]))))
+    none = F.array().cast("array<string>")
+    short = F.coalesce(F.last("_tail", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), none)
+    shown = staged.select(*keys, "_pos", F.posexplode("_ev").alias("_i", "e")).where("e.sign = '+'").groupBy(*keys, F.col("e.key").alias("key")).agg(F.min(F.struct("_pos", "_i")).alias("at"))
+    seen = shown.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("_seen"))
+    older = F.transform(F.filter("_seen", lambda x: x["at"]["_pos"] < F.col("_pos")), lambda x: x["key"])
+    joined = some.withColumn("short_term", short).join(seen, keys, "left")
+    return joined.select(*frames.columns, "short_term", F.coalesce(older, none).alias("long_term"))
 
 
 class MemoryBuilder:

@@ -122,6 +122,56 @@ def test_baselines(spark):
     assert one_ == two and len(one_) == 5 and {x for _, x, _ in one_} <= {"a", "b", "c"}
 
 
+def test_random_labels_follow_the_counts(spark):
+    """One label per test row and level at any number of partitions, drawn by share, alike whatever the order of rows."""
+    train = spark.range(20000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 10 < 7, "often").otherwise(F.concat(F.lit("x"), F.col("id") % 97)).alias("gt_l0"), F.lit("one").alias("gt_l1"), F.when(F.col("id") % 2 == 0, "even").alias("gt_l2"))
+    test = spark.range(3000).select(F.col("id").cast("string").alias("id"))
+    rows = [sorted(map(tuple, L.random_label(t, test.repartition(n)).collect())) for t, n in ((train, 2), (train.orderBy("gt_l0").repartition(7), 5))]
+    assert rows[0] == rows[1] and len({i for i, *_ in rows[0]}) == len(rows[0]) == 3000
+    assert abs(sum(a == "often" for _, a, _, _ in rows[0]) / 3000 - 0.7) < 0.03 and {b for _, _, b, _ in rows[0]} == {"one"} and {c for *_, c in rows[0]} == {"", "even"}
+    assert {a for _, a, _, _ in L.random_label(train.limit(0), test).collect()} == {""}
+
+
+def test_left_overlap_keeps_all(spark):
+    left = spark.createDataFrame([("t", 1, 10, 20), ("t", 2, 30, 25), ("t", 3, 100, 110), (None, 4, 1, 2), ("t", 1, 10, 20), ("t", 5, None, 3)], "k string, id int, a int, b int")
+    right = spark.createDataFrame([("t", 15, 15, "x"), ("t", 5, 50, "y")], "k string, s int, e int, v string")
+    got = sorted(((r.id, r.v) for r in J.overlapping(left, right, ["k"], ("a", "b"), ("s", "e"), 7, "left").collect()), key=str)
+    assert got == [(1, "x"), (1, "x"), (1, "y"), (1, "y"), (2, None), (3, None), (4, None), (5, None)]
+    with pytest.raises(ValueError, match="outer"):
+        J.overlapping(left, right, ["k"], ("a", "b"), ("s", "e"), 7, "outer")
+
+
+def test_equal_points_all_get_labels(spark):
+    p = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), (None, 1)], "k string, t int")
+    i = spark.createDataFrame([("a", 0, 5, "x", 0)], "k string, s int, e int, label string, ord int")
+    assert sorted(((r.k, r.t, r.label) for r in J.label_points(p, i, ["k"], "t", ("s", "e"), "label", "ord", 3).collect()), key=str) == sorted([("a", 1, "x"), ("a", 1, "x"), ("a", None, None), (None, 1, None)], key=str)
+
+
+def test_memory_equals_the_builder(spark):
+    import random
+
+    from strataline.operators.memory import MemoryBuilder, with_memory
+
+    rng = random.Random(3)
+    rows = [(g, i, rng.choice(["a", "b", ""]), rng.choice(["p", "q"])) for g in "xyz" for i in range(40)]
+    got = {(r.g, r.i): (r.long_term, r.short_term) for r in with_memory(spark.createDataFrame(rows, "g string, i int, l0 string, l1 string"), ["g"], ["i"]).collect()}
+    for g in "xyz":
+        log = MemoryBuilder()
+        for _, i, l0, l1 in (r for r in rows if r[0] == g):
+            assert got[g, i] == log.before()
+            log.record(l0, l1)
+
+
+def test_plugged_in_models(spark):
+    df = spark.createDataFrame([(1, "a b c d", "a b c x"), (2, None, "x"), (3, "runs", "running")], "k int, a string, b string")
+    score = M.batch_score(lambda refs, hyps: [float(len(r) + len(h)) for r, h in zip(refs, hyps, strict=True)])
+    assert {r.k: r.x for r in df.select("k", score(F.col("a"), F.col("b")).alias("x")).collect()} == {1: 14.0, 2: None, 3: 11.0}
+    stemmed = df.select("k", M.text_scores(F.col("a"), F.col("b"), stem=lambda w: w[:3])["rouge1"].alias("x"))
+    assert {r.k: r.x for r in stemmed.collect()} == {1: 0.75, 2: None, 3: 1.0}
+    said = P.answer_batch(df, "a", lambda prompts: [f"<think>x</think>User\n {p.upper()} " for p in prompts])
+    assert {r.k: r.answer for r in said.collect()} == {1: "A B C D", 2: None, 3: "RUNS"}
+
+
 def test_metrics(spark):
     long = "the nurse is holding the bone saw near the table"
     assert M.bleu(long, long) == pytest.approx(1.0) and M.bleu("", long) == 0 and M.bleu("a b", "c d") == 0
@@ -137,7 +187,7 @@ def test_metrics(spark):
     pred = spark.createDataFrame([("1", " x\n", "y", "z"), ("9", "x", "y", "z")], "id string, pred_l0 string, pred_l1 string, pred_l2 string")
     gt = spark.createDataFrame([("1", 0, "old", "old", "old"), ("1", 1, "x", "q", "z")], "id string, ord int, gt_l0 string, gt_l1 string, gt_l2 string")
     got = {(r.level, r.metric): r.value for r in M.evaluate(pred, gt).collect()}
-    assert got["all", "matched"] == 1 and got["l0", "exact_match"] == 1 and got["l1", "exact_match"] == 0
+    assert got["all", "matched"] == 1 and got["all", "total_predictions"] == 2 and got["l0", "exact_match"] == 1 and got["l1", "exact_match"] == 0
     assert {(r.level, r.metric): r.value for r in M.evaluate(pred.where("id = '9'"), gt).collect()} == {("all", "matched"): 0.0}
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import samples, timelines
+from .plans import recorded, samples, timelines
 
 
 def queries() -> dict:
-    return {**timelines.QUERIES, **samples.QUERIES}
+    return {**timelines.QUERIES, **samples.QUERIES, **recorded.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**timelines.SQL, **samples.SQL}
+    return {**timelines.SQL, **samples.SQL, **recorded.SQL}

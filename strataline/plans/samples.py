@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
@@ -76,21 +77,32 @@ def temporal_memory(spark, d):
     return _memory(spark, d).select("event_id", F.array_join("long_term", "; ").alias("long_term"), F.array_join("short_term", "; ").alias("short_term"), "memory")
 
 
-@query(f"""WITH {E}, {_MEMORY} SELECT event_id, '<image>' || chr(10) || '<image>' || chr(10) || CASE WHEN memory = '' THEN '' ELSE memory || chr(10) END || 'What is the r' || (user_id % 10) || ' doing? Answer as L0: <text> | L1: <text> | L2: <text>' AS prompt,
-  'L0: ' || l0 || ' | L1: ' || l1 || ' | L2: x' AS answer, printf('colorimage/camera01_colorimage-%06d.jpg,colorimage/camera02_colorimage-%06d.jpg', event_id, event_id) AS images FROM o""")
+@query(f"""WITH {E}, {_MEMORY} SELECT event_id, '<image>' || chr(10) || body AS prompt, '<im_start><image><im_end>' || chr(10) || body AS wrapped, '<image><image>' || body AS repeated,
+  'L0: ' || l0 || ' | L1: ' || l1 || ' | L2: x' AS answer, printf('colorimage/camera01_colorimage-%06d.jpg,colorimage/camera02_colorimage-%06d.jpg', event_id, event_id) AS images
+  FROM (SELECT *, 'Role: r' || (user_id % 10) || chr(10) || CASE WHEN memory = '' THEN '' ELSE memory || chr(10) END || 'Describe the current activity hierarchy for this role.' AS body FROM o)""")
 def sample_prompts(spark, d):
     rows = _memory(spark, d)
     role = F.concat(F.lit("r"), F.col("user_id") % 10)
     images = T.image_paths(F.col("event_id"), ("camera01", "camera02"))
-    return rows.select("event_id", T.prompt(role, F.col("memory"), 2).alias("prompt"), T.answer(F.col("l0"), F.col("l1"), F.lit("x")).alias("answer"), F.array_join(images, ",").alias("images"))
+    forms = [T.prompt(role, F.col("memory"), 2, form).alias(name) for name, form in (("prompt", "sample"), ("wrapped", "wrapped"), ("repeated", "repeated"))]
+    return rows.select("event_id", *forms, T.answer(F.col("l0"), F.col("l1"), F.lit("x")).alias("answer"), F.array_join(images, ",").alias("images"))
 
 
-@query()
+_U = "('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0"
+_SOME = """list_filter({0}, lambda x, i: ('0x' || substr(md5('8:' || event_id || ':{0}:' || (i - 1)), 1, 8))::BIGINT / 4294967296.0 > 0.5)"""
+
+
+@query(f"""WITH {E}, {_MEMORY}, u AS (SELECT event_id, {_U.format("'7:' || event_id")} AS roll, {_SOME.format("long")} AS l, {_SOME.format("short")} AS s FROM o),
+pq AS (SELECT event_id, CASE WHEN roll >= 0.667 AND len(l) > 0 THEN 'Long: ' || array_to_string(l, '; ') END AS a, CASE WHEN (roll < 0.667 OR roll >= 0.833) AND len(s) > 0 THEN 'Short: ' || array_to_string(s, '; ') END AS b, roll FROM u)
+SELECT event_id, CASE WHEN roll < 0.5 OR (a IS NULL AND b IS NULL) THEN '' ELSE '<memory_start>' || chr(10) || concat_ws(chr(10), a, b) || chr(10) || '<memory_end>' END AS memory FROM pq""")
 def augmented_memory(spark, d):
     return _memory(spark, d).select("event_id", T.augment_memory(7, F.col("event_id"), F.col("long_term"), F.col("short_term")).alias("memory"))
 
 
-@query()
+@query(f"""WITH v AS (SELECT event_id, unnest([1, 2, 3, 4]) AS i FROM events),
+o AS (SELECT event_id, 'camera0' || i AS v, {_U.format("'7:' || event_id || ':' || (i - 1)")} AS u, {_U.format("'8:' || event_id || ':camera0' || i")} >= 0.5 AS kept FROM v),
+g AS (SELECT event_id, string_agg(v, ',' ORDER BY u, v) FILTER (WHERE kept) AS chosen, arg_min(v, (u, v)) AS lone FROM o GROUP BY event_id)
+SELECT event_id, coalesce(chosen, lone) AS views FROM g""")
 def augmented_views(spark, d):
     views = F.array(*(F.lit(f"camera0{i}") for i in range(1, 5)))
     return events(spark, d).select("event_id", F.array_join(T.augment_views(7, F.col("event_id"), views), ",").alias("views"))
@@ -200,7 +212,13 @@ def copy_last(spark, d):
     return L.copy_last(_truth(spark, d)).select("id", "pred_l0", "pred_l1", "pred_l2")
 
 
-@query()
+_DRAW = """c{0} AS (SELECT gt_l{0} AS label, count(*) AS n, ('0x' || substr(md5(gt_l{0}), 1, 8))::BIGINT % 256 AS part FROM t WHERE NOT test GROUP BY ALL),
+s{0} AS (SELECT label, sum(n) OVER (ORDER BY part, label) - n AS a, sum(n) OVER (ORDER BY part, label) AS b, sum(n) OVER () AS total FROM c{0})"""
+
+
+@query(f"""WITH {_GT}, {", ".join(_DRAW.format(i) for i in range(3))}
+SELECT t.id, {", ".join(f"s{i}.label AS pred_l{i}" for i in range(3))} FROM t
+{" ".join(f"JOIN s{i} ON ('0x' || substr(md5('42:{i}:' || t.id), 1, 8))::BIGINT % s{i}.total >= s{i}.a AND ('0x' || substr(md5('42:{i}:' || t.id), 1, 8))::BIGINT % s{i}.total < s{i}.b" for i in range(3))} WHERE test""")
 def random_baseline(spark, d):
     rows = _truth(spark, d)
     return L.random_label(rows.where("not test"), rows.where("test")).select("id", "pred_l0", "pred_l1", "pred_l2")
@@ -210,7 +228,7 @@ def random_baseline(spark, d):
 
 
 @query(f"""WITH {_GT}, c AS (SELECT *, {', '.join(f"lag(gt_l{i}, 1, '') OVER (PARTITION BY role, l2_segment_id ORDER BY ts, id) AS p{i}" for i in range(3))} FROM t)
-{" UNION ALL ".join(f"SELECT 'l{i}' AS level, 'exact_match' AS metric, round(avg(CAST(gt_l{i} = p{i} AS INT)), 9) AS value FROM c" for i in range(3))} UNION ALL SELECT 'all', 'matched', CAST(count(*) AS DOUBLE) FROM c""")
+{" UNION ALL ".join(f"SELECT 'l{i}' AS level, 'exact_match' AS metric, round(avg(CAST(gt_l{i} = p{i} AS INT)), 9) AS value FROM c" for i in range(3))} UNION ALL SELECT 'all', unnest(['matched', 'total_predictions']), CAST(count(*) AS DOUBLE) FROM c""")
 def exact_match(spark, d):
     rows = _truth(spark, d)
     pred = L.copy_last(rows).select("id", *(F.concat(F.lit(" "), f"pred_l{i}", F.lit("\n")).alias(f"pred_l{i}") for i in range(3)))
@@ -218,7 +236,7 @@ def exact_match(spark, d):
     return got.select("level", "metric", F.round("value", 9).alias("value"))
 
 
-_PAIRS = "pairs AS (SELECT doc_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"
+_PAIRS = "pairs AS (SELECT doc_id, d.text AS a, b.text AS b FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS pos, count(*) OVER () AS n FROM benchmark) b ON b.pos = d.doc_id % b.n)"
 _TOKENS = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
 
 
@@ -228,13 +246,34 @@ g AS (SELECT doc_id, sum(least(x, y)) AS hits, sum(x + y) AS n FROM c GROUP BY d
 SELECT p.doc_id, round(coalesce(2.0 * hits / n, 0.0), 9) AS rouge1 FROM pairs p LEFT JOIN g ON g.doc_id = p.doc_id""")
 def rouge1_unstemmed(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("a"))
-    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id"), F.col("text").alias("b"))
-    pairs = docs.join(items, F.col("doc_id") % 40 == F.col("item_id"))
+    items = spark.read.parquet(f"{d}/benchmark.parquet")
+    # every item in turn, by its place in the order of ids (a benchmark's items are few)
+    placed = items.select(F.col("text").alias("b"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("pos"), F.count("*").over(Window.partitionBy()).alias("n"))
+    one = items.agg(F.count("*").alias("n"))
+    pairs = docs.join(F.broadcast(one)).withColumn("pos", F.col("doc_id") % F.col("n")).drop("n").join(placed.drop("n"), "pos")
     return M.rouge1_table(pairs, "doc_id", "a", "b").select("doc_id", F.round("rouge1", 9).alias("rouge1"))
 
 
+_SPLIT = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')"
+_GRAMS = " UNION ALL ".join(f"SELECT conv_id, turn, {side} AS side, {n} AS n, unnest(list_transform(generate_series(1, greatest(len({c}) - {n - 1}, 0)), lambda i: array_to_string({c}[i:i + {n - 1}], chr(31)))) AS g FROM tok" for side, c in ((0, "ra"), (1, "hy")) for n in range(1, 5))
+
+
+@query(f"""WITH pr AS (SELECT a.conv_id, a.turn, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+tok AS (SELECT conv_id, turn, {_SPLIT.format("lower(a)")} AS ra, {_SPLIT.format("lower(b)")} AS hy FROM pr),
+g AS ({_GRAMS}), c AS (SELECT conv_id, turn, n, g, count(*) FILTER (WHERE side = 0) AS x, count(*) FILTER (WHERE side = 1) AS y FROM g GROUP BY ALL),
+h AS (SELECT conv_id, turn, n, sum(least(x, y)) AS hits, sum(y) AS total FROM c GROUP BY ALL),
+m AS (SELECT conv_id, turn, sum(ln((CASE WHEN hits = 0 THEN 0.1 ELSE hits END) / greatest(total, 1)) / 4) AS logs, count(*) AS k, sum(hits) FILTER (WHERE n = 1) AS one FROM h GROUP BY ALL)
+SELECT tok.conv_id, tok.turn, CASE WHEN len(ra) = 0 OR len(hy) = 0 OR coalesce(one, 0) = 0 THEN 0.0 ELSE round(exp(logs + (4 - k) * ln(0.1) / 4 + least(0.0, 1 - len(ra) / len(hy))), 6) END AS bleu FROM tok LEFT JOIN m ON m.conv_id = tok.conv_id AND m.turn = tok.turn""")
+def bleu(spark, d):
+    return _turns(spark, d).select("conv_id", "turn", F.round(M.text_scores(F.col("text"), F.col("next"))["bleu"], 6).alias("bleu"))
+
+
+def _turns(spark, d):
+    talk = spark.read.parquet(f"{d}/conversations.parquet")
+    return talk.join(talk.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next")), ["conv_id", "turn"])
+
+
 @query()
 def text_metrics(spark, d):
-    talk = spark.read.parquet(f"{d}/conversations.parquet")
-    nxt = talk.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
-    return talk.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(M.bleu_column(F.col("text"), F.col("next")), 9).alias("bleu"), F.round(M.rouge_l_column(F.col("text"), F.col("next")), 9).alias("rouge_l"), F.round(M.rouge1_column(F.col("text"), F.col("next")), 9).alias("rouge1"))
+    scored = _turns(spark, d).withColumn("s", M.text_scores(F.col("text"), F.col("next")))
+    return scored.select("conv_id", "turn", *(F.round(F.col("s")[m], 9).alias(m.replace("rougeL", "rouge_l")) for m in ("bleu", "rougeL", "rouge1")))

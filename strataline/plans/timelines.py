@@ -188,9 +188,9 @@ def transcript_overlap_join(spark, d):
     return got.select("user_id", "segment", F.array_join(F.transform("transcript", lambda x: x["text"]), ",").alias("heard"), F.size("transcript").cast("long").alias("n"))
 
 
-@query(f"""WITH {E}, {_TIMED} SELECT event_id, (SELECT arg_min(state, segment) FROM g WHERE g.user_id = e.user_id % 75 AND e.sec BETWEEN a AND b) AS state FROM e""")
+@query(f"""WITH {E}, {_TIMED} SELECT event_id, (SELECT arg_min(state, segment) FROM g WHERE g.user_id = e.user_id AND e.sec BETWEEN a AND b) AS state FROM e""")
 def label_at_time(spark, d):
-    points = events(spark, d).select("event_id", (F.col("user_id") % 75).alias("user_id"), "sec")
+    points = events(spark, d).select("event_id", "user_id", "sec")
     return J.label_points(points, _timed(spark, d), ["user_id"], "sec", ("a", "b"), "state", "segment", 21600.0).select("event_id", "state")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_take, srt_seconds, strip
+from ..functions.text import is_take, srt_seconds, strip, take_number, take_suffix
 from ..operators.timeline import screen_choice
 
 FRAME = "original_timestamp int, azure string, simstation string, trackercam string, tracker string"
@@ -57,14 +57,18 @@ def relation_labels(spark: SparkSession, root: str, frames: DataFrame) -> DataFr
 def robot_phases(spark: SparkSession, root: str, takes: DataFrame) -> DataFrame:
     """(take, tp_id, phase): a take's own file, else all files of its split sessions; the later file wins."""
     docs = _whole(spark, f"{root}/take_timestamp_to_robot_phase/*.json").select(_stem(_part(F.col("path"), 1)).alias("file"), "value")
-    rows = for_take(takes, docs).select("take", "file", F.explode(F.from_json("value", "map<string,string>")).alias("tp_id", "phase"))
+    rows = for_take(takes, docs.select("file")).join(docs, "file").select("take", "file", F.explode(F.from_json("value", "map<string,string>")).alias("tp_id", "phase"))
     return rows.groupBy("take", "tp_id").agg(F.max_by("phase", "file").alias("phase"))
 
 
 def for_take(takes: DataFrame, files: DataFrame) -> DataFrame:
-    """Files of each take: the one named like it, else those named `<number>*_<suffix>`."""
-    number, suffix = F.substring_index("take", "_", 1), F.substring_index("take", "_", -1)
-    pairs = takes.select("take").distinct().join(F.broadcast(files), (F.col("file") == F.col("take")) | (F.col("file").startswith(number) & F.col("file").endswith(F.concat(F.lit("_"), suffix))))
+    """(take, file): the file named like the take, else those named `<number>*_<suffix>`. Names only, joined by the first
+    three characters (a take's number has three digits at least) and the suffix; contents join later, by name."""
+    number, suffix = take_number(F.col("take")), take_suffix(F.col("take"))
+    left = takes.select("take").distinct().withColumn("_a", F.substring("take", 1, 3)).withColumn("_z", suffix)
+    right = files.select("file").distinct().withColumn("_a", F.substring("file", 1, 3)).withColumn("_z", take_suffix(F.col("file")))
+    fits = (F.col("file") == F.col("take")) | (F.col("file").startswith(number) & F.col("file").endswith(F.concat(F.lit("_"), suffix)))
+    pairs = left.join(right, ["_a", "_z"]).where(fits).select("take", "file")
     own = F.max(F.col("file") == F.col("take")).over(Window.partitionBy("take"))
     return pairs.withColumn("_own", own).where(~F.col("_own") | (F.col("file") == F.col("take"))).drop("_own")
 
@@ -92,8 +96,10 @@ def parse_srt(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, root: str) -> DataFrame:
-    docs = _whole(spark, f"{root}/take_transcripts/*.srt").select(_stem(_part(F.col("path"), 1)).alias("take"), "value")
-    return parse_srt(docs, "value", ["take"])
+    """(take, ord, start_s, end_s, text): a take's file below `root`, else the one beside it."""
+    read = lambda top, rank: _whole(spark, f"{top}/take_transcripts/*.srt").select(_stem(_part(F.col("path"), 1)).alias("take"), F.lit(rank).alias("rank"), "value")
+    docs = read(root, 0).unionByName(read(root.rstrip("/").rpartition("/")[0], 1))
+    return parse_srt(docs.groupBy("take").agg(F.min_by("value", "rank").alias("value")), "value", ["take"])
 
 
 def takes(spark: SparkSession, root: str, min_labels: int = 10) -> DataFrame:
@@ -136,3 +142,21 @@ def latest_checkpoint(paths: DataFrame) -> DataFrame:
     """The path of the highest number in `checkpoint-<n>`; others count as -1."""
     number = F.coalesce(F.regexp_extract("path", r"checkpoint-(\d+)/?$", 1).try_cast("int"), F.lit(-1))
     return paths.agg(F.max_by("path", number).alias("path"))
+
+
+def model_path(listing: DataFrame, root: str) -> DataFrame:
+    """(path): `root` if an adapter file stands in it, else its latest checkpoint folder, else `root`.
+
+    listing: path of every file and folder below `root`.
+    """
+    root = root.rstrip("/")
+    top = listing.where(F.col("path").isin(f"{root}/adapter_config.json", f"{root}/adapter_model.bin")).agg(F.count("*").alias("n"))
+    inner = listing.where(F.col("path").startswith(f"{root}/checkpoint-")).select(F.concat(F.lit(f"{root}/"), F.substring_index(F.substring("path", len(root) + 2, 1 << 20), "/", 1)).alias("path"))
+    best = latest_checkpoint(inner)  # one row each
+    return best.join(F.broadcast(top)).select(F.when(F.col("n") > 0, F.lit(root)).otherwise(F.coalesce("path", F.lit(root))).alias("path"))
+
+
+def simstation_map(frames: DataFrame) -> DataFrame:
+    """(take, original_timestamp, simstation): the screen shown at a second; of several time points the last."""
+    known = frames.where(F.col("original_timestamp").isNotNull() & F.col("simstation").isNotNull())
+    return known.groupBy("take", "original_timestamp").agg(F.max_by("simstation", "tp_id").alias("simstation"))

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_image_tokens, strip_memory
+from ..functions.text import image_paths, strip_image_tokens, strip_memory
+from ..functions.vocab import CAMERAS, TAKE_SPLITS
+from .files import write_files
 
 #: Splits by take. Recordings in none of them go to train, or to custom when chosen by hand.
 SPLITS = ("train", "val", "test")
 
 
-def hierarchy_documents(l0: DataFrame, l1: DataFrame, l2: DataFrame) -> DataFrame:
+def hierarchy_documents(l0: DataFrame, l1: DataFrame, l2: DataFrame, metadata: DataFrame | None = None, analysis: DataFrame | None = None) -> DataFrame:
     """(take, value): one JSON document per take, from tables with take, role and ord.
 
-    A take's document is one row by the format's nature; rows are packed per role first.
+    metadata: take, metadata (a struct); analysis: take, debounce_analysis (a struct). A take's document is one row by the
+    format's nature; rows are packed per role first.
     """
 
     def packed(t: DataFrame, name: str) -> DataFrame:
@@ -24,12 +27,18 @@ def hierarchy_documents(l0: DataFrame, l1: DataFrame, l2: DataFrame) -> DataFram
         return t.groupBy("take", "role").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("ord")).alias(name))
 
     roles = packed(l0, "level0_segments").join(packed(l1, "level1_segments"), ["take", "role"], "left").join(packed(l2, "level2_segments"), ["take", "role"], "left")
-    entry = F.struct("role", F.struct("level0_segments", "level1_segments", "level2_segments").alias("body"))
-    return roles.groupBy("take").agg(F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["role"] < b["role"], -1).otherwise(1))).alias("roles")).select("take", F.to_json(F.struct("roles"), {"pretty": "true"}).alias("value"))
+    n = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    body = F.struct("level0_segments", n("level0_segments").alias("num_segments"), "level1_segments", n("level1_segments").alias("num_level1_segments"), "level2_segments", n("level2_segments").alias("num_level2_segments"))
+    entry = F.struct("role", body.alias("body"))
+    docs = roles.groupBy("take").agg(F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["role"] < b["role"], -1).otherwise(1))).alias("roles"))
+    for extra in (metadata, analysis):
+        docs = docs if extra is None else docs.join(extra, "take", "left")
+    return docs.select("take", F.to_json(F.struct(*(c for c in docs.columns if c != "take")), {"pretty": "true"}).alias("value"))
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    docs.write.mode("overwrite").partitionBy("take").text(path)
+def write_documents(docs: DataFrame, path: str, suffix: str = "_hierarchy.json") -> int:
+    """<path>/<take><suffix> for each document; returns how many there are."""
+    return write_files(docs.select(F.concat("take", F.lit(suffix)).alias("path"), "value"), path)
 
 
 def with_split(samples: DataFrame, splits: dict[str, str], default: str = "train") -> DataFrame:
@@ -38,6 +47,38 @@ def with_split(samples: DataFrame, splits: dict[str, str], default: str = "train
     return samples.withColumn("split", F.coalesce(known[F.col("take")], F.lit(default)))
 
 
+def take_splits(spark: SparkSession, splits: dict[str, tuple[str, ...]] = TAKE_SPLITS) -> DataFrame:
+    """(take, split, ord): the recordings of all splits, one list after the other."""
+    out = None
+    for name, takes in splits.items():
+        part = spark.createDataFrame([(t, name) for t in takes], "take string, split string")
+        out = part if out is None else out.unionByName(part)
+    place = {t: i for i, t in enumerate(t for takes in splits.values() for t in takes)}
+    return out.withColumn("ord", F.create_map(*(F.lit(x) for pair in place.items() for x in pair))[F.col("take")])
+
+
+def head_sample(samples: DataFrame, n: int, order: str = "ord") -> DataFrame:
+    """The first n samples for a dry run, with a row per split they are in: the first three quarters of n train, what is left
+    is for validation (the first sample if nothing is), the first quarter is for testing. Views are those of four cameras.
+    """
+    number = F.coalesce(F.coalesce(F.col("tp_id"), F.substring_index("id", "/", -1)).try_cast("long"), F.lit(0))
+    head = samples.orderBy(order).limit(n).withColumn("image", image_paths(number, tuple(CAMERAS.values())))
+    head = head.withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1).withColumn("_all", F.count("*").over(Window.partitionBy()))  # n rows
+    low, high = max(1, n // 4), max(1, n * 3 // 4)
+    val = (F.col("_n") >= high) | ((F.col("_all") <= high) & (F.col("_n") == 0))
+    chosen = F.array_compact(F.array(F.when(F.col("_n") < high, "train"), F.when(val, "val"), F.when(F.col("_n") < low, "test")))
+    return head.withColumn("split", F.explode(chosen)).drop("_n", "_all")
+
+
+def keep_existing_images(samples: DataFrame, files: DataFrame, image: str = "image", skip: bool = True) -> DataFrame:
+    """Samples with those of their images alone that are in `files` (path), in order. A sample left without any goes, or
+    stays with none where not `skip`."""
+    found = samples.select("id", F.posexplode(image).alias("_i", "path")).join(files.select("path").distinct(), "path", "left_semi")
+    lists = found.groupBy("id").agg(F.transform(F.array_sort(F.collect_set(F.struct("_i", "path"))), lambda x: x["path"]).alias("_kept"))
+    kept = samples.join(lists, "id", "inner" if skip else "left")
+    return kept.withColumn(image, F.coalesce("_kept", F.array().cast("array<string>"))).select(*samples.columns)
+
+
 def write_splits(samples: DataFrame, path: str) -> None:
     samples.write.mode("overwrite").partitionBy("split").json(path)
 
@@ -84,6 +125,30 @@ def canonical(predictions: DataFrame, samples: DataFrame) -> DataFrame:
     return one.join(place, "id", "left").orderBy(F.col("_place").asc_nulls_last(), "ord").drop("_place")
 
 
+def write_baselines(baselines: dict[str, DataFrame], path: str) -> None:
+    """<path>/<name>: the rows of each baseline as JSON lines."""
+    for name, rows in baselines.items():
+        rows.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def results_document(results: DataFrame, levels: tuple[str, ...] = ("l0", "l1", "l2")) -> DataFrame:
+    """(value): the results as one nested JSON document: matched, total_predictions, an object per level, l2_exact_match.
+
+    results: level, metric, value; a row per metric. Without a match the document holds `matched` alone.
+    """
+    one = lambda level, metric: F.max(F.when((F.col("level") == level) & (F.col("metric") == metric), F.col("value")))
+    pair = F.struct("metric", "value")
+    inner = lambda x: F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("level") == x) & (F.col("metric") != "exact_match"), pair))))
+    flat = results.agg(one("all", "matched").cast("long").alias("matched"), one("all", "total_predictions").cast("long").alias("total_predictions"), *(inner(x).alias(x) for x in levels), one("l2", "exact_match").alias("l2_exact_match"))
+    for x in levels:
+        flat = flat.withColumn(x, F.when(F.size(x) > 0, F.col(x)))
+    return flat.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value"))
+
+
+def write_results(results: DataFrame, root: str, name: str = "results.json") -> int:
+    return write_files(results_document(results).select(F.lit(name).alias("path"), "value"), root)
+
+
 def flatten_results(results: DataFrame) -> DataFrame:
     """(name, value) with names `level/metric`."""
     return results.select(F.concat_ws("/", "level", "metric").alias("name"), "value")

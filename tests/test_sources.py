@@ -133,6 +133,48 @@ def test_safe_overwrite_reads_its_own_target(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
 
 
+def test_root_and_model_path(spark, tmp_path, monkeypatch):
+    from strataline.plans.hierarchy import resolve_root
+
+    near, far = tmp_path / "near", tmp_path / "far"
+    near.mkdir(), far.mkdir()
+    monkeypatch.delenv("RECORDINGS", raising=False)
+    paths = [str(tmp_path / "none"), str(far), str(near)]
+    assert resolve_root(None, "RECORDINGS", paths) == str(far) and resolve_root(None, "RECORDINGS", paths, local_first=True) == str(near)
+    monkeypatch.setenv("RECORDINGS", "/e")
+    assert resolve_root(None, "RECORDINGS", paths) == "/e" and resolve_root("/x", "RECORDINGS", paths) == "/x"
+    monkeypatch.delenv("RECORDINGS")
+    with pytest.raises(FileNotFoundError):
+        resolve_root(None, "RECORDINGS", paths[:1])
+    files = lambda *names: spark.createDataFrame([(n,) for n in names], "path string")
+    assert R.model_path(files("m/checkpoint-9/a", "m/checkpoint-10/b", "m/other"), "m").first().path == "m/checkpoint-10"
+    assert R.model_path(files("m/checkpoint-9/a", "m/adapter_model.bin"), "m/").first().path == "m"
+    assert R.model_path(files("m/x"), "m").first().path == "m"
+
+
+def test_dry_run_of_few(spark):
+    rows = [(f"t/r/s/{i:06d}", "x" if i else None, i, ["a"]) for i in range(2)]
+    df = spark.createDataFrame(rows, "id string, tp_id string, ord int, image array<string>")
+    got = sorted((r.split, r.id, r.image[0]) for r in K.head_sample(df, 32).collect())
+    view = "colorimage/camera01_colorimage-000000.jpg"
+    assert got == [("test", rows[0][0], view), ("test", rows[1][0], view), ("train", rows[0][0], view), ("train", rows[1][0], view), ("val", rows[0][0], view)]
+
+
+def test_kept_images(spark):
+    df = spark.createDataFrame([sample("1", ["a", "gone", "b", "a"]), sample("2", ["gone"]), sample("3", [])], SAMPLES)
+    files = spark.createDataFrame([("a",), ("b",)], "path string")
+    assert {r.id: r.image for r in K.keep_existing_images(df, files).collect()} == {"1": ["a", "b", "a"]}
+    assert {r.id: r.image for r in K.keep_existing_images(df, files, skip=False).collect()} == {"1": ["a", "b", "a"], "2": [], "3": []}
+
+
+def test_results_without_a_match(spark):
+    one = spark.createDataFrame([("all", "matched", 0.0)], "level string, metric string, value double")
+    assert json.loads(K.results_document(one).first().value) == {"matched": 0}
+    rows = [("all", "matched", 2.0), ("all", "total_predictions", 3.0), ("l0", "bleu", 0.5), ("l0", "exact_match", 0.1), ("l2", "exact_match", 0.25), ("l2", "rougeL", 1.0)]
+    got = json.loads(K.results_document(spark.createDataFrame(rows, "level string, metric string, value double")).first().value)
+    assert got == {"matched": 2, "total_predictions": 3, "l0": {"bleu": 0.5}, "l2": {"rougeL": 1.0}, "l2_exact_match": 0.25}
+
+
 def test_checkpoint(spark):
     df = spark.createDataFrame([("m/checkpoint-9",), ("m/checkpoint-10",), ("m/checkpoint-x",)], "path string")
     assert R.latest_checkpoint(df).first().path == "m/checkpoint-10"
@@ -153,6 +195,13 @@ def test_hierarchy_of_all_takes(spark, root):
     l1 = {r.segment_id: r for r in got["l1"].where("take = '901_PKA'").collect()}
     assert l1["nurse_L1_000"].children == ["nurse_L0_000"] and l1["nurse_L1_000"].summary == "is holding drill"
     assert got["l2"].where("take = '901_PKA' and role = 'nurse'").first().children == ["nurse_L1_000"]
+    doc = json.loads(H.documents(got).where("take = '901_PKA'").first().value)
+    assert doc["metadata"]["total_level0_segments"] == len([k for k in l0 if k[0] == "901_PKA"]) and doc["metadata"]["tp_range"] == ["000000", "000099"]
+    assert doc["roles"]["nurse"]["num_segments"] == 1 and doc["roles"]["nurse"]["level0_segments"][0]["active_predicates"] == [["Holding", "drill"]]
+    assert doc["debounce_analysis"]["per_role"] == {"nurse": {"raw": 1, "debounced": 1, "removed": 0}} and doc["debounce_analysis"]["categories"] == {}
+    one = lambda part: [{"segment_ids": part["segment_id"].tolist(), "summary": "all", "audio_summary": None}] if "nurse" in part["segment_id"].iloc[0] else None
+    asked = H.build(spark, root, groupers=(one, one))
+    assert [(r.role, r.children, r.summary) for r in asked["l2"].where("take = '901_PKA'").collect()] == [("nurse", ["nurse_L1_000"], "all")]
     assert {(r.take, r.role): (r.raw, r.debounced) for r in got["report"].collect()} == {("901_PKA", "nurse"): (1, 1), ("902_TKA", "nurse"): (1, 1)}
     roles = [r.role for r in H.ordered_roles(got["l0"].where("take = '901_PKA'").select("role")).collect()]
     assert list(dict.fromkeys(roles)) == ["nurse", "robot_monitor", "drill", "robot_setup"]

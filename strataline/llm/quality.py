@@ -172,4 +172,27 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bi
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
-    return quality(docs, labels)
+    return quality(docs, labels).drop("llr")
+
+
+# the trusted sample is whole here: the SQL is for tables of at most SAMPLE labels
+ORACLE_SQL = rf"""
+WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM a),
+w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM b),
+g AS (SELECT *, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS seq FROM w),
+f AS (SELECT doc_id, i, i + 5 <= n AND count(*) FILTER (WHERE i + 5 <= n) OVER (PARTITION BY doc_id, seq) > 1 AS twice FROM g),
+r AS (SELECT doc_id, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS again FROM f),
+p AS (SELECT doc_id, count(*) FILTER (WHERE again) AS n_repeat_words FROM r GROUP BY doc_id),
+c AS (SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM b),
+x AS (SELECT doc_id, unnest(bs) AS h, unnest(range(len(bs))) AS i FROM (SELECT doc_id, regexp_extract_all(hex(encode(t)), '..') AS bs FROM a)),
+y AS (SELECT doc_id, i, ('0x' || h)::BIGINT AS b FROM x),
+z AS (SELECT doc_id, b, lead(b, 1) OVER o AS b1, lead(b, 2) OVER o AS b2, lead(b, 3) OVER o AS b3 FROM y WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, CAST(xor(xor(xor(b * 16777619 % 4294967296, b1) * 16777619 % 4294967296, b2) * 16777619 % 4294967296, b3) AS UBIGINT) AS key FROM z WHERE b3 IS NOT NULL),
+s AS (SELECT doc_id, (key * 2654435761::UBIGINT) % 4294967296::UBIGINT // {1 << 32 - SLOT_BITS}::UBIGINT AS slot, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0) AS good FROM k),
+v AS (SELECT slot, count(*) AS raw, count(*) FILTER (WHERE good) AS target FROM s GROUP BY slot),
+u AS (SELECT slot, CASE WHEN sum(target) OVER () = 0 THEN 0 ELSE ln((target + {PRIOR}) / (raw * (sum(target) OVER () / sum(raw) OVER ()) + {PRIOR})) END AS ratio FROM v),
+l AS (SELECT doc_id, avg(ratio) AS llr FROM s JOIN u ON u.slot = s.slot GROUP BY doc_id),
+e AS (SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed, coalesce(llr, 0) AS llr FROM c LEFT JOIN p ON p.doc_id = c.doc_id LEFT JOIN l ON l.doc_id = c.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND llr >= {THRESHOLD} AS kept FROM e
+"""

@@ -78,8 +78,10 @@ def test_query_on_the_driver_tables(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
     good = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r.quality == 1 and not r.toxic}
     expected = direct([(r.doc_id, r.text) for r in docs], good)
-    got = {r.doc_id: r for r in Q.op10_quality(spark, DATA).collect()}
+    read = lambda name, *columns: spark.read.parquet(f"{DATA}/{name}.parquet").select(*columns)
+    got = {r.doc_id: r for r in Q.quality(read("documents", "doc_id", "text"), read("labels", "doc_id", "quality", "toxic")).collect()}
     assert set(got) == set(expected)
+    assert sorted(map(tuple, Q.op10_quality(spark, DATA).collect())) == sorted(tuple(r)[:-1] for r in got.values())
     for r in docs:
         x = got[r.doc_id]
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == brute(r.text)

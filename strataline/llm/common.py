@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -93,8 +95,37 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each part holds about `limit` bytes of `column`; whole rows only."""
+_HELD: dict[tuple, object] = {}
+
+
+def held(kind: str, key, make):
+    """What make() gives, kept by this worker until a task of another kind comes."""
+    if (kind, key) not in _HELD:
+        _HELD.clear()
+        _HELD[kind, key] = make()
+    return _HELD[kind, key]
+
+
+def trim(kind: str | None = None) -> None:
+    """Hand unused memory back to the machine: workers are shared by all operators of an application. Keeps what `kind` holds."""
+    if any(k != kind for k, _ in _HELD):
+        _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES, kind: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each part holds about `limit` bytes of `column`; whole rows only.
+
+    A task's memory is handed back before and after; kind: whose held objects stay.
+    """
+    trim(kind)
+    yield from _cut(batches, column, limit)
+    trim(kind)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         if not n:

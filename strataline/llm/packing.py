@@ -36,8 +36,6 @@ CACHE_WORDS = 500_000
 #: Fixed value: the split pattern of the vocabulary's pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
-_BUILT: dict[str, WordTokenizer] = {}
-
 
 def _byte_symbols() -> dict[str, int]:
     """The printable characters that stand for bytes in byte-level vocabularies: themselves where printable, else from 256 up."""
@@ -111,10 +109,8 @@ class WordTokenizer(dict):
 
 
 def word_tokenizer(blob: bytes) -> WordTokenizer:
-    key = str(zlib.crc32(blob)) + str(len(blob))
-    if key not in _BUILT:
-        _BUILT[key] = WordTokenizer(blob)
-    return _BUILT[key]
+    """The tokenizer of a vocabulary file, built once in each worker."""
+    return C.held("words", (zlib.crc32(blob), len(blob)), lambda: WordTokenizer(blob))
 
 
 def signs(dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -149,9 +145,10 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 def _tokenise(sent, end_id: int, dimensions: int, bits: int):
     def run(batches):
+        C.trim("words")
         tok, table = word_tokenizer(sent.value), signs(dimensions)
         end = np.array([end_id], "<u2").tobytes()
-        for part in C.chunks(batches, "text"):
+        for part in C.chunks(batches, "text", kind="words"):
             data, off = C.utf8(part.column("text"))
             raw = data.tobytes()
             out = [tok.encode(raw[a:b]) + end for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]

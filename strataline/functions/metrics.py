@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_to_workers
 from .text import strip
 
 
@@ -62,6 +63,7 @@ def rouge_l(reference: str, hypothesis: str, stem=None) -> float:
 
 def text_scores(reference: Column, hypothesis: Column, stem=None) -> Column:
     """Struct bleu, rouge1, rougeL of each pair; both texts are read once. Null if either is. stem: a function of a token."""
+    ship_to_workers()
 
     @F.pandas_udf("bleu double, rouge1 double, rougeL double")
     def run(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 CHUNK, OVERLAP = 30, 3
 IDLE_SIMILARITY = 0.75
 
@@ -76,6 +78,7 @@ def group_table(segments: DataFrame, keys: list[str], grouper: Callable[[pd.Data
     """
     schema = ", ".join(f"`{k}` {segments.schema[k].dataType.simpleString()}" for k in keys) + ", ord int, segment_ids array<string>, summary string, audio_summary string"
     names = [*keys, "ord", "segment_ids", "summary", "audio_summary"]
+    ship_package(segments.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord").reset_index(drop=True)
@@ -142,6 +145,7 @@ def fold_idle_steps(steps: DataFrame, keys: list[str], similarity=token_similari
 
     steps: keys, ord, segment_ids array<string>, idle_ids array<string>, time_start, time_end int, summary, audio_summary.
     """
+    ship_package(steps.sparkSession)
     schema = ", ".join(f"`{k}` {steps.schema[k].dataType.simpleString()}" for k in keys) + ", ord int, segment_ids array<string>, time_start int, time_end int, summary string, audio_summary string"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import drop_speaker, strip_think
+from ..session import ship_package
 from .memory import SHORT_TERM, MemoryBuilder
 
 GROUP = ["take", "role", "l2_segment_id"]
@@ -55,6 +56,8 @@ def predict(samples: DataFrame, generate: Callable[[list[str], str, str], str],
     """
     schema = "id string, take string, role string, role_human string, tp_id string, l2_segment_id string, pred_l0 string, pred_l1 string, pred_l2 string, raw_output string, gt_l0 string, gt_l1 string, gt_l2 string"
 
+    ship_package(samples.sparkSession)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tp_id", "id"])
         log, last, out = MemoryBuilder(short_term), None, []

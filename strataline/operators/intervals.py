@@ -65,15 +65,6 @@ def expand(segments: DataFrame, start: str, end: str, point: str, keys: list[str
     return rows.withColumn("_r", last).where("_r = 1").drop("_r")
 
 
-def parents(children: DataFrame, links: DataFrame, child: str, parent_columns: list[str]) -> DataFrame:
-    """Children with their parent; of several parents the last (by ord) holds; without one the row goes.
-
-    links: child id column, ord, parent columns.
-    """
-    one = links.groupBy(child).agg(F.max_by(F.struct(*parent_columns), "ord").alias("_p")).select(child, "_p.*")
-    return children.join(one, child)
-
-
 def as_of(queries: DataFrame, times: DataFrame, keys: list[str], t: str, valid: str) -> DataFrame:
     """previous (<= t), following (>= t) and nearest valid time (of equally near ones the earlier) of each query, by one sort.
 

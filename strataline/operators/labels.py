@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import expand, parents
+from .intervals import expand
 
 
 def frame_labels(l0: DataFrame, l1: DataFrame, l2: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,5 +54,3 @@ def role_rank(role: F.Column, people, robots, tools) -> F.Column:
     """People, then robots, then tools, then all others."""
     return F.when(role.isin(*people), 0).when(role.isin(*robots), 1).when(role.isin(*tools), 2).otherwise(3)
 
-
-__all__ = ["drop_untimed", "frame_labels", "parents", "role_rank", "time_points"]

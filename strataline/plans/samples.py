@@ -160,16 +160,16 @@ def split_routing_counts(spark, d):
 
 # ---------------------------------------------------------------- assembly
 
-_PRED = "p AS (SELECT 'r' || (user_id % 10) AS role, 'r_L2_00' || (k % 3) AS l2_segment_id, printf('%08d', event_id) AS tp_id, event_type AS l0, 'v' || (CAST(floor(value) AS BIGINT) % 2) AS l1, 'w' || (k % 2) AS l2, sec AS time FROM e)"
+_PRED = "p AS (SELECT 'r' || (user_id % 10) AS role, 'r_L2_00' || (k % 3) AS l2_segment_id, printf('%08d', event_id) AS tp_id, event_type AS l0, 'v' || (CAST(floor(value) AS BIGINT) % 2) AS l1, 'w' || (k % 2) AS l2, CASE WHEN k % 6 > 0 THEN sec END AS time FROM e)"
 
 
 def _predicted(spark, d):
     rows = events(spark, d)
-    return rows.select(F.lit("x").alias("take"), F.concat(F.lit("r"), F.col("user_id") % 10).alias("role"), F.concat(F.lit("r_L2_00"), F.col("k") % 3).alias("l2_segment_id"), F.format_string("%08d", "event_id").alias("tp_id"), F.col("event_type").alias("l0"), F.concat(F.lit("v"), F.floor("value") % 2).alias("l1"), F.concat(F.lit("w"), F.col("k") % 2).alias("l2"), F.col("sec").alias("time"))
+    return rows.select(F.lit("x").alias("take"), F.concat(F.lit("r"), F.col("user_id") % 10).alias("role"), F.concat(F.lit("r_L2_00"), F.col("k") % 3).alias("l2_segment_id"), F.format_string("%08d", "event_id").alias("tp_id"), F.col("event_type").alias("l0"), F.concat(F.lit("v"), F.floor("value") % 2).alias("l1"), F.concat(F.lit("w"), F.col("k") % 2).alias("l2"), F.when(F.col("k") % 6 > 0, F.col("sec")).alias("time"))
 
 
 _K = "role, l2_segment_id"
-_ENDS = "min(tp_id) AS tp_start, max(tp_id) AS tp_end, count(*) AS n_frames"
+_ENDS = "min(tp_id) AS tp_start, max(tp_id) AS tp_end, count(*) AS n_frames, coalesce(first(time ORDER BY tp_id), 0) AS time_start, coalesce(last(time ORDER BY tp_id), 0) AS time_end"
 
 
 @query(f"""WITH {E}, {_PRED}, {runs_sql("p", "a", "l1", _K, "tp_id", "orun")}, {runs_sql("a", "b", "l1, l0", _K, "tp_id", "irun")},
@@ -180,7 +180,7 @@ UNION ALL SELECT 1, {_K}, printf('%s_L1_%03d_%03d', role, ix, orun - 1), printf(
 UNION ALL SELECT 2, i.role, i.l2_segment_id, printf('%s_L2_%03d', i.role, ix), '', (SELECT l2 FROM c WHERE c.role = i.role AND c.l2_segment_id = i.l2_segment_id ORDER BY n DESC, f LIMIT 1), {_ENDS} FROM i GROUP BY i.role, i.l2_segment_id, ix""")
 def assemble_nested(spark, d):
     t = A.assemble(_predicted(spark, d))
-    pick = lambda level, parent, says, rows: rows.select(F.lit(level).alias("level"), "role", "l2_segment_id", "segment_id", parent.alias("parent_id"), F.col(says).alias("says"), "tp_start", "tp_end", "n_frames")
+    pick = lambda level, parent, says, rows: rows.select(F.lit(level).alias("level"), "role", "l2_segment_id", "segment_id", parent.alias("parent_id"), F.col(says).alias("says"), "tp_start", "tp_end", "n_frames", "time_start", "time_end")
     l2_id = F.format_string("%s_L2_%03d", "role", "l2_index")
     return pick(0, F.col("parent_id"), "description", t["l0"]).unionByName(pick(1, l2_id, "summary", t["l1"])).unionByName(pick(2, F.lit(""), "summary", t["l2"]))
 

@@ -26,6 +26,13 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
     )
 
 
+def ship_to_workers() -> None:
+    """ship_package for the session in use, where there is one: for columns that run this package's functions."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship_package(spark)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, so that functions pickled by name resolve there."""
     sc = spark.sparkContext

@@ -172,6 +172,8 @@ def test_results_without_a_match(spark):
     assert json.loads(K.results_document(one).first().value) == {"matched": 0}
     rows = [("all", "matched", 2.0), ("all", "total_predictions", 3.0), ("l0", "bleu", 0.5), ("l0", "exact_match", 0.1), ("l2", "exact_match", 0.25), ("l2", "rougeL", 1.0)]
     got = json.loads(K.results_document(spark.createDataFrame(rows, "level string, metric string, value double")).first().value)
+    flat = {r.name: r.value for r in K.flatten_results(spark.createDataFrame(rows, "level string, metric string, value double")).collect()}
+    assert flat == {f"{a}/{b}": v for a, b, v in rows}
     assert got == {"matched": 2, "total_predictions": 3, "l0": {"bleu": 0.5}, "l2": {"rougeL": 1.0}, "l2_exact_match": 0.25}
 
 

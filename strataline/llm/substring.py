@@ -204,6 +204,7 @@ def _merge(root: str, runs: list[str], merged: list[str], new: str | None):
             C.write_file(f"{root}/{new}/{bucket:06d}", [pack_run(a[one], b[one])])
         cols = list(zip(*out, strict=True)) if out else [[], [], []]
         mine = pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["id", "key", "data"])
+        C.trim()
         return pa.concat_tables([passed, mine.cast(passed.schema)])
 
     return run
@@ -331,6 +332,7 @@ def _each_batch(docs: DataFrame, batches: int, window: int, max_runs: int, bits:
         marked = batch.select("*", *(v.alias(n) for n, v in found.items()))
         asked = marked.select(F.col(id_).alias("id"), F.col(key_).alias("key"), F.col(text).alias("text"))
         flags, done = index.judge(asked, None if name is None else f"{name}/{k}", keep=not temporary or k + 1 < len(tests))
+        C.release(spark)  # the windows' shuffle is of no more use
         by_doc = flags.where("length(data) > 0").groupBy(F.col("id").alias(id2), F.col("key").alias(key2)).agg(F.collect_list("data").alias(flags_))  # the windows of one text
         yield marked.join(by_doc, (F.col(id_) == F.col(id2)) & (F.col(key_) == F.col(key2)), "left").select(*(F.col(f"`{c}`") for c in docs.columns), text, flags_)
         done()
@@ -370,3 +372,14 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE_SQL = r"""
+WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM a),
+g AS (SELECT *, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS seq FROM w),
+f AS (SELECT doc_id, i, word, i + 13 <= n AND doc_id > min(doc_id) FILTER (WHERE i + 13 <= n) OVER (PARTITION BY seq) AS again FROM g),
+r AS (SELECT *, coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone FROM f),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT a.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM a LEFT JOIN k ON k.doc_id = a.doc_id
+"""

@@ -1,7 +1,7 @@
 import corpus_pipeline
 from strataline.llm import catalog, language
 
-from .helpers import DOCS, words
+from .helpers import DOCS, clashing, empty, odd_documents, words
 from .test_packing import check
 from .test_pii import brute as spans_of
 from .test_simhash import classes, fingerprint
@@ -33,7 +33,19 @@ def test_stages_match_brute_force(spark, tmp_path):
     check(corpus_pipeline.run(spark, str(tmp_path)).collect(), docs_left, 2048)
 
 
+def test_odd_and_empty_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns; and a table without rows."""
+    empty(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    clashing(odd_documents(spark)).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = {r.doc_id for r in got}
+    assert {1, 7} <= ids <= {1, 2, 7, 8, 9, None}  # 3 is a copy of 1; 4, 5, 6 and the row of nulls have no letter
+    assert sum(r.start == 0 for r in got if r.doc_id == 9) <= 2
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
+
+
 def test_catalog_is_whole():
     assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries()) == list(range(1, 11))
-    assert set(catalog.oracle_sql()) == {"op7_warc", "op8_url_filter"}
+    assert set(catalog.oracle_sql()) == {"op2_substring_dedup", "op7_warc", "op8_url_filter", "op10_quality"}
     assert len(corpus_pipeline.STAGES) == 5

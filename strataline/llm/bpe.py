@@ -24,9 +24,7 @@ from ..session import ship_package
 from . import common as C
 
 #: Characters of a leaf and of a first window on each side.
-LEAF, WINDOW = 256, 32
-
-_BUILT: dict[bytes, Codec] = {}
+LEAF, WINDOW = 512, 32
 
 
 class Codec:
@@ -105,10 +103,7 @@ class Codec:
 
 def codec(ranks: bytes, pattern: str) -> Codec:
     """The codec of a rank file, built once in each worker."""
-    key = hashlib.sha256(ranks + pattern.encode()).digest()
-    if key not in _BUILT:
-        _BUILT[key] = Codec(ranks, pattern)
-    return _BUILT[key]
+    return C.held("bpe", hashlib.sha256(ranks + pattern.encode()).digest(), lambda: Codec(ranks, pattern))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -119,8 +114,9 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool
         sent = spark.sparkContext.broadcast(f.read())  # a vocabulary file, about 1 MB
 
     def run(batches):
+        C.trim("bpe")
         c = codec(sent.value, pattern)
-        for part in C.chunks(batches, "text"):
+        for part in C.chunks(batches, "text", kind="bpe"):
             n, ih, dh, every = [], [], [], []
             for text in part.column("text").to_pylist():
                 ids = c.encode(text or "")

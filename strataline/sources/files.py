@@ -57,3 +57,11 @@ def write_files(rows: DataFrame, root: str) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
     return rows.select("path", "value").mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0
+
+
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage, survives lost executors, and fixes what a repeated task could change."""
+    spark = df.sparkSession
+    path = path or scratch(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

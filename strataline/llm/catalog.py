@@ -17,6 +17,9 @@ MODULES = {
 
     "op8_url_filter": "urls",
     "op10_quality": "quality",
+    "op11_prefix_trie": "trie",
+    "op12_structure_repair": "repair",
+    "op13_bestfit_packing": "bestfit",
 }
 
 

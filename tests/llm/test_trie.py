@@ -85,6 +85,7 @@ def odd_rows(n=90):
     texts, roles = ["a", "b", "", None, "ü", "the same " * 900, "the same " * 900 + "!", "x" * 64, "x" * 64 + "y"], ["user", "assistant", None, ""]
     rows = [(c, rng.choice([None, *range(6)]), rng.choice(roles), rng.choice(texts)) for c in range(n) for _ in range(rng.randint(1, 7))]
     rows += [(c, t, "user", f"shared {t}") for c in range(200, 230) for t in range(c % 7 + 1)]  # prefixes of each other
+    rows += [(c, 0, "user", "first of five is absent") for c in range(401, 440) if c % 5]
     rows += [(300, 1, "user", "again"), (300, 1, "user", "again"), (None, 1, "user", "no id"), (-3, 0, "user", "below zero"), (-5, 0, "user", "shared 0")]
     return rows
 

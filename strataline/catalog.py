@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import recorded, samples, timelines
+from .plans import onekey, recorded, samples, timelines
 
 
 def queries() -> dict:
-    return {**timelines.QUERIES, **samples.QUERIES, **recorded.QUERIES}
+    return {**timelines.QUERIES, **samples.QUERIES, **recorded.QUERIES, **onekey.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**timelines.SQL, **samples.SQL, **recorded.SQL}
+    return {**timelines.SQL, **samples.SQL, **recorded.SQL, **onekey.SQL}

@@ -1,7 +1,10 @@
 """Joins on time: overlap, point in interval, interval expansion, and as-of lookups.
 
-Where both sides are large, the time axis is cut into buckets that serve as equality keys: an interval is copied to each
-bucket it touches, a point has one, so each pair meets in exactly one place and no side is broadcast.
+Where both sides are large, keys of equality come from the dyadic blocks of the time axis (cells of 1, 2, 4, ... units, as in a
+segment tree): an interval is copied to the few aligned blocks that make it up, at most two of each size, and a point to the
+blocks around it, of the sizes that the intervals have. An interval of a year over seconds gives at most 64 copies. A block
+that an interval has lies within it, so what meets there belongs together (but for the cells at its ends, where times are
+compared), however long or short intervals are; no side is broadcast.
 """
 
 from __future__ import annotations
@@ -9,22 +12,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Block sizes that whole numbers of 64 bits can need.
+_LEVELS = 62
 
-def _buckets(start: Column, end: Column, width: float) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
 
+def _shift(x: Column, by: Column) -> Column:
+    return F.call_function("shiftright", x, by.cast("int"))
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: float, how: str = "inner") -> DataFrame:
-    """Pairs whose closed intervals share a point, within equal keys. A pair is reported in the bucket where it begins.
 
+def blocks(start: Column, end: Column, width: float = 1.0) -> Column:
+    """The aligned blocks (level, block) that make up the cells of [start, end]: block b of level j has the 2^j cells from b 2^j."""
+    low, high = F.floor(start / width).cast("long"), F.floor(end / width).cast("long") + 1
+    # at each level what is left runs from the ceiling of low / 2^j to the floor of high / 2^j; odd ends are blocks of that level
+    levels = F.sequence(F.lit(0), F.least(F.lit(_LEVELS), F.floor(F.log2((high - low).cast("double"))).cast("int") + 1))
+
+    def of(j: Column) -> Column:
+        a, b = -_shift(-low, j), _shift(high, j)
+        block = lambda odd, x: F.when((a < b) & (F.pmod(odd, F.lit(2)) == 1), F.struct(j.alias("level"), x.alias("block")))
+        return F.array(block(a, a), block(b, b - 1))
+
+    return F.filter(F.flatten(F.transform(levels, of)), lambda x: x.isNotNull())
+
+
+def _within(points: DataFrame, intervals: DataFrame, keys: list[str], t: Column, start: Column, end: Column, width: float) -> DataFrame:
+    """Pairs of a point and an interval that has its cell, within equal keys. The sides must have no other columns in common."""
+    cut = intervals.where(end >= start).select("*", F.explode(blocks(start, end, width)).alias("_at")).select("*", F.col("_at.level").alias("_level"), F.col("_at.block").alias("_block")).drop("_at")
+    levels = cut.agg(F.coalesce(F.collect_set("_level"), F.array().cast("array<int>")).alias("_levels"))  # one row, at most 63 numbers
+    cell = F.floor(t / width).cast("long")
+    spread = points.where(t.isNotNull()).join(F.broadcast(levels)).select("*", F.explode("_levels").alias("_level")).withColumn("_block", _shift(cell, F.col("_level"))).drop("_levels")
+    return spread.join(cut, [*keys, "_level", "_block"]).drop("_level", "_block")
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: float = 1.0, how: str = "inner") -> DataFrame:
+    """Pairs whose closed intervals share a point, within equal keys.
+
+    Of two such intervals one has the other's start: pairs are found where the right one starts in the left one, and where the
+    left one starts in the right one after its start, so each once. width: the cell of the time axis, which no result depends on.
     how="left" adds the left rows without a partner (rows without keys or times, and empty intervals, among them).
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how}")
     (ls, le), (rs, re) = left_span, right_span
-    x = left.where(F.col(le) >= F.col(ls)).withColumn("_b", _buckets(F.col(ls), F.col(le), width))
-    y = right.where(F.col(re) >= F.col(rs)).select(*keys, *(c for c in right.columns if c not in keys)).withColumn("_b", _buckets(F.col(rs), F.col(re), width))
-    pairs = x.join(y, [*keys, "_b"]).where((F.col(le) >= F.col(rs)) & (F.col(ls) <= F.col(re)) & (F.floor(F.greatest(ls, rs) / width) == F.col("_b"))).drop("_b")
+    x, y = left.where(F.col(le) >= F.col(ls)), right.where(F.col(re) >= F.col(rs))
+    columns = [*keys, *(c for c in left.columns if c not in keys), *(c for c in right.columns if c not in keys)]
+    within = _within(y, x, keys, F.col(rs), F.col(ls), F.col(le), width).where((F.col(rs) >= F.col(ls)) & (F.col(rs) <= F.col(le)))
+    after = _within(x, y, keys, F.col(ls), F.col(rs), F.col(re), width).where((F.col(ls) > F.col(rs)) & (F.col(ls) <= F.col(re)))
+    pairs = within.select(*columns).unionByName(after.select(*columns))
     if how == "inner":
         return pairs
     # whether a row has a partner follows from its keys and span alone
@@ -36,7 +69,7 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_span: t
     return pairs.unionByName(left.join(met, same, "left_anti"), allowMissingColumns=True).select(*pairs.columns)
 
 
-def overlap_lists(segments: DataFrame, entries: DataFrame, keys: list[str], segment_id: str, span=("time_start", "time_end"), entry_span=("start_s", "end_s"), order: str = "ord", width: float = 60.0) -> DataFrame:
+def overlap_lists(segments: DataFrame, entries: DataFrame, keys: list[str], segment_id: str, span=("time_start", "time_end"), entry_span=("start_s", "end_s"), order: str = "ord", width: float = 1.0) -> DataFrame:
     """(keys, segment_id, transcript): entries that overlap a segment (closed bounds), as an array in entry order.
 
     transcript items: start and end rounded to one place, text. Segments without an entry are not in the result.
@@ -46,15 +79,16 @@ def overlap_lists(segments: DataFrame, entries: DataFrame, keys: list[str], segm
     return pairs.groupBy(*keys, segment_id).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"))).alias("transcript"))
 
 
-def label_points(points: DataFrame, intervals: DataFrame, keys: list[str], t: str, span: tuple[str, str], label: str, order: str, width: float) -> DataFrame:
+def label_points(points: DataFrame, intervals: DataFrame, keys: list[str], t: str, span: tuple[str, str], label: str, order: str, width: float = 1.0) -> DataFrame:
     """Each point with the label of the first interval (by `order`) that contains it (closed bounds), else null.
 
     Places are looked up once each; equal points all stay, and so do points without keys or time (their label is null).
     """
-    p = points.select(*keys, F.col(t).alias("_t")).distinct().withColumn("_b", F.floor(F.col("_t") / width))
-    i = intervals.select(*keys, F.col(span[0]).alias("_s"), F.col(span[1]).alias("_e"), F.col(label).alias("_label"), F.col(order).alias("_ord")).where("_e >= _s").withColumn("_b", _buckets(F.col("_s"), F.col("_e"), width))
+    p = points.select(*keys, F.col(t).alias("_t")).distinct()
+    i = intervals.select(*keys, F.col(span[0]).alias("_s"), F.col(span[1]).alias("_e"), F.col(label).alias("_label"), F.col(order).alias("_ord"))
     hit = (F.col("_t") >= F.col("_s")) & (F.col("_t") <= F.col("_e"))
-    found = p.join(i, [*keys, "_b"]).where(hit).groupBy(*keys, "_t").agg(F.min_by("_label", "_ord").alias(label)).withColumnRenamed("_t", t)
+    met = _within(p, i, keys, F.col("_t"), F.col("_s"), F.col("_e"), width).where(hit)
+    found = met.groupBy(*keys, "_t").agg(F.min_by("_label", "_ord").alias(label)).withColumnRenamed("_t", t)
     return points.join(found, [*keys, t], "left").select(*points.columns, label)
 
 

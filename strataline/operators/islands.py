@@ -43,10 +43,13 @@ def segments(df: DataFrame, keys, order, state: str, frames: int = 2, tp: str |
     Gaps between time points do not end a run. extra: more aggregates by name.
     """
     k, o = _names(keys), _names(order)
-    tp = tp or o[0]
-    runs = with_run(debounce(df, k, o, state, frames), k, o, state)
-    at = F.struct(*o)
-    found = runs.groupBy(*k, "run").agg(
+    return collapsed(with_run(debounce(df, k, o, state, frames), k, o, state), k, o, state, tp or o[0], extra)
+
+
+def collapsed(runs: DataFrame, keys: list, order: list, state: str, tp: str, extra: dict[str, Column] | None = None) -> DataFrame:
+    """A row per run (column `run`, from 1) of each key, as `segments` gives them."""
+    at = F.struct(*order)
+    found = runs.groupBy(*keys, "run").agg(
         F.min_by(tp, at).alias("tp_start"), F.max_by(tp, at).alias("tp_end"), F.count("*").alias("n_frames"), F.first(state).alias(state), *(c.alias(n) for n, c in (extra or {}).items())
     )
     return found.withColumn("segment", F.col("run") - 1).drop("run")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 SHORT_TERM = 5
 
 
-def _events(new: Column, old: Column, first: Column, level: str) -> Column:
+def change_events(new: Column, old: Column, first: Column, level: str) -> Column:
     """Change events of one level at a frame: -old then +new; at the first frame +new if it says anything."""
     event = lambda sign, text: F.struct(F.lit(sign).alias("sign"), F.concat(F.lit(f"{level}:"), text).alias("key"))
     none = F.array().cast("array<struct<sign:string,key:string>>")
@@ -24,7 +24,7 @@ def with_memory(frames: DataFrame, keys: list[str], order: list[str], l0: str =
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     first = F.lag(F.lit(True)).over(w).isNull()
-    events = F.concat(_events(F.col(l1), F.lag(l1).over(w), first, "L1"), _events(F.col(l0), F.lag(l0).over(w), first, "L0"))
+    events = F.concat(change_events(F.col(l1), F.lag(l1).over(w), first, "L1"), change_events(F.col(l0), F.lag(l0).over(w), first, "L0"))
     staged = frames.withColumn("_ev", events).withColumn("_pos", F.row_number().over(w))
     some = staged.withColumn("_some", F.size("_ev") > 0)
     near = F.flatten(F.collect_list("_ev").over(Window.partitionBy(*keys, "_some").orderBy(*order).rowsBetween(1 - short_term, 0)))

@@ -528,7 +528,7 @@ def overlap_with_unmatched(spark, d):
     ev = events(spark, d)
     left = ev.where("event_type = 'click'").select("user_id", "event_id", F.col("sec").alias("a"), F.when(F.col("k") % 5 == 0, F.col("sec") - 1).otherwise(F.col("sec") + F.col("k") * 60).alias("b"))
     right = ev.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("other"), F.col("sec").alias("s"), F.col("sec").alias("e"))
-    return J.overlapping(left, right, ["user_id"], ("a", "b"), ("s", "e"), 21600.0, "left").select("event_id", "other")
+    return J.overlapping(left, right, ["user_id"], ("a", "b"), ("s", "e"), how="left").select("event_id", "other")
 
 
 _CHUNKED = "c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events)"

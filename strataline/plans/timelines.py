@@ -184,14 +184,14 @@ def _timed(spark, d):
 SELECT g.user_id, segment, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS heard, count(*) AS n FROM g JOIN t ON t.user_id = g.user_id AND t.y >= g.a AND t.x <= g.b GROUP BY g.user_id, segment""")
 def transcript_overlap_join(spark, d):
     said = events(spark, d).where("event_type = 'view'").select("user_id", F.col("event_id").alias("ord"), F.col("sec").alias("start_s"), (F.col("sec") + F.col("k") * 600).alias("end_s"), F.col("event_id").cast("string").alias("text"))
-    got = J.overlap_lists(_timed(spark, d), said, ["user_id"], "segment", ("a", "b"), width=21600.0)
+    got = J.overlap_lists(_timed(spark, d), said, ["user_id"], "segment", ("a", "b"))
     return got.select("user_id", "segment", F.array_join(F.transform("transcript", lambda x: x["text"]), ",").alias("heard"), F.size("transcript").cast("long").alias("n"))
 
 
 @query(f"""WITH {E}, {_TIMED} SELECT event_id, (SELECT arg_min(state, segment) FROM g WHERE g.user_id = e.user_id AND e.sec BETWEEN a AND b) AS state FROM e""")
 def label_at_time(spark, d):
     points = events(spark, d).select("event_id", "user_id", "sec")
-    return J.label_points(points, _timed(spark, d), ["user_id"], "sec", ("a", "b"), "state", "segment", 21600.0).select("event_id", "state")
+    return J.label_points(points, _timed(spark, d), ["user_id"], "sec", ("a", "b"), "state", "segment").select("event_id", "state")
 
 
 @query(f"""WITH {E}, q AS (SELECT event_id, user_id, sec FROM e WHERE event_type = 'click'), v AS (SELECT DISTINCT user_id, sec FROM e WHERE event_type = 'purchase'),

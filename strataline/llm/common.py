@@ -10,7 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..sources.files import materialise, scratch, shared_root  # noqa: F401  (operators take them from here)
 
 #: Text bytes that one step of a vectorised scan holds at once (a longer text is a step of its own).
 CHUNK_BYTES = 2 << 20
@@ -22,28 +24,6 @@ U64 = np.uint64
 # ---------------------------------------------------------------- folders
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; on one machine, where the session names none, a default of our own."""
-    key = "spark.checkpoint.dir"
-    found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{key} must name a folder that driver and executors share")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path((found or "file:///tmp/checkpoints/strataline").rstrip("/"))
-    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one; it goes with the application, as results may read it until then."""
-    out = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return out
-
-
 def fresh(columns: list[str], *names: str) -> list[str]:
     """Names for columns of our own that none of `columns` has, whatever their case."""
     taken, out = {c.lower() for c in columns}, []
@@ -55,20 +35,19 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = path or scratch(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return [x.getPath().getName() for x in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files whose plans are no longer referenced.
 

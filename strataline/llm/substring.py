@@ -13,9 +13,11 @@ A window is removed if its word sequence is in the index or starts in a document
 word under a removed window is removed. Windows are judged on the input. `dedup` feeds a whole table in ascending ranges of
 doc_id, so history always has smaller ids; a batch fed to a standing index comes after all that is in it, whatever its ids.
 
-Recovery: a batch joins the index when its rows are written, not before. A call that fails may be repeated: its run has the
-same name and is written anew, and its windows are not held against themselves. A batch that has a `name` is taken once;
-the same name again is an error.
+Recovery: a call of `dedup` joins a standing index as a whole, when the rows of all its batches are written: one entry of
+state.json, written under a temporary name and renamed. Until then the runs it writes, under names of its own, are known to it
+alone, and the runs it merges stay. So a call that fails, in any batch, may be repeated and is judged against what stood
+before it; what it left behind is removed with the next call that stands. A call that has a `name` is taken once; the same name
+again is an error. One call at a time writes to an index.
 
 Defined results: a null text is empty; texts under WINDOW words lose nothing; a null id counts as larger than all others and
 equal to other nulls; rows with equal ids never remove each other's windows; repeated rows get repeated results; an empty
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -211,13 +214,17 @@ def _merge(root: str, runs: list[str], merged: list[str], new: str | None):
 
 
 class FingerprintIndex:
-    """The windows of all batches so far, under `root` in the shared folder; state.json names the runs and batches that count."""
+    """The windows of all batches so far, under `root` in the shared folder; state.json names the runs and batches that count.
 
-    def __init__(self, spark, root: str, buckets: int, window: int = WINDOW, max_runs: int = MAX_RUNS, bits: int = 64):
-        self.spark, self.root, self.window, self.max_runs, self.bits = spark, root, window, max_runs, bits
+    lasting: whether runs that stand must be kept until what merges them stands.
+    """
+
+    def __init__(self, spark, root: str, buckets: int, window: int = WINDOW, max_runs: int = MAX_RUNS, bits: int = 64, lasting: bool = True):
+        self.spark, self.root, self.window, self.max_runs, self.bits, self.lasting = spark, root, window, max_runs, bits, lasting
         found = C.read_file(f"{root}/state.json")
         self.state = json.loads(found) if found else {"runs": [], "next": 0, "buckets": buckets, "batches": []}
         self.buckets = self.state["buckets"]
+        self.stood, self.mine = {n for n, _ in self.state["runs"]}, uuid.uuid4().hex[:12]
         ship_package(spark)
 
     def _place(self) -> tuple[int, list[str]]:
@@ -228,12 +235,16 @@ class FingerprintIndex:
             tier += 1
         return tier, merged
 
-    def judge(self, batch: DataFrame, name: str | None = None, keep: bool = True):
-        """(rows, done): (id, key, data) rows of the removed windows of a batch of (id, key, text), and what to call when the
-        batch's results stand: from then on it is in the index, if `keep`, and its rows here are gone."""
+    def expect(self, name: str | None) -> None:
+        """An error if what has this name is in the index."""
         if name is not None and name in self.state["batches"]:
             raise ValueError(f"batch {name} is in the index")
-        new = f"run-{self.state['next']:06d}" if keep else None
+
+    def judge(self, batch: DataFrame, name: str | None = None, keep: bool = True):
+        """(rows, done): (id, key, data) rows of the removed windows of a batch of (id, key, text), and what to call when the
+        batch's results are written: its rows here go, and if `keep` it is in the index, for good unless done(stand=False)."""
+        self.expect(name)
+        new = f"run-{self.state['next']:06d}-{self.mine}" if keep else None
         tier, merged = self._place() if keep else (0, [])
         rows = batch.mapInArrow(_block_rows(self.window, self.buckets, self.bits), "bucket int, id long, key long, data binary")
         if merged:  # buckets without windows in this batch still have runs to merge
@@ -241,18 +252,28 @@ class FingerprintIndex:
         path = C.scratch(self.spark, "removed")
         flags = C.materialise(rows.groupBy("bucket").applyInArrow(_merge(self.root, [n for n, _ in self.state["runs"]], merged, new), "id long, key long, data binary"), "removed", path)
 
-        def done() -> None:
+        def done(stand: bool = True) -> None:
             if new:
                 self.state["runs"] = [[n, t] for n, t in self.state["runs"] if n not in merged] + [[new, tier]]
                 self.state["next"] += 1
-                self.state["batches"] += [name] if name is not None else []
-                C.write_file(f"{self.root}/state.json", [json.dumps(self.state).encode()])
                 for old in merged:
-                    C.remove(self.spark, f"{self.root}/{old}")
+                    if not self.lasting or old not in self.stood:
+                        C.remove(self.spark, f"{self.root}/{old}")
+                if stand:
+                    self.stand(name)
             C.remove(self.spark, path)
 
         return flags, done
 
+    def stand(self, name: str | None = None) -> None:
+        """What was judged since the last time is in the index from now on; runs that no longer count go."""
+        self.state["batches"] += [name] if name is not None else []
+        C.write_file(f"{self.root}/state.json", [json.dumps(self.state).encode()])
+        self.stood = {n for n, _ in self.state["runs"]}
+        for run in C.listed(self.spark, self.root):
+            if run.startswith("run-") and run not in self.stood:
+                C.remove(self.spark, f"{self.root}/{run}")
+
 
 def _clean(names: list[str], size: int, own: list[str], made: list[str]):
     """Columns `names`, and `made`: word counts, hash of the kept words and, if a fourth is named, the text without removed words.
@@ -310,14 +331,16 @@ def _clean(names: list[str], size: int, own: list[str], made: list[str]):
 def _each_batch(docs: DataFrame, batches: int, window: int, max_runs: int, bits: int, root: str | None, name: str | None, own: list[str]):
     """(batch with its removed windows) for each ascending range of ids; columns as given, and `own`: text and flags.
 
-    A batch joins the index when the next one is asked for: its rows must be written by then.
+    A batch counts for those after it when the next one is asked for: its rows must be written by then. A standing index takes
+    all batches when the one after the last is asked for.
     """
     spark = docs.sparkSession
     temporary = root is None
     root = root or C.scratch(spark, "index")
     cuts = [i / batches for i in range(1, batches)]
     facts = docs.agg(F.percentile_approx("doc_id", cuts).alias("cuts"), F.sum(F.octet_length("text")).alias("n")).first()
-    index = FingerprintIndex(spark, root, max(MIN_BUCKETS, -(-(facts["n"] or 0) // BUCKET_BYTES)), window, max_runs, bits)
+    index = FingerprintIndex(spark, root, max(MIN_BUCKETS, -(-(facts["n"] or 0) // BUCKET_BYTES)), window, max_runs, bits, lasting=not temporary)
+    index.expect(name)
     edges = sorted(set(facts["cuts"] or []))
     tests = []
     for low, high in zip([None, *edges], [*edges, None], strict=True):
@@ -331,20 +354,22 @@ def _each_batch(docs: DataFrame, batches: int, window: int, max_runs: int, bits:
         found = {id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), key_: F.xxhash64("text"), text: F.coalesce("text", F.lit(""))}
         marked = batch.select("*", *(v.alias(n) for n, v in found.items()))
         asked = marked.select(F.col(id_).alias("id"), F.col(key_).alias("key"), F.col(text).alias("text"))
-        flags, done = index.judge(asked, None if name is None else f"{name}/{k}", keep=not temporary or k + 1 < len(tests))
+        flags, done = index.judge(asked, keep=not temporary or k + 1 < len(tests))
         C.release(spark)  # the windows' shuffle is of no more use
         by_doc = flags.where("length(data) > 0").groupBy(F.col("id").alias(id2), F.col("key").alias(key2)).agg(F.collect_list("data").alias(flags_))  # the windows of one text
         yield marked.join(by_doc, (F.col(id_) == F.col(id2)) & (F.col(key_) == F.col(key2)), "left").select(*(F.col(f"`{c}`") for c in docs.columns), text, flags_)
-        done()
+        done(stand=False)
         C.release(spark)
     if temporary:
         C.remove(spark, root)
+    else:
+        index.stand(name)
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, max_runs: int = MAX_RUNS, bits: int = 64, root: str | None = None, with_text: bool = False, name: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and `text` without removed words if asked).
 
-    root: a standing index to judge against and to join; name: what this call's batches are called there.
+    root: a standing index to judge against and to join; name: what this call is called there.
     """
     spark = docs.sparkSession
     out = C.scratch(spark, "dedup")

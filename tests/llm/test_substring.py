@@ -112,6 +112,39 @@ def test_a_batch_counts_when_its_rows_stand(spark):
     C.remove(spark, root)
 
 
+@pytest.mark.parametrize("name", [None, "load"])
+@pytest.mark.parametrize("failing", [1, 2, 3, 4])
+def test_a_call_of_several_batches_that_fails_may_be_repeated(spark, monkeypatch, name, failing):
+    """Every batch in turn fails while its rows are written; the repeated call gives the rows of a call that did not fail."""
+    root = C.scratch(spark, "test-index")
+    old = [(1000 + i, " ".join(f"o{i}w{k}" for k in range(20))) for i in range(4)]
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(25))) for i in range(16)] + [(20, old[1][1]), (21, old[3][1] + " tail"), (22, " ".join(f"d3w{k}" for k in range(25)))]
+    frame = lambda x: spark.createDataFrame([(*r, "", "", 1) for r in x], DOCS)
+    S.dedup(frame(old), batches=2, root=root)
+    before = S.FingerprintIndex(spark, root, 64).state
+    calls, clean = [], S._clean
+
+    def fails(*args):
+        calls.append(1)
+        if len(calls) == failing:
+            raise RuntimeError("lost")
+        return clean(*args)
+
+    monkeypatch.setattr(S, "_clean", fails)
+    with pytest.raises(RuntimeError, match="lost"):
+        S.dedup(frame(rows), batches=4, root=root, name=name)
+    monkeypatch.setattr(S, "_clean", clean)
+    assert S.FingerprintIndex(spark, root, 64).state == before
+    want = {i: n for i, _, n, _ in brute([(i - 2000, t) for i, t in old] + rows)}
+    got = S.dedup(frame(rows), batches=4, root=root, name=name).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {i: want[i] for i, _ in rows}
+    state = S.FingerprintIndex(spark, root, 64).state
+    assert sorted(n for n in C.listed(spark, root) if n.startswith("run-")) == sorted(n for n, _ in state["runs"])  # nothing is left behind
+    again = S.dedup(frame(rows), batches=1, root=root).collect()
+    assert all(r.n_removed == r.n_words for r in again)
+    C.remove(spark, root)
+
+
 def test_runs_merge_by_tier(spark):
     root = C.scratch(spark, "test-index")
     index = S.FingerprintIndex(spark, root, 2)

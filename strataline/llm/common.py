@@ -283,3 +283,12 @@ def read_file(uri: str) -> bytes | None:
             return f.read()
     except FileNotFoundError:
         return None
+
+
+def mapped(uri: str, dtype) -> np.ndarray:
+    """A shared file as an array: mapped where it lies in the machine's file system, else read."""
+    fs, path = filesystem(uri)
+    if fs.type_name == "local":
+        return np.memmap(path, dtype, mode="r")
+    with fs.open_input_file(path) as f:
+        return np.frombuffer(f.read(), dtype)

@@ -3,10 +3,12 @@
 A text becomes a string of symbols: lower-cased letters (code points up to 0x24F stand for themselves, others are hashed
 into the rest of 4096 symbols) and one space for each run of other characters, after three spaces of padding. Spark counts
 every 4-gram of every training text exactly; continuation counts of orders 3 to 1 are counts of distinct longer n-grams.
-An n-gram is keyed by its 12-bit symbols (48 bits at most), so no two share an entry. A table (language, order) keeps the
-n-grams that make up at least 2**-FLOOR_BITS of its count, by the same rule at every size: with fewer symbols than 2**FLOOR_BITS
-all of them, and never more than 2**FLOOR_BITS. Discounts and totals are of all n-grams, kept or not. Executors write each
-table as sorted arrays to a file in the shared folder, and workers read the files; the driver gets a row of figures per table.
+An n-gram is keyed by its 12-bit symbols (48 bits at most), so no two share an entry. Tables (language, order) keep all
+n-grams; where FLOOR_BITS is set, those that make up at least 2**-FLOOR_BITS of their count, and what the others count goes to
+the back-off weight of their context, so that probabilities sum to 1 either way. Executors range-sort all tables and write each
+partition's part of a table as sorted arrays to a file in the shared folder; the driver gets a row of figures per part. Workers
+map the files where the folder is a file system of the machine, so workers of a host share one copy outside their own memory,
+and read them elsewhere.
 A text gets the language with the lowest cross-entropy per symbol; ties go to the smaller name.
 
 Rejection is calibrated on one residue of the id hash, scored by models of the other training residues; the models that score
@@ -29,14 +31,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
 from . import common as C
 
-#: A table keeps n-grams of at least this share of its count (a power of one half), and so at most as many.
-FLOOR_BITS = 22
+#: If set, a table keeps n-grams of at least this share of its count (a power of one half), and so at most as many.
+FLOOR_BITS = None
 FOLDS = 5
 SYMBOL_BITS = 12
 PLAIN = 0x250
@@ -116,43 +119,71 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(u >> 48)), pa.array(u & ((1 << 48) - 1)), pa.array(n.astype(np.int64))], ["lang", "k", "c"])
 
 
-def _write_table(root: str):
-    """One table's sorted keys and figures as a file; a row that tells of it."""
+#: Figures beside the keys: counts of n-grams; totals, kept types and dropped counts of contexts.
+_FIGURES = {False: ("a",), True: ("a", "b", "e")}
 
-    def run(table: pa.Table) -> pa.Table:
-        t, lang = table.column("t")[0].as_py(), table.column("lang")[0].as_py()
-        table = table.sort_by("k")
-        name = f"{t:02d}-{hashlib.sha256(lang.encode()).hexdigest()}"
-        columns = [table.column(c).to_numpy().astype("<i8") for c in (("k", "a", "b") if t >= 10 else ("k", "a"))]
+
+def _write_parts(root: str):
+    """The sorted rows of a partition as a file of arrays for each table in it; a row that tells of each."""
+
+    def flush(t, lang, at, held):
+        name = f"{t:02d}-{hashlib.sha256(lang.encode()).hexdigest()}-{at:06d}"
+        columns = [np.concatenate(c).astype("<i8") for c in zip(*held, strict=True)]
         C.write_file(f"{root}/{name}", [c.tobytes() for c in columns])
-        return pa.table([pa.array([t], pa.int32()), pa.array([lang]), pa.array([name]), pa.array([table.num_rows], pa.int64())], names=["t", "lang", "name", "n"])
+        return t, lang, name, len(columns[0]), int(columns[0][0])
+
+    def run(batches):
+        at, key, held, done = TaskContext.get().partitionId(), None, [], []
+        for b in batches:
+            t, code = b.column("t").to_numpy(), b.column("lang").dictionary_encode()
+            lang = code.indices.to_numpy()
+            cut = np.flatnonzero((t[1:] != t[:-1]) | (lang[1:] != lang[:-1])) + 1
+            for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(t)], strict=True):
+                if x == y:
+                    continue
+                own = (int(t[x]), code.dictionary[int(lang[x])].as_py())
+                if own != key:
+                    if held:
+                        done.append(flush(*key, at, held))
+                    key, held = own, []
+                held.append([b.column(c).to_numpy()[x:y].copy() for c in ("k", *_FIGURES[own[0] >= 10])])
+        if held:
+            done.append(flush(*key, at, held))
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], ["t", "lang", "name", "n", "low"])
 
     return run
 
 
 class Model:
-    """Files of sorted arrays by language: counts of n-grams (tables 1 to 4), totals and types of contexts (11 to 14)."""
+    """Files of sorted arrays by language: counts of n-grams (tables 1 to 4), figures of contexts (11 to 14).
 
-    def __init__(self, root: str, files: dict[tuple[int, str], tuple[str, int]], discount: dict[tuple[int, str], float]):
+    files: for each table its parts (name, rows, smallest key) by key, and how many rows they have.
+    """
+
+    def __init__(self, root: str, files: dict[tuple[int, str], tuple[list, int]], discount: dict[tuple[int, str], float]):
         self.root, self.files, self.discount = root, files, discount
         self.langs, self.bounds = sorted({lang for _, lang in files}), {}
 
-    def _table(self, t: int, lang: str) -> list[np.ndarray]:
-        """Keys and figures of a table, read once in each worker."""
+    def _parts(self, t: int, lang: str) -> list[tuple[int, np.ndarray]]:
+        """Smallest key, and keys and figures by row, of a table's parts; mapped or read once in each worker."""
         held = C.held("language", self.root, dict)
         if (t, lang) not in held:
-            name, n = self.files.get((t, lang), (None, 0))
-            blob = C.read_file(f"{self.root}/{name}") if n else b""
-            held[t, lang] = np.split(np.frombuffer(blob, "<i8"), 3 if t >= 10 else 2)
+            width = 1 + len(_FIGURES[t >= 10])
+            held[t, lang] = [(low, C.mapped(f"{self.root}/{name}", "<i8").reshape(width, n)) for name, n, low in self.files.get((t, lang), ([], 0))[0]]
         return held[t, lang]
 
     def _get(self, t: int, lang: str, key: np.ndarray) -> list[np.ndarray]:
-        keys, *figures = self._table(t, lang)
-        if not len(keys):
-            return [np.zeros(len(key)) for _ in figures]
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[at] == key
-        return [np.where(hit, x[at], 0).astype(float) for x in figures]
+        parts = self._parts(t, lang)
+        out = np.zeros((len(_FIGURES[t >= 10]), len(key)))
+        part = np.searchsorted([low for low, _ in parts], key, side="right") - 1
+        for i, (_, (keys, *figures)) in enumerate(parts):
+            on = np.flatnonzero(part == i) if len(parts) > 1 else np.arange(len(key))
+            at = np.minimum(np.searchsorted(keys, key[on]), len(keys) - 1)
+            hit = keys[at] == key[on]
+            for row, x in zip(out, figures, strict=True):
+                row[on] = np.where(hit, x[at], 0)
+        return list(out)
 
     def drop(self, spark) -> None:
         """Remove the files; the model is of no use afterwards."""
@@ -164,11 +195,11 @@ class Model:
         for order in range(1, 5):
             gram = key & ((1 << SYMBOL_BITS * order) - 1)
             (count,) = self._get(order, lang, gram)
-            total, types = self._get(10 + order, lang, gram >> SYMBOL_BITS)
+            total, types, dropped = self._get(10 + order, lang, gram >> SYMBOL_BITS)
             d = self.discount.get((order, lang), 0.5)
             seen = total > 0
             share = np.where(seen, np.maximum(count - d, 0) / np.maximum(total, 1), 0)
-            rest = np.where(seen, np.minimum(1.0, d * types / np.maximum(total, 1)), 1)
+            rest = np.where(seen, np.minimum(1.0, (d * types + dropped) / np.maximum(total, 1)), 1)
             p = np.minimum(1.0, share + rest * p)
         return np.log(np.maximum(p, 1e-12))
 
@@ -184,23 +215,39 @@ def fit(docs: DataFrame) -> Model:
     level = {4: full}
     for n in (3, 2, 1):
         level[n] = level[n + 1].groupBy("lang", cut(n).alias("k")).agg(F.count("*").alias("c"))
-    parts = []
-    for n, t in level.items():
-        parts.append(t.select(F.lit(n).alias("t"), "lang", "k", F.col("c").alias("a"), F.lit(0).cast("long").alias("b")))
-        parts.append(t.groupBy("lang", F.shiftright("k", SYMBOL_BITS).alias("k")).agg(F.sum("c").alias("a"), F.count("*").alias("b")).select(F.lit(10 + n).alias("t"), "lang", "k", "a", "b"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = level[4].select(F.lit(4).alias("t"), "lang", "k", "c")
+    for n in (3, 2, 1):
+        every = every.unionByName(level[n].select(F.lit(n).alias("t"), "lang", "k", "c"))
     grams_path, root = C.scratch(spark, "tables"), C.scratch(spark, "model")
     every = C.materialise(every, "tables", grams_path)
-    totals = every.groupBy("t", "lang").agg(F.sum("a").alias("total"), F.sum((F.col("a") == 1).cast("long")).alias("ones"), F.sum((F.col("a") == 2).cast("long")).alias("twos"))
-    facts = {(r["t"], r["lang"]): r for r in totals.collect()}  # a row per table
-    enough = F.col("a") * (1 << FLOOR_BITS) >= F.col("total")
-    files = every.join(totals.select("t", "lang", "total"), ["t", "lang"]).where(enough).select("t", "lang", "k", "a", "b").groupBy("t", "lang").applyInArrow(_write_table(root), "t int, lang string, name string, n long")
-    names = {(r["t"], r["lang"]): (r["name"], r["n"]) for r in files.collect()}  # a row per table
+    totals = every.groupBy("t", "lang").agg(F.sum("c").alias("total"), F.sum((F.col("c") == 1).cast("long")).alias("ones"), F.sum((F.col("c") == 2).cast("long")).alias("twos"))
+    facts = {(r["t"], r["lang"]): r for r in totals.collect()}  # four rows a language
+    kept, met = F.lit(True), every
+    if FLOOR_BITS is not None:
+        met = every.join(F.broadcast(totals.select("t", "lang", "total")), ["t", "lang"])
+        kept = F.col("c") * (1 << FLOOR_BITS) >= F.col("total")
+    zero = F.lit(0).cast("long")
+    contexts = met.groupBy((F.col("t") + 10).alias("t"), "lang", F.shiftright("k", SYMBOL_BITS).alias("k")).agg(
+        F.sum("c").alias("a"), F.sum(kept.cast("long")).alias("b"), F.sum(F.when(~kept, F.col("c")).otherwise(0)).alias("e")
+    ).where("b > 0")  # a context of which nothing is kept tells as little as one not seen
+    tables = met.where(kept).select("t", "lang", "k", F.col("c").alias("a"), zero.alias("b"), zero.alias("e")).unionByName(contexts)
+    order = ["t", "lang", "k"]
+    ranged = tables.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    files: dict[tuple[int, str], tuple[list, int]] = {}
+    for r in sorted(ranged.mapInArrow(_write_parts(root), "t int, lang string, name string, n long, low long").collect(), key=lambda r: r["low"]):  # a row per part
+        parts, n = files.get((r["t"], r["lang"]), ([], 0))
+        files[r["t"], r["lang"]] = ([*parts, (r["name"], r["n"], r["low"])], n + r["n"])
     C.remove(spark, path)
     C.remove(spark, grams_path)
-    return Model(root, names, {x: min(0.95, max(0.1, r["ones"] / (r["ones"] + 2 * r["twos"]))) if r["ones"] else 0.5 for x, r in facts.items() if x[0] < 10})
+    return Model(root, files, {x: min(0.95, max(0.1, r["ones"] / (r["ones"] + 2 * r["twos"]))) if r["ones"] else 0.5 for x, r in facts.items()})
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the stretches between bounds, each by itself."""
+    out, on = np.zeros(len(bounds) - 1), np.flatnonzero(np.diff(bounds) > 0)
+    if len(on):
+        out[on] = np.add.reduceat(values, bounds[on])
+    return out
 
 
 def _score(model):
@@ -221,8 +268,8 @@ def _score(model):
             sums, block = np.zeros((len(n), k)), np.zeros((len(doc), k))
             m2 = np.zeros(len(n))
             for j, lang in enumerate(m.langs):
-                total = np.concatenate([[0.0], np.cumsum(m.log_prob(lang, u)[inverse])])
-                sums[:, j], block[:, j] = total[first[1:]] - total[first[:-1]], total[end] - total[start]
+                logs = m.log_prob(lang, u)[inverse]
+                sums[:, j], block[:, j] = _sums(logs, first), _sums(logs, np.append(start, first[-1]))
             ok = letter & (k > 0)
             row = np.arange(len(n))
             if k:

@@ -155,6 +155,97 @@ def test_rare_ngrams_go_by_share(spark, monkeypatch):
         assert model.files[4, "x"][1] == 2 and all(n <= 16 for _, n in model.files.values())
 
 
+@pytest.mark.parametrize("floor", [None, 3, 6, 9])
+def test_probabilities_sum_to_1(spark, monkeypatch, floor):
+    """Over all symbols, after contexts that were seen, rarely seen and never seen, with n-grams dropped and without."""
+    monkeypatch.setattr(L, "FLOOR_BITS", floor)
+    rng = random.Random(2)
+    text = " ".join(rng.choice(VOCABULARY["aa"] + ["q" + c for c in "abcdefgh"]) for _ in range(400))
+    model = L.fit(spark.createDataFrame([(text, "x"), ("the end", "y")], "text string, lang string"))
+    if floor == 3:
+        assert model.files.get((4, "x"), ([], 0))[1] < 10
+    for lang in ("x", "y"):
+        for context in ("the", " th", "qa ", "   ", "zzz", "iv ", "nor"):
+            head = sum(ord(c) << 12 * (3 - i) for i, c in enumerate(context))
+            p = np.exp(model.log_prob(lang, head + np.arange(4096)))
+            assert abs(p.sum() - 1) < 1e-9, (lang, context)
+
+
+def test_parts_of_tables_are_one(spark, corpus):
+    """Tables cut by many partitions, and by one, give the same scores, bit by bit, under any layout of the rows."""
+    keep = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for parts, layout in ((1, 1), (37, 5), (4, 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            docs = spark.createDataFrame(corpus, DOCS).repartition(layout)
+            model = L.train(docs)
+            seen.append({r.doc_id: (r.lang_pred, r.score, r.rejected, r.ce) for r in L.identify(docs, model).collect()})
+            if parts == 37:
+                assert max(len(p) for p, _ in model.files.values()) > 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", keep)
+    assert seen[0] == seen[1] == seen[2]
+
+
+@pytest.mark.parametrize("languages", [4, 40])
+def test_models_stay_out_of_a_workers_memory(spark, languages):
+    """What a worker holds itself does not grow with the number of languages: tables are mapped."""
+    rng = random.Random(5)
+    letters = [chr(0x61 + i) for i in range(26)] + [chr(0x100 + i) for i in range(100)]
+    rows = [("".join(rng.choice(letters) for _ in range(3000)), f"l{k:02d}") for k in range(languages)]
+    model = L.fit(spark.createDataFrame(rows, "text string, lang string"))
+    key = np.array([0x61626364], np.int64)
+    for lang in model.langs:
+        model.log_prob(lang, key)
+        assert all(isinstance(a.base, np.memmap) or isinstance(a, np.memmap) for t in (1, 4, 14) for _, a in model._parts(t, lang))
+
+
+class Counted:
+    """Direct's models with contexts counted once, for whole tables."""
+
+    def __init__(self, rows):
+        self.level = Direct(rows).level
+        self.facts, self.known = {}, {}
+        for lang, tables in self.level.items():
+            for n in range(1, 5):
+                context = {}
+                for g, v in tables[n].items():
+                    t = context.setdefault(g[:-1], [0, 0])
+                    t[0] += v
+                    t[1] += 1
+                ones, twos = sum(v == 1 for v in tables[n].values()), sum(v == 2 for v in tables[n].values())
+                self.facts[lang, n] = context, min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+
+    def log_prob(self, lang, g):
+        if (lang, g) not in self.known:
+            p = 1 / 4096
+            for n in range(1, 5):
+                context, d = self.facts[lang, n]
+                x = g[-n:]
+                if x[:-1] in context:
+                    total, types = context[x[:-1]]
+                    p = max(self.level[lang][n].get(x, 0) - d, 0) / total + d * types / total * p
+            self.known[lang, g] = math.log(p)
+        return self.known[lang, g]
+
+    predict = Direct.predict
+    grams = staticmethod(Direct.grams)
+
+
+def test_query_equals_brute_force_on_the_driver_tables(spark):
+    """Every row of the table: language and score of the registered query."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    direct = Counted([(r.text, r.lang) for r in docs.values() if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 5])
+    for r in L.op3_language_id(spark, DATA).collect():
+        text = docs[r.doc_id].text
+        if not text or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            lang, score = direct.predict(text)
+            assert r.lang_pred == lang and abs(r.score - score) < 1e-7, r.doc_id
+
+
 def test_query_on_the_driver_tables(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     got = L.op3_language_id(spark, DATA).collect()

@@ -104,8 +104,8 @@ def with_memory(frames: DataFrame, keys: list[str], order: list[str], l0: str =
     line = line.with_columns({"_ev": events}).scan(where=F.size(events) > 0, _tail=last_items(F.col("_ev"), short_term))
     line = line.scan(_last=carried(F.col("_tail"))).scan(_short=previous(F.col("_last")))
     rows, none = line.done(), F.array().cast("array<string>")
-    shown = rows.select(*keys, "_pos", F.posexplode("_ev").alias("_i", "e")).where("e.sign = '+'").groupBy(*keys, F.col("e.key").alias("key")).agg(F.min(F.struct("_pos", "_i")).alias("at"))
-    seen = shown.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("_seen"))
+    shown = rows.select(*keys, "_pos", F.posexplode("_ev").alias("_i", "e")).where("e.sign = '+'").groupBy(*keys, F.col("e.key").alias("_shown")).agg(F.min(F.struct("_pos", "_i")).alias("at"))
+    seen = shown.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", F.col("_shown").alias("key")))).alias("_seen"))
     older = F.transform(F.filter("_seen", lambda x: x["at"]["_pos"] < F.col("_pos")), lambda x: x["key"])
     short = F.transform("_short", lambda x: F.concat(x["sign"], x["key"]))
     met = rows.join(seen, keys, "left") if keys else rows.join(F.broadcast(seen))  # without keys one row, which a result holds

@@ -32,8 +32,8 @@ def with_memory(frames: DataFrame, keys: list[str], order: list[str], l0: str =
     some = some.withColumn("_tail", F.when(F.col("_some"), F.transform(tail, lambda x: F.concat(x["sign"], x["key"]))))
     none = F.array().cast("array<string>")
     short = F.coalesce(F.last("_tail", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), none)
-    shown = staged.select(*keys, "_pos", F.posexplode("_ev").alias("_i", "e")).where("e.sign = '+'").groupBy(*keys, F.col("e.key").alias("key")).agg(F.min(F.struct("_pos", "_i")).alias("at"))
-    seen = shown.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("_seen"))
+    shown = staged.select(*keys, "_pos", F.posexplode("_ev").alias("_i", "e")).where("e.sign = '+'").groupBy(*keys, F.col("e.key").alias("_shown")).agg(F.min(F.struct("_pos", "_i")).alias("at"))
+    seen = shown.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", F.col("_shown").alias("key")))).alias("_seen"))
     older = F.transform(F.filter("_seen", lambda x: x["at"]["_pos"] < F.col("_pos")), lambda x: x["key"])
     joined = some.withColumn("short_term", short).join(seen, keys, "left")
     return joined.select(*frames.columns, "short_term", F.coalesce(older, none).alias("long_term"))

@@ -20,3 +20,30 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
     want = I.segments(batch, "key", "tp", "state", 2).select("key", "tp_start", "tp_end", "n_frames", "state")
     assert got == sorted(map(tuple, want.collect()))
+
+
+def test_memory_of_a_stream_equals_batch(spark):
+    """Frames in shuffled micro-batches, each taken by a run of its own that starts from the checkpoint of the last."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from strataline.operators.memory import with_memory
+    from strataline.sources.files import scratch
+    from strataline.streaming.memory import MemoryStream
+
+    rng = random.Random(5)
+    rows = [(f"take-{k}", 1_700_000_000 + 60 * t, 100 * k + t, rng.choice(["a", "b", "", "c"]), rng.choice(["p", "q"])) for k in range(4) for t in range(40 if k else 3)]
+    rows += [("take-1", 1_700_000_000 + 60 * 5, 999, "tie", "p")]
+    frames = spark.createDataFrame(rows, "key string, s long, id long, l0 string, l1 string").withColumn("ts", F.timestamp_seconds("s"))
+    want = {r.id: (r.short_term, r.long_term) for r in with_memory(frames, ["key"], ["ts", "id"]).collect()}
+    source = scratch(spark, "frames")
+    stream = MemoryStream(spark, source, delay="20 minutes")
+    mixed = sorted(rows, key=lambda r: r[1] + 60 * rng.uniform(0, 15))  # a frame comes at most 15 minutes late
+    end = [("end", 1_800_000_000, 0, "", "")]
+    for part in (mixed[:50], mixed[50:], end):
+        # what a source folder gets while no stream runs
+        spark.createDataFrame(part, "key string, s long, id long, l0 string, l1 string").withColumn("ts", F.timestamp_seconds("s")).select("key", "ts", "id", "l0", "l1").repartition(3).write.mode("append").parquet(source)
+        stream.run()
+    got = stream.rows().where("key <> 'end'").collect()
+    assert len(got) == len(rows) and {r.id: (r.short_term, r.long_term) for r in got} == want

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import onekey, recorded, samples, streams, timelines
+from .plans import onekey, predicted, recorded, samples, streams, timelines
 
 
 def queries() -> dict:
-    return {**timelines.QUERIES, **samples.QUERIES, **recorded.QUERIES, **onekey.QUERIES, **streams.QUERIES}
+    return {**timelines.QUERIES, **samples.QUERIES, **recorded.QUERIES, **onekey.QUERIES, **streams.QUERIES, **predicted.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**timelines.SQL, **samples.SQL, **recorded.SQL, **onekey.SQL, **streams.SQL}
+    return {**timelines.SQL, **samples.SQL, **recorded.SQL, **onekey.SQL, **streams.SQL, **predicted.SQL}

@@ -46,6 +46,36 @@ def answer_batch(df: DataFrame, prompt: str, generate: Callable[[list[str]], lis
     return df.withColumn(out, drop_speaker(strip_think(run(F.col(prompt)))))
 
 
+class FrameLog:
+    """The frames of one group in order: what to ask for the next one, and the rows of those that were answered."""
+
+    def __init__(self, frames: list[dict], mode: str, fill_from_truth: bool, short_term: int):
+        self.frames, self.mode, self.fill = frames, mode, fill_from_truth
+        self.log, self.last, self.rows = MemoryBuilder(short_term), None, []
+
+    @property
+    def ended(self) -> bool:
+        return len(self.rows) == len(self.frames)
+
+    def request(self) -> tuple[list[str], str, str]:
+        """(images, role, memory block) of the next frame; to be followed by its answer."""
+        r = self.frames[len(self.rows)]
+        long, short = self.log.before()
+        if self.mode == "gt":
+            self.log.record(r["gt_l0"] or "", r["gt_l1"] or "")
+        elif self.mode == "predicted" and self.last is not None:
+            self.log.record(*self.last)
+        return list(r["image"] if r["image"] is not None else []), r["role_human"] or r["role"], memory_text(long, short) if self.mode != "none" else ""
+
+    def answer(self, raw: str) -> None:
+        r = self.frames[len(self.rows)]
+        l0, l1, l2 = split_output(raw)
+        self.last = (l0 or (r["gt_l0"] or "" if self.fill else ""), l1 or (r["gt_l1"] or "" if self.fill else ""))
+        if self.mode == "predicted" and not self.rows:
+            self.log.record(*self.last)
+        self.rows.append({**{k: r[k] for k in ("id", "take", "role", "role_human", "tp_id", "l2_segment_id", "gt_l0", "gt_l1", "gt_l2")}, "pred_l0": l0, "pred_l1": l1, "pred_l2": l2, "raw_output": raw})
+
+
 def predict(samples: DataFrame, generate: Callable[[list[str], str, str], str], mode: str = "predicted", fill_from_truth: bool = True, short_term: int = SHORT_TERM) -> DataFrame:
     """A prediction per sample, frame after frame within each (take, role, level-2 segment).
 
@@ -59,21 +89,9 @@ def predict(samples: DataFrame, generate: Callable[[list[str], str, str], str],
     ship_package(samples.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tp_id", "id"])
-        log, last, out = MemoryBuilder(short_term), None, []
-        for i, r in enumerate(pdf.to_dict("records")):
-            long, short = log.before()
-            if mode == "gt":
-                log.record(r["gt_l0"] or "", r["gt_l1"] or "")
-            elif mode == "predicted" and last is not None:
-                log.record(*last)
-            memory = memory_text(long, short) if mode != "none" else ""
-            raw = generate(list(r["image"] if r["image"] is not None else []), r["role_human"] or r["role"], memory)
-            l0, l1, l2 = split_output(raw)
-            last = (l0 or (r["gt_l0"] or "" if fill_from_truth else ""), l1 or (r["gt_l1"] or "" if fill_from_truth else ""))
-            if mode == "predicted" and i == 0:
-                log.record(*last)
-            out.append({**{k: r[k] for k in ("id", "take", "role", "role_human", "tp_id", "l2_segment_id", "gt_l0", "gt_l1", "gt_l2")}, "pred_l0": l0, "pred_l1": l1, "pred_l2": l2, "raw_output": raw})
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+        group = FrameLog(pdf.sort_values(["tp_id", "id"]).to_dict("records"), mode, fill_from_truth, short_term)
+        while not group.ended:
+            group.answer(generate(*group.request()))
+        return pd.DataFrame(group.rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return samples.groupBy(*GROUP).applyInPandas(run, schema)

@@ -17,6 +17,7 @@ from ..operators import timeline as S
 from ..sources import files
 from ..sources import recordings as R
 from ..sources import sinks as K
+from ..sources import snapshots as N
 from . import hierarchy as H
 from . import viewer as W
 from .timelines import E, debounce_sql, events
@@ -332,12 +333,25 @@ def table_and_history(spark, d):
     counts.withColumn("n", F.col("n") - 1).write.parquet(f"{at}/table")
     K.overwrite_safely(spark.read.parquet(f"{at}/table").withColumn("n", F.col("n") + 1), f"{at}/table")
     log = [f'{{"type": "{r["event_type"]}", "n": {r["n"]}, "timestamp": "T"}}' for r in counts.collect()]  # a row per type
-    for entry in log:
-        K.append_history(spark, f"{at}/history", [entry])
+    K.append_history(spark, f"{at}/history", log)
     kept = spark.read.parquet(f"{at}/history").select(F.get_json_object("entry", "$.type").alias("event_type"), F.get_json_object("entry", "$.n").cast("long").alias("entries"))
     return spark.read.parquet(f"{at}/table").join(kept, "event_type").select("event_type", "n", "entries")
 
 
+@query(f"""WITH {E}, v AS (SELECT unnest([1, 2, 3]) AS version) SELECT version, event_type, count(*) * CASE version WHEN 1 THEN 1 ELSE 2 END AS n, CASE version WHEN 1 THEN 'made' WHEN 2 THEN 'doubled' ELSE 'seen' END AS did FROM e, v GROUP BY ALL""")
+def snapshots_of_a_table(spark, d):
+    """Every version of a table that is overwritten from itself and noted upon, with what the log says of it."""
+    store = N.Snapshots(spark, files.scratch(spark, "snapshots"))
+    store.overwrite(events(spark, d).groupBy("event_type").agg(F.count("*").alias("n")), {"did": "made"})
+    store.overwrite(store.read().withColumn("n", F.col("n") * 2), {"did": "doubled"})
+    store.note({"did": "seen"})
+    every = None
+    for number in range(1, store.version() + 1):
+        rows = store.read(number).withColumn("version", F.lit(number).cast("long"))
+        every = rows if every is None else every.unionByName(rows)
+    return every.join(F.broadcast(store.history()), "version").select("version", "event_type", "n", F.get_json_object("entry", "$.did").alias("did"))  # a row per version
+
+
 @query("""SELECT conv_id, turn, 'told ' || text AS answer FROM conversations""")
 def batched_answers(spark, d):
     rows = spark.read.parquet(f"{d}/conversations.parquet").withColumn("p", F.concat(F.lit("said "), "text"))
@@ -424,9 +438,8 @@ SELECT m.take, roles AS total_roles, n0 AS total_level0_segments, CAST(n1 AS BIG
   CAST((SELECT nullif(count(*), 0) FROM z WHERE z.take = m.take AND role = 'nurse') AS BIGINT) AS nurse_segments
 FROM m JOIN q ON q.take = m.take JOIN p ON p.take = m.take""")
 def hierarchy_documents(spark, d):
-    """Documents written to files and read again: numbers of segments, ranges, and the counts of the debounce analysis."""
-    at = files.scratch(spark, "hierarchies")
-    K.write_documents(H.documents(_tables(spark, d)), at)
+    """Documents committed as a set and read again: numbers of segments, ranges, and the counts of the debounce analysis."""
+    at = K.commit_documents(H.documents(_tables(spark, d)), files.scratch(spark, "hierarchies"))
     meta = "total_roles:bigint,total_level0_segments:bigint,total_level1_segments:bigint,total_level2_segments:bigint,tp_range:array<string>,num_timepoints:bigint,time_range:array<bigint>"
     found = "segments_without_debounce:bigint,segments_with_debounce:bigint,segments_removed:bigint,per_role:map<string,struct<removed:bigint>>"
     docs = spark.read.text(f"{at}/*_hierarchy.json", wholetext=True).select(T.take_of_file(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).alias("take"), F.from_json("value", f"metadata struct<{meta}>, debounce_analysis struct<{found}>, roles map<string,struct<num_segments:bigint>>").alias("h"))

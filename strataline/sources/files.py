@@ -32,6 +32,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return out
 
 
+def store(uri: str):
+    """A file system that executors reach without Spark, and the path in it; plain paths are local."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def write_text(at, path: str, text: str) -> None:
+    """Write a file under a temporary name in its folder, then rename: readers see whole files only."""
+    folder, _, name = path.rpartition("/")
+    at.create_dir(folder, recursive=True)
+    temporary = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
+    with at.open_output_stream(temporary) as out:
+        out.write(text.encode())
+    at.move(temporary, path)
+
+
+def read_text(at, path: str) -> str | None:
+    """A file's text, or None if there is none."""
+    try:
+        with at.open_input_file(path) as f:
+            return f.read().decode()
+    except FileNotFoundError:
+        return None
+
+
 def write_files(rows: DataFrame, root: str) -> int:
     """Write each row (path, value) as the text file root/path, under a temporary name first; returns how many there are.
 
@@ -40,20 +66,10 @@ def write_files(rows: DataFrame, root: str) -> int:
     ship_package(rows.sparkSession)
 
     def run(batches):
-        from pyarrow import fs
-
-        if "://" in root:
-            store, top = fs.FileSystem.from_uri(root)
-        else:
-            store, top = fs.LocalFileSystem(), root
+        at, top = store(root)
         for b in batches:
             for path, value in zip(b.column("path").to_pylist(), b.column("value").to_pylist(), strict=True):
-                folder, _, name = f"{top}/{path}".rpartition("/")
-                store.create_dir(folder, recursive=True)
-                temporary = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
-                with store.open_output_stream(temporary) as out:
-                    out.write((value or "").encode())
-                store.move(temporary, f"{folder}/{name}")
+                write_text(at, f"{top}/{path}", value or "")
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
     return rows.select("path", "value").mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_take, srt_seconds, strip, take_number, take_suffix
 from ..operators.timeline import screen_choice
+from . import labels
 
 FRAME = "original_timestamp int, azure string, simstation string, trackercam string, tracker string"
 TRANSCRIPT = "array<struct<start:double,end:double,text:string>>"
@@ -45,9 +46,15 @@ def frame_map(spark: SparkSession, root: str) -> DataFrame:
 
 
 def relation_labels(spark: SparkSession, root: str, frames: DataFrame) -> DataFrame:
-    """(take, tp_id, triplets array<struct<subj,pred,obj>>): unmapped time points are empty, files that do not parse are left out."""
-    docs = _whole(spark, f"{root}/*/relation_labels/*.json")
-    named = docs.select(_part(F.col("path"), 3).alias("take"), _stem(_part(F.col("path"), 1)).alias("tp_id"), "value")
+    """(take, tp_id, triplets array<struct<subj,pred,obj>>): unmapped time points are empty, files that do not parse are left out.
+
+    frames: the frame map of `root`. Files of unmapped time points are not opened, where Python reaches the store.
+    """
+    if labels.reachable(root):
+        named = labels.label_files(spark, root).select("take", "tp_id", "value")
+    else:
+        docs = _whole(spark, f"{root}/*/relation_labels/*.json")
+        named = docs.select(_part(F.col("path"), 3).alias("take"), _stem(_part(F.col("path"), 1)).alias("tp_id"), "value")
     joined = named.join(frames.select("take", "tp_id", F.lit(True).alias("_mapped")), ["take", "tp_id"], "left")
     parsed = F.when(F.col("_mapped"), F.from_json("value", "struct<rel_annotations:array<array<string>>>")["rel_annotations"]).otherwise(F.array().cast("array<array<string>>"))
     triplets = F.transform(parsed, lambda t: F.struct(t[0].alias("subj"), t[1].alias("pred"), t[2].alias("obj")))

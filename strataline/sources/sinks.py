@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import image_paths, strip_image_tokens, strip_memory
 from ..functions.vocab import CAMERAS, TAKE_SPLITS
 from .files import write_files
+from .snapshots import Snapshots
 
 #: Splits by take. Recordings in none of them go to train, or to custom when chosen by hand.
 SPLITS = ("train", "val", "test")
@@ -41,6 +42,12 @@ def write_documents(docs: DataFrame, path: str, suffix: str = "_hierarchy.json")
     return write_files(docs.select(F.concat("take", F.lit(suffix)).alias("path"), "value"), path)
 
 
+def commit_documents(docs: DataFrame, root: str, suffix: str = "_hierarchy.json", entry: dict | None = None) -> str:
+    """The documents as a new version of the set below `root`, all at once; returns the folder with <take><suffix>."""
+    store = Snapshots(docs.sparkSession, root)
+    return store.folder(store.replace_documents(docs.select(F.concat("take", F.lit(suffix)).alias("path"), "value"), entry))
+
+
 def with_split(samples: DataFrame, splits: dict[str, str], default: str = "train") -> DataFrame:
     """Samples with the split of their take (a table in the code, a few rows)."""
     known = F.create_map(*(F.lit(x) for pair in splits.items() for x in pair)) if splits else F.create_map().cast("map<string,string>")

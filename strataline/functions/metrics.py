@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_to_workers
+from .stem import token_stem, with_stems
 from .text import strip
 
 
@@ -105,12 +106,13 @@ def exact_match(a: Column, b: Column) -> Column:
     return (strip(a) == strip(b)).cast("int")
 
 
-def evaluate(predictions: DataFrame, truth: DataFrame, levels=("l0", "l1", "l2"), key: str = "id", scorers=None, stem=None) -> DataFrame:
+def evaluate(predictions: DataFrame, truth: DataFrame, levels=("l0", "l1", "l2"), key: str = "id", scorers=None, stem=token_stem) -> DataFrame:
     """One row per level and metric: level, metric, value, over predictions whose id has a truth row.
 
     predictions: id, pred_<level>; duplicates count. truth: id, gt_<level>, ord; the last per id counts. Level `all` has the
     numbers of matched and of all predictions; without a match there is `matched` alone.
-    scorers: metric name to a function of (reference, hypothesis) columns that takes the place of the default metrics.
+    scorers: metric name to a function of (reference, hypothesis) columns that takes the place of the default metrics, which are
+    BLEU, ROUGE over stemmed tokens (stem=None: as they are) and exact match.
     """
     last = truth.groupBy(key).agg(F.max_by(F.struct(*(f"gt_{x}" for x in levels)), "ord").alias("_g")).select(key, "_g.*")
     both = predictions.join(last, key)
@@ -130,10 +132,15 @@ def evaluate(predictions: DataFrame, truth: DataFrame, levels=("l0", "l1", "l2")
     return rows.where(F.col("value").isNotNull())
 
 
-def rouge1_table(df: DataFrame, key: str, reference: str, hypothesis: str) -> DataFrame:
-    """(key, rouge1) for texts of any length: token counts of both sides meet by token, so the work is linear in the text."""
+def rouge1_table(df: DataFrame, key: str, reference: str, hypothesis: str, stemmed: bool = False) -> DataFrame:
+    """(key, rouge1) for texts of any length: token counts of both sides meet by token, so the work is linear in the text.
+
+    stemmed: each distinct token is stemmed once, and counts are those of stems.
+    """
     words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda x: x != "")
     side = lambda c, n: df.select(key, F.explode(words(c)).alias("_w"), F.lit(1 if n == 0 else 0).alias("a"), F.lit(n).alias("b"))
     counts = side(reference, 0).unionByName(side(hypothesis, 1)).groupBy(key, "_w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    if stemmed:
+        counts = with_stems(counts, "_w", "_s").groupBy(key, "_s").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     sums = counts.groupBy(key).agg(F.sum(F.least("a", "b")).alias("hits"), F.sum(F.col("a") + F.col("b")).alias("n"))
     return df.select(key).join(sums, key, "left").select(key, F.coalesce(2.0 * F.col("hits") / F.col("n"), F.lit(0.0)).alias("rouge1"))

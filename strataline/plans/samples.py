@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..functions import stem as N
 from ..functions import text as T
 from ..operators import assemble as A
 from ..operators import baselines as L
@@ -273,7 +274,83 @@ def _turns(spark, d):
     return talk.join(talk.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next")), ["conv_id", "turn"])
 
 
-@query()
-def text_metrics(spark, d):
-    scored = _turns(spark, d).withColumn("s", M.text_scores(F.col("text"), F.col("next")))
+def _suffixes(w: str, rules, fits: str) -> str:
+    """The first suffix that a word ends in is replaced if what is before it fits."""
+    cases = " ".join(f"WHEN ends_with({w}, '{old}') THEN CASE WHEN {fits.format(s=f'left({w}, len({w}) - {len(old)})')} THEN left({w}, len({w}) - {len(old)}) || '{new}' ELSE {w} END" for old, new in rules)
+    return f"CASE {cases} ELSE {w} END"
+
+
+def _stems_sql(source: str) -> str:
+    """CTEs that end in `stems` (t, s) for the tokens t of `source`: Porter's steps, a column each."""
+    has = lambda pattern: f"regexp_matches({{s}}, '{pattern}')"
+    one, two = f"^{N.FIRST_VOWELS}{N.CONSONANTS}", f"^{N.FIRST_VOWELS}{N.CONSONANTS}{N.VOWELS}{N.CONSONANTS}"
+    just, consonant = f"^{N.FIRST_VOWELS}{N.CONSONANTS}(?:{N.VOWELS})?$", "(?:[^aeiouy]|^y|[aeiou]y)"
+    short = f"(regexp_matches({{s}}, '{consonant}[aeiouy][^aeiouwxy]$') AND len({{s}}) > 2 OR regexp_matches({{s}}, '^[aeiou][^aeiou]$'))"
+    cut = lambda w, n: f"left({w}, len({w}) - {n})"
+    stage = lambda name, before, body: f"{name} AS (SELECT t, {body} AS w FROM {before})"
+    vowel = has(f"^{N.FIRST_VOWELS}")
+    past = f"CASE WHEN ends_with(w, 'ed') AND {vowel.format(s=cut('w', 2))} THEN {cut('w', 2)} WHEN ends_with(w, 'ing') AND NOT ends_with(w, 'ed') AND {vowel.format(s=cut('w', 3))} THEN {cut('w', 3)} END"
+    restored = f"""CASE WHEN ends_with(p, 'at') OR ends_with(p, 'bl') OR ends_with(p, 'iz') THEN p || 'e'
+        WHEN len(p) > 1 AND p[-1] = p[-2] AND p[-1] NOT IN ('a', 'e', 'i', 'o', 'u', 'y') THEN CASE WHEN p[-1] IN ('l', 's', 'z') THEN p ELSE {cut('p', 1)} END
+        WHEN {has(just).format(s='p')} AND {short.format(s='p')} THEN p || 'e' ELSE p END"""
+    ion = f"CASE WHEN ends_with(w, 'ion') THEN CASE WHEN {has(two).format(s=cut('w', 3))} AND w[-4] IN ('s', 't') THEN {cut('w', 3)} ELSE w END ELSE {_suffixes('w', [(x, '') for x in N.STEP_4 if x != 'ion'], has(two))} END"
+    e = cut("w", 1)
+    odd = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in N.IRREGULAR.items())
+    return ", ".join([
+        f"z0 AS (SELECT DISTINCT t, t AS w FROM {source} WHERE len(t) > 3 AND t NOT IN ({', '.join(repr(x) for x in N.IRREGULAR)}))",
+        stage("z1", "z0", f"CASE WHEN ends_with(w, 'ies') AND len(w) = 4 THEN {cut('w', 1)} WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {cut('w', 2)} WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {cut('w', 1)} ELSE w END"),
+        f"z2 AS (SELECT t, w, {past} AS p FROM z1)",
+        stage("z3", "z2", f"CASE WHEN ends_with(w, 'ied') THEN CASE WHEN len(w) = 4 THEN {cut('w', 1)} ELSE {cut('w', 2)} END WHEN ends_with(w, 'eed') THEN CASE WHEN {has(one).format(s=cut('w', 3))} THEN {cut('w', 1)} ELSE w END WHEN p IS NULL THEN w ELSE {restored} END"),
+        stage("z4", "z3", f"CASE WHEN len(w) > 2 AND regexp_matches(w, '{consonant}y$') THEN {cut('w', 1)} || 'i' ELSE w END"),
+        stage("z5", "z4", f"CASE WHEN ends_with(w, 'logi') THEN CASE WHEN {has(one).format(s=cut('w', 3))} THEN {cut('w', 1)} ELSE w END ELSE {_suffixes('w', N.STEP_2, has(one))} END"),
+        stage("z6", "z5", _suffixes("w", N.STEP_3, has(one))),
+        stage("z7", "z6", ion),
+        stage("z8", "z7", f"CASE WHEN ends_with(w, 'e') AND ({has(two).format(s=e)} OR {has(just).format(s=e)} AND NOT {short.format(s=e)}) THEN {e} ELSE w END"),
+        stage("z9", "z8", f"CASE WHEN ends_with(w, 'll') AND {has(two).format(s=cut('w', 1))} THEN {cut('w', 1)} ELSE w END"),
+        f"stems AS (SELECT t, w AS s FROM z9 UNION ALL SELECT DISTINCT t, CASE t {odd} ELSE t END FROM {source} WHERE NOT (len(t) > 3 AND t NOT IN ({', '.join(repr(x) for x in N.IRREGULAR)})))",
+    ])
+
+
+def _metrics_sql(stemmed: bool) -> str:
+    """BLEU as in its own query; unigram overlap by counts; the longest common subsequence row by row, one token of the
+    second text at a time (a prefix maximum over the first text's places)."""
+    stems = _stems_sql("w") if stemmed else "stems AS (SELECT DISTINCT t, t AS s FROM w)"
+    return f"""WITH RECURSIVE pairs AS (SELECT a.conv_id, a.turn, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+w AS (SELECT conv_id, turn, 0 AS side, unnest({_TOKENS.format("a")}) AS t, generate_subscripts({_TOKENS.format("a")}, 1) AS i FROM pairs
+  UNION ALL SELECT conv_id, turn, 1, unnest({_TOKENS.format("b")}), generate_subscripts({_TOKENS.format("b")}, 1) FROM pairs),
+{stems},
+x AS MATERIALIZED (SELECT w.conv_id, w.turn, side, i, s FROM w JOIN stems USING (t)),
+c AS (SELECT conv_id, turn, s, count(*) FILTER (side = 0) AS p, count(*) FILTER (side = 1) AS q FROM x GROUP BY ALL),
+g AS (SELECT conv_id, turn, sum(least(p, q)) AS hits, sum(p + q) AS n FROM c GROUP BY ALL),
+y AS MATERIALIZED (SELECT * FROM x WHERE side = 1),
+lcs AS (
+  SELECT conv_id, turn, 0::BIGINT AS k, i AS j, s, 0::BIGINT AS v FROM x WHERE side = 0
+  UNION ALL
+  SELECT l.conv_id, l.turn, l.k + 1, l.j, l.s, max(CASE WHEN l.s = y.s THEN pv + 1 ELSE v END) OVER (PARTITION BY l.conv_id, l.turn ORDER BY l.j ROWS UNBOUNDED PRECEDING)
+  FROM (SELECT *, coalesce(lag(v) OVER (PARTITION BY conv_id, turn ORDER BY j), 0) AS pv FROM lcs) l JOIN y ON y.conv_id = l.conv_id AND y.turn = l.turn AND y.i = l.k + 1),
+f AS (SELECT conv_id, turn, max(v) AS v FROM lcs GROUP BY ALL)
+SELECT b.conv_id, b.turn, b.bleu, round(coalesce(2.0 * f.v / n, 0.0), 9) AS rouge_l, round(coalesce(2.0 * hits / n, 0.0), 9) AS rouge1
+FROM ({SQL["bleu"].replace("len(hy))), 6)", "len(hy))), 9)")}) b LEFT JOIN g USING (conv_id, turn) LEFT JOIN f USING (conv_id, turn)"""
+
+
+def _text_metrics(spark, d, stem):
+    scored = _turns(spark, d).withColumn("s", M.text_scores(F.col("text"), F.col("next"), stem))
     return scored.select("conv_id", "turn", *(F.round(F.col("s")[m], 9).alias(m.replace("rougeL", "rouge_l")) for m in ("bleu", "rougeL", "rouge1")))
+
+
+@query(_metrics_sql(False))
+def text_metrics(spark, d):
+    return _text_metrics(spark, d, None)
+
+
+@query(_metrics_sql(True))
+def text_metrics_stemmed(spark, d):
+    return _text_metrics(spark, d, N.token_stem)
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({_TOKENS.format("text")}) AS t FROM documents), {_stems_sql("w")} SELECT s AS stem, count(*) AS n, count(DISTINCT w.t) AS tokens FROM w JOIN stems USING (t) GROUP BY s""")
+def stems_of_documents(spark, d):
+    """Every token of the documents by stem; each distinct token is stemmed once."""
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda x: x != "")
+    counts = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    return N.with_stems(counts, "t").groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("tokens"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .assemble import majority
+from .ordered import Line, carried
 
 LEVELS = ("l0", "l1", "l2")
 
@@ -27,6 +30,8 @@ def copy_last(test: DataFrame, order: str = "ord", by_take: bool = False) -> Dat
 
 #: Ranges that the labels of a training set are counted in; a label's range follows from a hash.
 RANGES = 256
+#: Distinct labels of a level up to which a table of them is sent to the workers.
+TABLE_LABELS = 100_000
 
 
 def _hash(*parts: Column) -> Column:
@@ -34,30 +39,53 @@ def _hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
 
 
-def random_label(train: DataFrame, test: DataFrame, seed: int = 42) -> DataFrame:
+def _laid_end_to_end(train: DataFrame, column: str) -> DataFrame:
+    """(place, label, n): the distinct labels with where each starts, in order of range and label. Null counts as empty."""
+    counts = train.groupBy(F.coalesce(F.col(column), F.lit("")).alias("label")).agg(F.count("*").alias("n")).withColumn("part", _hash(F.col("label")) % RANGES)
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("part").agg(F.sum("n").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0)))  # at most RANGES rows
+    inside = Window.partitionBy("part").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("place", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(parts.select("part", "first")), "part")
+    return placed.select((F.col("first") + F.col("place")).alias("place"), "label", "n")
+
+
+def random_label(train: DataFrame, test: DataFrame, seed: int = 42, table: int = TABLE_LABELS) -> DataFrame:
     """Labels drawn independently per level by a hash of the test id, each as often as it stands in the training rows.
 
     The distinct labels are laid end to end, each as long as its count, and a test row takes the label at its place: its hash
-    modulo the number of training rows. Labels lie in RANGES ranges by hash (a row per range is all that is summed in one
-    place), and a range's places are looked up in one ordered pass. Null labels count as empty; without training rows all are.
+    modulo the number of training rows. Up to `table` labels are looked up by binary search in a copy that each worker has, so
+    rows stay where they are; with more, ids alone are put in one order with the labels' starts and spread over all tasks, so
+    that a label of any share is no task's alone. Null labels count as empty; without training rows all are.
     """
-    out = test.withColumn("_row", F.struct(*test.columns)).select("_row", F.col("id").cast("string").alias("_id"))
+    out = test
     for k, x in enumerate(LEVELS):
-        counts = train.groupBy(F.coalesce(F.col(f"gt_{x}"), F.lit("")).alias("label")).agg(F.count("*").alias("n")).withColumn("part", _hash(F.col("label")) % RANGES)
-        upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        parts = counts.groupBy("part").agg(F.sum("n").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0)))  # at most RANGES rows
-        inside = Window.partitionBy("part").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
-        starts = counts.withColumn("place", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(parts.select("part", "first")), "part").select("part", (F.col("first") + F.col("place")).alias("place"), "label")
-        ranges = parts.agg(F.array_sort(F.collect_list(F.struct("first", "part"))).alias("ranges"), F.sum("n").alias("total"))  # one row
-        drawn = out.join(F.broadcast(ranges)).withColumn("place", _hash(F.lit(seed), F.lit(k), F.col("_id")) % F.greatest(F.col("total"), F.lit(1)))
-        part = F.element_at(F.filter("ranges", lambda r: r["first"] <= F.col("place")), -1)["part"]
-        drawn = drawn.withColumn("part", F.when(F.size("ranges") > 0, part)).drop("ranges", "total")
-        extra = [c for c in drawn.columns if c not in ("part", "place")]
-        none = [F.lit(None).cast(drawn.schema[c].dataType).alias(c) for c in extra]
-        both = drawn.select("part", "place", F.lit(1).alias("_q"), F.lit(None).cast("string").alias("label"), *extra).unionByName(starts.select("part", "place", F.lit(0).alias("_q"), "label", *none))
-        found = F.last("label", ignorenulls=True).over(Window.partitionBy("part").orderBy("place", "_q").rowsBetween(Window.unboundedPreceding, 0))
-        out = both.withColumn("label", F.coalesce(found, F.lit(""))).where("_q = 1").select(*extra, F.col("label").alias(f"pred_{x}"))
-    return out.select("_row.*", *(f"pred_{x}" for x in LEVELS))
+        starts = _laid_end_to_end(train, f"gt_{x}")
+        known = sorted(map(tuple, starts.limit(table + 1).collect()))  # at most table + 1 labels
+        if len(known) <= table:
+            out = out.withColumn(f"pred_{x}", _looked_up(known)(_hash(F.lit(seed), F.lit(k), F.col("id"))))
+        else:
+            out = _spread_lookup(out, starts, _hash(F.lit(seed), F.lit(k), F.col("id")), f"pred_{x}")
+    return out
+
+
+def _looked_up(known: list[tuple]):
+    """A column's label at the place that its hash gives."""
+    places, labels = np.array([p for p, _, _ in known], np.int64), np.array([label for _, label, _ in known] or [""], object)
+    total = sum(n for _, _, n in known)
+
+    @F.pandas_udf("string")
+    def run(hashes: pd.Series) -> pd.Series:
+        return pd.Series(labels[np.maximum(np.searchsorted(places, hashes.to_numpy() % max(total, 1), side="right") - 1, 0)])
+
+    return run
+
+
+def _spread_lookup(rows: DataFrame, starts: DataFrame, hashed: Column, out: str) -> DataFrame:
+    total = starts.agg(F.sum("n")).first()[0]
+    drawn = rows.select("id", (hashed % total).alias("place")).distinct().select("place", F.lit(1).alias("_q"), F.lit(None).cast("string").alias("label"), F.col("id").alias("_id"))
+    both = drawn.unionByName(starts.select("place", F.lit(0).alias("_q"), "label"), allowMissingColumns=True)
+    found = Line.of(both, [], ["place", "_q", "_id"]).scan(**{out: carried(F.col("label"))}).done().where("_q = 1").select("_id", out)
+    return rows.join(found, rows["id"].eqNullSafe(found["_id"]), "left").drop("_id")
 
 
 def baseline_predictions(train: DataFrame, test: DataFrame, seed: int = 42, order: str = "ord") -> dict[str, DataFrame]:

@@ -393,6 +393,12 @@ def level0_of_recordings(spark, d):
     return rows.select("take", "segment_id", "tp_start", "tp_end", *long("duration_frames", "time_start", "time_end", "duration_s"), "description", F.array_join(F.transform("transcript", lambda t: t["text"]), "/").alias("heard"))
 
 
+def _pairs(segments):
+    """Two segments each."""
+    ids = segments["segment_id"].tolist()
+    return [{"segment_ids": [f" [{x}]" for x in ids[i : i + 2]], "summary": f"of {ids[i]}", "audio_summary": ""} for i in range(0, len(ids), 2)]
+
+
 def _tables(spark, d):
     """Hierarchies whose steps are pairs of segments and whose phases are pairs of steps, as a model might group them."""
     key = (spark.sparkContext.applicationId, d, "tables")
@@ -401,19 +407,15 @@ def _tables(spark, d):
     root, frames, labels, line = _line(spark, d)
     l0 = H.level0(line, frames)
 
-    def pairs(segments):
-        ids = segments["segment_id"].tolist()
-        return [{"segment_ids": [f" [{x}]" for x in ids[i : i + 2]], "summary": f"of {ids[i]}", "audio_summary": ""} for i in range(0, len(ids), 2)]
-
-    l1 = H.model_level(l0, 1, pairs, chunked=False)
-    tables = {"l0": l0, "l1": l1, "l2": H.model_level(l1, 2, pairs, chunked=False)}
+    l1 = H.model_level(l0, 1, _pairs, chunked=False)
+    tables = {"l0": l0, "l1": l1, "l2": H.model_level(l1, 2, _pairs, chunked=False)}
     at = files.scratch(spark, "tables")
     for name in tables:
         tables[name].write.mode("overwrite").parquet(f"{at}/{name}")
         tables[name] = spark.read.parquet(f"{at}/{name}")
         l1 = tables["l1"]
         if name == "l1":
-            tables["l2"] = H.model_level(l1, 2, pairs, chunked=False)
+            tables["l2"] = H.model_level(l1, 2, _pairs, chunked=False)
     H.metadata(tables, labels, frames, root).write.parquet(f"{at}/metadata")
     H.debounce_analysis(line, frames).write.parquet(f"{at}/analysis")
     _ROOTS[key] = at
@@ -429,6 +431,44 @@ def grouped_by_a_model(spark, d):
     return pick(t["l1"]).unionByName(pick(t["l2"]))
 
 
+_HEARD = """h AS (SELECT z.take, z.role, z.ord, f.b, 'says ' || f.b || CASE WHEN z.take[3]::INT % 2 = 1 THEN ' beside' ELSE '' END AS says
+  FROM z JOIN fm f ON f.take = z.take AND f.b * 10 + 12 >= z.time_start AND f.b * 10 + 3 <= z.time_end)"""
+
+
+@query(f"""WITH {_SEG}, {_HEARD}
+SELECT level, z.take, printf('%s_L%d_%03d', z.role, level, z.ord // (2 * level)) AS segment_id, coalesce(string_agg(says, '/' ORDER BY z.ord, h.b), '') AS heard, count(says) AS n
+FROM z CROSS JOIN (SELECT unnest([1, 2]) AS level) LEFT JOIN h ON h.take = z.take AND h.role = z.role AND h.ord = z.ord GROUP BY level, z.take, z.role, z.ord // (2 * level)""")
+def words_up_the_tree(spark, d):
+    """What was said during steps and phases: the words of their segments, one after the other."""
+    root, frames, _, line = _line(spark, d)
+    l0 = H.level0(line, frames, R.transcripts(spark, root))
+    l1 = H.model_level(l0, 1, _pairs, chunked=False)
+    l2 = H.model_level(l1, 2, _pairs, chunked=False)
+    pick = lambda t: t.select(F.col("level").cast("long").alias("level"), "take", "segment_id", F.array_join(F.transform("transcript", lambda x: x["text"]), "/").alias("heard"), F.size("transcript").cast("long").alias("n"))
+    return pick(l1).unionByName(pick(l2))
+
+
+@query(f"""WITH {_X}, l AS (SELECT DISTINCT take, tp_id, subj, pred, obj FROM {_LABELS}),
+p AS (SELECT take, tp_id, subj AS role, pred || ':' || obj AS item FROM l WHERE pred IN ('Touching', 'Holding', 'Sawing') AND subj IN ('head_surgeon', 'nurse', 'mps')),
+people AS (SELECT DISTINCT l.take, l.tp_id, l.subj AS role, item FROM l LEFT JOIN p ON p.take = l.take AND p.tp_id = l.tp_id AND p.role = l.subj WHERE l.subj IN ('head_surgeon', 'nurse', 'mps')),
+o AS (SELECT take, tp_id, obj AS role, CASE WHEN pred IN ('Touching', 'Holding', 'Sawing') THEN pred || ':' || subj END AS item FROM l WHERE obj IN ('drill', 'saw')
+  UNION SELECT take, tp_id, 'saw', pred || ':' || subj FROM l WHERE pred = 'Sawing'),
+s AS (SELECT take, tp_id, role, coalesce(array_to_string(list_sort(list(DISTINCT item) FILTER (WHERE item IS NOT NULL)), ';'), '') AS state FROM (SELECT * FROM people UNION ALL SELECT * FROM o) GROUP BY ALL),
+{_SCREENS}, ph AS (SELECT take, b, tp_id, CASE WHEN take[3]::INT % 2 = 0 THEN 'P' WHEN b % 2 = 0 THEN 'B' ELSE 'A' END || (b % 5) AS phase FROM fm),
+seen AS (SELECT DISTINCT take, tp_id FROM l UNION SELECT DISTINCT take, '999999' FROM fm)
+SELECT kind, count(*) AS n, count(DISTINCT take) AS takes, count(DISTINCT role) AS roles, CAST(sum(length(state)) AS BIGINT) AS letters FROM (
+  SELECT CASE WHEN role IN ('drill', 'saw') THEN 'tool' ELSE 'person' END AS kind, take, role, state FROM s
+  UNION ALL SELECT 'robot', ph.take, 'robot_setup', 'Phase:' || phase FROM ph JOIN seen USING (take, tp_id)
+  UNION ALL SELECT 'robot', fm.take, 'robot_monitor', concat_ws(';', 'Phase:' || sc.phase, 'Step:' || sc.step) FROM fm JOIN seen USING (take, tp_id) JOIN sc ON sc.take = fm.take AND sc.s = fm.b // 2 WHERE sc.phase IS NOT NULL OR sc.step IS NOT NULL) GROUP BY kind""")
+def timelines_of_all_roles(spark, d):
+    """People, tools and robots of the recordings together."""
+    root, frames, _, _ = _line(spark, d)
+    line = H.timelines(spark, root, R.relation_labels(spark, root, frames), frames)
+    kind = F.when(F.col("role").isin(*V.ROBOTS), "robot").when(F.col("role").isin(*V.TOOLS), "tool").otherwise("person")
+    text = F.array_join(F.transform("state", lambda x: F.concat(x["p"], F.lit(":"), x["o"])), ";")
+    return line.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("take").alias("takes"), F.countDistinct("role").alias("roles"), F.sum(F.length(text)).alias("letters"))
+
+
 @query(f"""WITH {_SEG}, k AS (SELECT take, role, max(raw) AS raw, max(run) AS run FROM sg GROUP BY take, role), q AS (SELECT take, sum(raw) AS raw, sum(run) AS run FROM k GROUP BY take),
 m AS (SELECT take, count(DISTINCT role) AS roles, count(*) AS n0, sum((ord % 2 = 0)::INT) AS n1, sum((ord % 4 = 0)::INT) AS n2 FROM z GROUP BY take),
 p AS (SELECT take, min(tp_id) AS a, max(tp_id) AS b, count(DISTINCT tp_id) AS n FROM {_LABELS} GROUP BY take)
@@ -503,11 +543,21 @@ def scene_graphs_by_second(spark, d):
     return W.scene_graphs(labels, frames, "000002").select("take", F.col("ts").cast("long").alias("ts"), F.array_join(F.transform("triplets", lambda t: F.concat_ws(":", t["subj"], t["obj"])), ";").alias("graph"))
 
 
-@query(f"""WITH {_X} SELECT DISTINCT l.take, subj AS role, f.b * 10 AS ts FROM {_LABELS} l JOIN fm f ON f.take = l.take AND f.tp_id = l.tp_id
-UNION ALL SELECT DISTINCT l.take, '*', f.b * 10 FROM {_LABELS} l JOIN fm f ON f.take = l.take AND f.tp_id = l.tp_id""")
+_SHOWN = {"head_surgeon": "person", "nurse": "person", "patient": "person", "drill": "tool", "saw": "tool", "hammer": "tool", "robot_monitor": "robot"}
+
+
+@query(f"""WITH {_X}, t AS (SELECT l.take, subj, obj, f.b * 10 AS ts FROM {_LABELS} l JOIN fm f ON f.take = l.take AND f.tp_id = l.tp_id)
+SELECT DISTINCT take, '*' AS role, ts FROM t
+UNION ALL SELECT DISTINCT take, subj, ts FROM t WHERE subj IN ('head_surgeon', 'nurse', 'patient')
+UNION ALL SELECT DISTINCT take, r.role, ts FROM t, (SELECT unnest(['drill', 'saw']) AS role) r WHERE subj = r.role OR obj = r.role
+UNION ALL SELECT DISTINCT take, r.role, ts FROM t, (SELECT unnest(['hammer', 'robot_monitor']) AS role) r""")
 def valid_times_by_role(spark, d):
+    """People by what they do, tools by what is done with them, a tool that never appears and a robot at all times."""
     _, frames, labels, _ = _line(spark, d)
-    return W.valid_times(W.scene_graphs(labels, frames)).select("take", F.coalesce("role", F.lit("*")).alias("role"), F.col("ts").cast("long").alias("ts"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.lit(k == "robot").alias("is_robot"), F.lit(k == "tool").alias("is_tool")) for r, k in _SHOWN.items()))).alias("x")
+    graphs = W.scene_graphs(labels, frames)
+    roles = graphs.select("take").distinct().select("take", kinds).select("take", "x.*")
+    return W.valid_times(graphs, roles).select("take", F.coalesce("role", F.lit("*")).alias("role"), F.col("ts").cast("long").alias("ts"))
 
 
 @query(f"""WITH {_SEG}, k AS (SELECT take, role, {_NAME} AS role_human, count(*) AS n FROM z WHERE ord % 5 <> 1 GROUP BY take, role)

@@ -278,8 +278,22 @@ fo AS (SELECT role, i, a, b, CAST(0 AS BIGINT) AS grp, state AS says, state = ''
     NOT fo.eats AND NOT fo.opens AND nx.state = '' AND coalesce(nx.nxt, '') <> '' AND nx.nxt = fo.says FROM fo JOIN nx ON nx.role = fo.role AND nx.i = fo.i + 1)
 SELECT role, grp AS ord, string_agg(printf('%s_L0_%03d', role, i), ',' ORDER BY i) AS segment_ids, CAST(min(a) AS BIGINT) AS time_start, CAST(max(b) AS BIGINT) AS time_end, arg_max(says, i) AS summary, '' AS audio_summary FROM fo GROUP BY role, grp""")
 def collapse_idle_l1(spark, d):
+    return _folded(spark, d, F.lit(""))
+
+
+def _folded(spark, d, audio):
     seg = I.segments(_roles(spark, d), "role", ["hour"], "state", 2)
     ids = T.segment_id(F.col("role"), 0, F.col("segment"))
-    step = seg.select("role", F.col("segment").cast("int").alias("ord"), F.array(ids).alias("segment_ids"), F.when(T.is_idle(F.col("state")), F.array(ids)).otherwise(F.array().cast("array<string>")).alias("idle_ids"), F.col("tp_start").cast("int").alias("time_start"), F.col("tp_end").cast("int").alias("time_end"), _state(F.col("state")).alias("summary"), F.lit("").alias("audio_summary"))
+    step = seg.select("role", F.col("segment").cast("int").alias("ord"), F.array(ids).alias("segment_ids"), F.when(T.is_idle(F.col("state")), F.array(ids)).otherwise(F.array().cast("array<string>")).alias("idle_ids"), F.col("tp_start").cast("int").alias("time_start"), F.col("tp_end").cast("int").alias("time_end"), _state(F.col("state")).alias("summary"), audio.alias("audio_summary"))
     long = lambda c: F.col(c).cast("long").alias(c)
     return G.fold_idle_steps(step, ["role"]).select("role", long("ord"), F.array_join("segment_ids", ",").alias("segment_ids"), long("time_start"), long("time_end"), "summary", "audio_summary")
+
+
+@query(f"""WITH RECURSIVE {E}, {_STEPS}, nx AS (SELECT role, i, a, b, state, lead(state) OVER (PARTITION BY role ORDER BY i) AS nxt, count(*) OVER (PARTITION BY role) AS n FROM g),
+fo AS (SELECT role, i, a, b, CAST(0 AS BIGINT) AS grp, state AS says, state = '' AND n > 1 AS opens, false AS eats FROM nx WHERE i = 0
+  UNION ALL SELECT nx.role, nx.i, nx.a, nx.b, CASE WHEN fo.eats OR fo.opens OR nx.state = '' THEN fo.grp ELSE fo.grp + 1 END, CASE WHEN fo.opens THEN nx.state WHEN fo.eats OR nx.state = '' THEN fo.says ELSE nx.state END, false,
+    NOT fo.eats AND NOT fo.opens AND nx.state = '' AND coalesce(nx.nxt, '') <> '' AND nx.nxt = fo.says FROM fo JOIN nx ON nx.role = fo.role AND nx.i = fo.i + 1)
+SELECT role, grp AS ord, string_agg(printf('%s_L0_%03d', role, i), ',' ORDER BY i) AS segment_ids, CAST(min(a) AS BIGINT) AS time_start, CAST(max(b) AS BIGINT) AS time_end, arg_max(says, i) AS summary, coalesce(string_agg('a' || i, '; ' ORDER BY i) FILTER (WHERE i % 3 = 1), '') AS audio_summary FROM fo GROUP BY role, grp""")
+def audio_of_folded_steps(spark, d):
+    """As collapse_idle_l1, with what was heard in every third segment."""
+    return _folded(spark, d, F.when(F.col("segment") % 3 == 1, F.concat(F.lit("a"), "segment")).otherwise(""))

@@ -17,10 +17,24 @@ def scene_graphs(labels: DataFrame, frames: DataFrame, start: str | None = None,
     return rows.where(F.col("ts").isNotNull()).groupBy("take", "ts").agg(F.max_by("triplets", "tp_id").alias("triplets"))
 
 
-def valid_times(graphs: DataFrame) -> DataFrame:
-    """(take, role, ts): the seconds at which a role does something; role null: all seconds that have a graph."""
-    every = graphs.select("take", F.lit(None).cast("string").alias("role"), "ts")
-    return every.unionByName(graphs.select("take", F.explode(F.array_distinct(F.transform("triplets", lambda t: t["subj"]))).alias("role"), "ts"))
+def valid_times(graphs: DataFrame, roles: DataFrame | None = None) -> DataFrame:
+    """(take, role, ts): the seconds at which a role has something to show; role null: all seconds that have a graph.
+
+    A person has those of graphs with it as a subject. With `roles` (take, role, is_robot, is_tool; as `shown_roles` gives them)
+    only these are told of: a tool has those with it as a subject or an object, or all if there are none; a robot has all.
+    """
+    every = graphs.select("take", "ts")
+    names = lambda *c: F.explode(F.array_distinct(F.concat(*(F.col(f"triplets.{x}") for x in c)))).alias("role")
+    whole = every.select("take", F.lit(None).cast("string").alias("role"), "ts")
+    if roles is None:
+        return whole.unionByName(graphs.select("take", names("subj"), "ts"))
+    known = roles.select("take", "role", F.when(F.col("is_robot"), "robot").when(F.col("is_tool"), "tool").otherwise("person").alias("kind")).distinct()
+    of = lambda kind: known.where(F.col("kind") == kind).select("take", "role")
+    people = graphs.select("take", names("subj"), "ts").join(of("person"), ["take", "role"], "left_semi")
+    tools = graphs.select("take", names("subj", "obj"), "ts").join(of("tool"), ["take", "role"], "left_semi")
+    unseen = of("tool").join(tools.select("take", "role").distinct(), ["take", "role"], "left_anti")
+    always = of("robot").unionByName(unseen).join(every, "take").select("take", "role", "ts")
+    return whole.unionByName(people).unionByName(tools).unionByName(always)
 
 
 def shown_roles(l0: DataFrame, l1: DataFrame, l2: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -18,6 +18,7 @@ from ..operators import timeline as S
 from ..operators.grouping import group_table
 from ..operators.labels import role_rank
 from ..sources import recordings as R
+from ..sources.files import materialise
 from ..sources.sinks import hierarchy_documents
 
 
@@ -187,18 +188,19 @@ def model_level(segments: DataFrame, level: int, grouper, chunked: bool = True)
 def build(spark: SparkSession, root: str, debounce: int = 2, thresholds: tuple[float, float] = (0.30, 0.45), start_tp: str | None = None, max_frames: int | None = None, tools: bool = True, encoder=None, groupers=None) -> dict[str, DataFrame]:
     """Tables l0, l1, l2, report, metadata and analysis of every take under `root` that can be processed.
 
-    Levels 1 and 2 follow from text distances, or from two models if `groupers` has them (see grouping.group_table).
+    Levels 1 and 2 follow from text distances, or from two models if `groupers` has them (see grouping.group_table). Files are
+    read once: labels, timelines and each level are written to the shared folder before what is above them reads them.
     """
-    frames = R.frame_map(spark, root).join(R.takes(spark, root), "take", "left_semi")
-    labels = entries(R.relation_labels(spark, root, frames).join(frames.select("take").distinct(), "take", "left_semi"), start_tp, max_frames)
-    line = timelines(spark, root, labels, frames, tools)
-    l0 = level0(line, frames, R.transcripts(spark, root), debounce)
+    frames = materialise(R.frame_map(spark, root).join(R.takes(spark, root), "take", "left_semi"), "frames")
+    labels = materialise(entries(R.relation_labels(spark, root, frames).join(frames.select("take").distinct(), "take", "left_semi"), start_tp, max_frames), "labels")
+    line = materialise(timelines(spark, root, labels, frames, tools), "timelines")
+    l0 = materialise(level0(line, frames, R.transcripts(spark, root), debounce), "l0")
     if groupers:
-        l1 = model_level(l0, 1, groupers[0])
-        l2 = model_level(l1, 2, groupers[1], chunked=False)
+        l1 = materialise(model_level(l0, 1, groupers[0]), "l1")
+        l2 = materialise(model_level(l1, 2, groupers[1], chunked=False), "l2")
     else:
-        l1 = group_level(l0.withColumn("items", F.col("active_predicates")), 1, thresholds[0], encoder)
-        l2 = group_level(l1, 2, thresholds[1], encoder, "summary")
+        l1 = materialise(group_level(l0.withColumn("items", F.col("active_predicates")), 1, thresholds[0], encoder), "l1")
+        l2 = materialise(group_level(l1, 2, thresholds[1], encoder, "summary"), "l2")
     tables = {"l0": l0, "l1": l1, "l2": l2}
     out = {**tables, "report": debounce_report(line, debounce), "metadata": metadata(tables, labels, frames, root, debounce)}
     return out | ({"analysis": debounce_analysis(line, frames, debounce)} if debounce > 1 else {})

@@ -19,7 +19,9 @@ from ..sources import recordings as R
 from ..sources import sinks as K
 from ..sources import snapshots as N
 from . import hierarchy as H
+from . import training as B
 from . import viewer as W
+from .samples import _FRAMES, _MEMORY
 from .timelines import E, debounce_sql, events
 
 QUERIES: dict = {}
@@ -188,10 +190,13 @@ def safe_file_names(spark, d):
     return rows.select("event_id", "file", T.is_safe_name(F.col("file")).alias("safe"), T.take_of_file(F.col("file")).alias("take"))
 
 
-@query("""SELECT unnest(['001_PKA', '002_PKA', '003_TKA', '004_PKA', '005_TKA', '006_PKA', '007_TKA', '008_PKA', '009_TKA', '010_PKA', '011_TKA', '013_PKA', '014_PKA', '033_PKA', '035_PKA', '036_PKA', '037_TKA', '038_TKA']) AS take,
-  unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17]::BIGINT[]) AS ord, unnest(['train', 'train', 'train', 'train', 'train', 'train', 'train', 'train', 'train', 'val', 'val', 'val', 'test', 'test', 'test', 'test', 'test', 'test']) AS split""")
+@query("""WITH r AS (SELECT unnest(['001_PKA', '002_PKA', '003_TKA', '004_PKA', '005_TKA', '006_PKA', '007_TKA', '008_PKA', '009_TKA', '010_PKA', '011_TKA', '013_PKA', '014_PKA', '033_PKA', '035_PKA', '036_PKA', '037_TKA', '038_TKA']) AS take,
+  unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17]::BIGINT[]) AS ord, unnest(['train', 'train', 'train', 'train', 'train', 'train', 'train', 'train', 'train', 'val', 'val', 'val', 'test', 'test', 'test', 'test', 'test', 'test']) AS split)
+SELECT take, ord, split, count(event_id) AS n FROM r LEFT JOIN events ON user_id % 20 = ord GROUP BY ALL""")
 def recordings_of_all_splits(spark, d):
-    return K.take_splits(spark).select("take", F.col("ord").cast("long").alias("ord"), "split")
+    """Every recording of the splits with the number of its events; events of two takes are in none."""
+    taken = events(spark, d).groupBy((F.col("user_id") % 20).alias("ord")).agg(F.count("*").alias("n"))
+    return K.take_splits(spark).join(taken, "ord", "left").select("take", F.col("ord").cast("long").alias("ord"), "split", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 # A sample per event: the truth of a frame, its views and its conversation.
@@ -240,6 +245,23 @@ def sharegpt_rows(spark, d):
     return rows.select("id", F.size("images").cast("long").alias("n_images"), F.col("messages")[0]["content"].alias("asked"), F.col("messages")[1]["content"].alias("answer"), "pc")
 
 
+@query(f"""WITH {_SAMPLE}, m AS (SELECT unnest([false, true]) AS memory)
+SELECT memory, {_ID} AS id, '<image>' || chr(10) || CASE WHEN memory THEN {_ASK.format(_BLOCK)} ELSE {_ASK.format("''")} END AS llava, '<image><image>' || CASE WHEN memory THEN {_ASK.format(_BLOCK)} ELSE {_ASK.format("''")} END AS sharegpt, {_ANSWER} AS answer FROM s, m""")
+def training_pairs(spark, d):
+    """Both kinds of training files, with memory and without, written and read again."""
+    at = files.scratch(spark, "pairs")
+    rows = samples(spark, d)
+    K.write_pair(rows, f"{at}/llava")
+    K.write_pair(rows, f"{at}/sharegpt", K.sharegpt)
+    out = None
+    for name, memory in (("no_memory", False), ("with_memory", True)):
+        a = spark.read.schema("id string, conversations array<struct<from:string,value:string>>").json(f"{at}/llava/{name}").select("id", F.col("conversations")[0]["value"].alias("llava"))
+        b = spark.read.schema("id string, messages array<struct<role:string,content:string>>").json(f"{at}/sharegpt/{name}").select("id", F.col("messages")[0]["content"].alias("sharegpt"), F.col("messages")[1]["content"].alias("answer"))
+        both = a.join(b, "id").select(F.lit(memory).alias("memory"), "id", "llava", "sharegpt", "answer")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 _FILES = "f AS (SELECT DISTINCT printf('colorimage/a-%06d.jpg', k) AS path FROM e WHERE k % 3 > 0 UNION SELECT DISTINCT printf('colorimage/b-%06d.jpg', k % 9) FROM e WHERE k % 9 <> 4)"
 
 
@@ -265,13 +287,14 @@ def dry_run_sample(spark, d):
 
 @query(f"""WITH {E} SELECT 'i' || (event_id % 97) AS id, CAST(max(event_id) AS VARCHAR) AS pred_l0 FROM e WHERE k % 10 <> 3 AND event_id % 97 <> 5 GROUP BY 1""")
 def predictions_reader(spark, d):
-    """A file of lines in order of the events: broken ones, ones without id, and several of one id, the last of which counts."""
-    at = files.scratch(spark, "predictions")
+    """Lines in order of the events, file after file: broken ones, ones without id, and several of one id, the last of which counts."""
+    at = f"{files.scratch(spark, 'predictions')}/lines"
     ident = F.when(F.col("event_id") % 97 == 5, "").otherwise(F.concat(F.lit("i"), F.col("event_id") % 97))
     line = F.when(F.col("k") % 10 == 3, "{broken").otherwise(F.to_json(F.struct(ident.alias("id"), F.col("event_id").cast("string").alias("pred_l0"))))
-    one = events(spark, d).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("value"))
-    files.write_files(one.select(F.lit("predictions.jsonl").alias("path"), "value"), at)
-    return R.predictions(spark, f"{at}/predictions.jsonl").select("id", "pred_l0")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = events(spark, d).select("event_id", line.alias("value")).repartitionByRange(parts, "event_id").sortWithinPartitions("event_id")
+    lines.select("value").write.text(at, lineSep="\n")  # part files are named in order
+    return R.predictions(spark, at).select("id", "pred_l0")
 
 
 @query(f"""WITH {E}, p AS (SELECT event_id, 'g' || (user_id % 6) AS g, CASE WHEN user_id % 6 < 3 THEN 'new' ELSE 'old' END AS says, 'i' || (k % 50) AS id FROM e),
@@ -279,16 +302,13 @@ o AS (SELECT id, arg_max(says, event_id) AS says, max(event_id) AS n FROM p GROU
 SELECT o.id, says, row_number() OVER (ORDER BY place NULLS LAST, n) AS position FROM o LEFT JOIN w ON w.id = o.id""")
 def predictions_rewritten(spark, d):
     """Groups written, half of them again, read back, and put in the order of the samples."""
-    from pyspark.sql import Window
-
     at = files.scratch(spark, "predictions")
     rows = events(spark, d).select(F.concat(F.lit("i"), F.col("k") % 50).alias("id"), F.col("event_id").alias("ord"), F.concat(F.lit("g"), F.col("user_id") % 6).alias("g"))
     K.write_predictions(rows.withColumn("says", F.lit("old")), at, ["g"])
     K.write_predictions(rows.where("g in ('g0', 'g1', 'g2')").withColumn("says", F.lit("new")), at, ["g"])
     back = spark.read.schema("id string, ord long, says string, g string").json(at)
     wanted = spark.range(40).select(F.concat(F.lit("i"), "id").alias("id"), (49 - F.col("id")).alias("ord"))
-    place = K.canonical(back, wanted).withColumn("_p", F.monotonically_increasing_id())
-    return place.select("id", "says", F.row_number().over(Window.orderBy("_p")).cast("long").alias("position"))
+    return K.in_sample_order(back, wanted).select("id", "says", "position")
 
 
 def _split(spark, d):
@@ -441,8 +461,8 @@ FROM z CROSS JOIN (SELECT unnest([1, 2]) AS level) LEFT JOIN h ON h.take = z.tak
 def words_up_the_tree(spark, d):
     """What was said during steps and phases: the words of their segments, one after the other."""
     root, frames, _, line = _line(spark, d)
-    l0 = H.level0(line, frames, R.transcripts(spark, root))
-    l1 = H.model_level(l0, 1, _pairs, chunked=False)
+    l0 = files.materialise(H.level0(line, frames, R.transcripts(spark, root)), "l0")
+    l1 = files.materialise(H.model_level(l0, 1, _pairs, chunked=False), "l1")
     l2 = H.model_level(l1, 2, _pairs, chunked=False)
     pick = lambda t: t.select(F.col("level").cast("long").alias("level"), "take", "segment_id", F.array_join(F.transform("transcript", lambda x: x["text"]), "/").alias("heard"), F.size("transcript").cast("long").alias("n"))
     return pick(l1).unionByName(pick(l2))
@@ -469,6 +489,32 @@ def timelines_of_all_roles(spark, d):
     return line.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("take").alias("takes"), F.countDistinct("role").alias("roles"), F.sum(F.length(text)).alias("letters"))
 
 
+@query(SQL["grouped_by_a_model"].replace("FROM z GROUP BY take, role, ord // 2)", "FROM z WHERE take IN (SELECT take FROM fm GROUP BY take HAVING count(*) >= 9) GROUP BY take, role, ord // 2)"))
+def hierarchies_built(spark, d):
+    """From the recording folders to steps and phases in one call; of all roles, the people are held against SQL."""
+    made = H.build(spark, tree(spark, d), groupers=(_pairs, _pairs))
+    pick = lambda x: x.where(F.col("role").isin("head_surgeon", "nurse", "mps")).select(F.col("level").cast("long").alias("level"), "take", "segment_id", F.array_join("children", ",").alias("children"), "summary", *(F.col(c).cast("long").alias(c) for c in ("time_start", "time_end", "duration_s")))
+    return pick(made["l1"]).unionByName(pick(made["l2"]))
+
+
+_SAID = "regexp_replace({0}, 'is ([a-z]+) saw$', 'is \\1 bone saw')".format(_SAYS)
+_PHASES = _MEMORY.removeprefix(_FRAMES + ",\n").replace("PARTITION BY user_id ORDER BY ts, event_id", "PARTITION BY take, role, l2id ORDER BY tp")
+
+
+@query(f"""WITH {_SEG}, t AS (SELECT *, unnest(range(CAST(tp_start AS INT), CAST(tp_end AS INT) + 1)) AS tp, {_NAME} AS human, {_NAME} || ': ' || CASE WHEN state = '' THEN 'no active interactions' ELSE {_SAID} END AS says FROM z),
+f AS (SELECT take, role, human, tp, printf('%06d', tp) AS tp_id, printf('%s_L2_%03d', role, ord // 4) AS l2id, says AS l0, 'of ' || printf('%s_L0_%03d', role, ord // 2 * 2) AS l1, 'of ' || printf('%s_L1_%03d', role, ord // 4 * 2) AS l2 FROM t),
+{_PHASES}
+SELECT o.take || '/' || role || '/' || l2id || '/' || o.tp_id AS id, CASE o.take WHEN '900_PKA' THEN 'train' WHEN '901_PKA' THEN 'val' ELSE 'test' END AS split, printf('colorimage/camera04_colorimage-%06d.jpg', fm.b) AS image,
+  '<image>' || chr(10) || 'Role: ' || human || chr(10) || CASE WHEN memory = '' THEN '' ELSE memory || chr(10) END || 'Describe the current activity hierarchy for this role.' AS asked, 'L0: ' || l0 || ' | L1: ' || l1 || ' | L2: ' || l2 AS answer
+FROM o JOIN fm ON fm.take = o.take AND fm.tp_id = o.tp_id WHERE fm.b % 5 <> 2""")
+def training_samples(spark, d):
+    """From hierarchies to samples in one call; a fifth of the frames lacks a view."""
+    _, frames, _, _ = _line(spark, d)
+    there = frames.select("take", F.explode(T.image_paths(F.col("azure").cast("long"), tuple(V.CAMERAS.values()))).alias("path"), F.col("azure").cast("long").alias("b")).where("b % 5 <> 2 or path not like '%camera03%'")
+    made = B.build_samples(_tables(spark, d), frames, there, splits={"900_PKA": "train", "901_PKA": "val"}, default="test")
+    return made.select("id", "split", F.col("image")[3].alias("image"), F.col("conversations")[0]["value"].alias("asked"), F.col("conversations")[1]["value"].alias("answer"))
+
+
 @query(f"""WITH {_SEG}, k AS (SELECT take, role, max(raw) AS raw, max(run) AS run FROM sg GROUP BY take, role), q AS (SELECT take, sum(raw) AS raw, sum(run) AS run FROM k GROUP BY take),
 m AS (SELECT take, count(DISTINCT role) AS roles, count(*) AS n0, sum((ord % 2 = 0)::INT) AS n1, sum((ord % 4 = 0)::INT) AS n2 FROM z GROUP BY take),
 p AS (SELECT take, min(tp_id) AS a, max(tp_id) AS b, count(DISTINCT tp_id) AS n FROM {_LABELS} GROUP BY take)

@@ -125,13 +125,13 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
 def predictions(spark: SparkSession, path: str) -> DataFrame:
     """Prediction lines so far: none if there is no file, broken lines skipped, the last line of an id counts."""
     try:
-        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_n"))
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_n"))
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], PREDICTION)
         raise
-    rows = lines.select("_f", "_n", F.from_json("value", PREDICTION, {"mode": "PERMISSIVE"}).alias("p")).where(F.coalesce(F.col("p.id"), F.lit("")) != "")
-    return rows.groupBy("p.id").agg(F.max_by("p", F.struct("_f", "_n")).alias("p")).select("p.*")
+    rows = lines.select("_f", "_b", "_n", F.from_json("value", PREDICTION, {"mode": "PERMISSIVE"}).alias("p")).where(F.coalesce(F.col("p.id"), F.lit("")) != "")
+    return rows.groupBy("p.id").agg(F.max_by("p", F.struct("_f", "_b", "_n")).alias("p")).select("p.*")
 
 
 def hierarchies(spark: SparkSession, pattern: str) -> dict[str, DataFrame]:

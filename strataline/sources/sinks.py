@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import image_paths, strip_image_tokens, strip_memory
 from ..functions.vocab import CAMERAS, TAKE_SPLITS
+from ..operators.ordered import rank_all
 from .files import write_files
 from .snapshots import Snapshots
 
@@ -28,7 +29,10 @@ def hierarchy_documents(l0: DataFrame, l1: DataFrame, l2: DataFrame, metadata: D
         return t.groupBy("take", "role").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("ord")).alias(name))
 
     roles = packed(l0, "level0_segments").join(packed(l1, "level1_segments"), ["take", "role"], "left").join(packed(l2, "level2_segments"), ["take", "role"], "left")
-    n = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    # a level that could not be grouped is empty
+    for c in ("level1_segments", "level2_segments"):
+        roles = roles.withColumn(c, F.coalesce(c, F.array().cast(roles.schema[c].dataType)))
+    n = lambda c: F.size(c)
     body = F.struct("level0_segments", n("level0_segments").alias("num_segments"), "level1_segments", n("level1_segments").alias("num_level1_segments"), "level2_segments", n("level2_segments").alias("num_level2_segments"))
     entry = F.struct("role", body.alias("body"))
     docs = roles.groupBy("take").agg(F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["role"] < b["role"], -1).otherwise(1))).alias("roles"))
@@ -132,6 +136,14 @@ def canonical(predictions: DataFrame, samples: DataFrame) -> DataFrame:
     return one.join(place, "id", "left").orderBy(F.col("_place").asc_nulls_last(), "ord").drop("_place")
 
 
+def in_sample_order(predictions: DataFrame, samples: DataFrame) -> DataFrame:
+    """The rows of `canonical` with their place in that order as `position`, from 1; no task sees them all."""
+    one = predictions.groupBy("id").agg(F.max_by(F.struct(*predictions.columns), "ord").alias("_p")).select("_p.*")
+    place = samples.groupBy("id").agg(F.min("ord").alias("_place"))
+    met = one.join(place, "id", "left").withColumn("_late", F.col("_place").isNull())
+    return rank_all(met, ["_late", "_place", "ord", "id"], "position").withColumn("position", F.col("position") + 1).drop("_place", "_late")
+
+
 def write_baselines(baselines: dict[str, DataFrame], path: str) -> None:
     """<path>/<name>: the rows of each baseline as JSON lines."""
     for name, rows in baselines.items():

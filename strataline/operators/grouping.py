@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -140,11 +140,66 @@ def token_similarity(a: str, b: str) -> float:
     return float((x.mul(y, fill_value=0)).sum() / ((x**2).sum() * (y**2).sum()) ** 0.5)
 
 
+def _cosine(a: Column, b: Column) -> Column:
+    """Cosine of the counts of two arrays of tokens; 0 if either is empty."""
+    times = lambda x, t: F.size(F.filter(x, lambda y: y == t))
+    dot = lambda x, y: F.aggregate(F.array_distinct(x), F.lit(0.0), lambda s, t: s + times(x, t) * times(y, t))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))).otherwise(0.0)
+
+
+_STEP = "struct<segment_ids:array<string>,time_start:int,time_end:int,summary:string,audio_summary:string,tokens:array<string>>"
+
+
+def _fold_by_tokens(steps: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """`fold_idle` with token_similarity as one fold over the ordered steps of each key, without Python.
+
+    Its state is the steps that are done, the last one, a first idle step that waits for the one after it, and whether the next
+    step belongs to the last. What a step says is that of its anchor, so tokens are made once.
+    """
+    tokens = F.filter(F.split(F.lower(F.coalesce("summary", F.lit(""))), r"(?U)\s+"), lambda t: t != "")
+    item = F.struct("ord", F.struct("segment_ids", F.col("time_start").cast("int").alias("time_start"), F.col("time_end").cast("int").alias("time_end"), "summary", "audio_summary", tokens.alias("tokens")).cast(_STEP).alias("step"))
+    rows = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_s"), F.flatten(F.collect_list("idle_ids")).alias("_idle"))
+    alone = lambda x: (F.size(x["step"]["segment_ids"]) == 1) & F.array_contains("_idle", x["step"]["segment_ids"][0])
+    rows = rows.withColumn("_s", F.transform("_s", lambda x, i: F.struct(x["step"].alias("step"), F.coalesce(alone(x), F.lit(False)).alias("alone"), F.get("_s", i + 1)["step"].alias("next"))))
+
+    def joined(x: Column, y: Column, anchor: Column) -> Column:
+        heard = F.filter(F.array(x["audio_summary"], y["audio_summary"]), lambda t: F.coalesce(t, F.lit("")) != "")
+        said = F.when(F.size(heard) > 0, F.array_join(heard, "; ")).otherwise(F.coalesce(anchor["audio_summary"], F.lit("")))
+        return F.struct(F.concat(x["segment_ids"], y["segment_ids"]).alias("segment_ids"), x["time_start"].alias("time_start"), y["time_end"].alias("time_end"), F.coalesce(anchor["summary"], F.lit("")).alias("summary"), said.alias("audio_summary"), anchor["tokens"].alias("tokens"))
+
+    none = F.lit(None).cast(_STEP)
+
+    def state(done: Column, last: Column, waits: Column, eats: Column) -> Column:
+        return F.struct(done.alias("done"), last.alias("last"), waits.alias("waits"), eats.alias("eats"))
+
+    def step(s: Column, x: Column) -> Column:
+        waited, first, more = s["waits"].isNotNull(), s["last"].isNull(), x["next"].isNotNull()
+        own = F.when(waited, joined(s["waits"], x["step"], x["step"])).otherwise(x["step"])
+        idle = x["alone"] & ~waited
+        longer = joined(s["last"], own, s["last"])
+        done = F.when(first, s["done"]).otherwise(F.concat(s["done"], F.array(s["last"])))
+        alike = more & (_cosine(s["last"]["tokens"], x["next"]["tokens"]) >= threshold)
+        return (
+            F.when(s["eats"], state(s["done"], longer, none, F.lit(False)))
+            .when(~idle | (first & ~more), state(done, own, none, F.lit(False)))
+            .when(first, state(s["done"], none, own, F.lit(False)))
+            .otherwise(state(s["done"], longer, none, alike))
+        )
+
+    start = state(F.array().cast(f"array<{_STEP}>"), none, none, F.lit(False))
+    folded = F.aggregate("_s", start, step, lambda s: F.concat(s["done"], F.array(s["last"])))
+    out = rows.select(*keys, F.posexplode(folded).alias("ord", "s"))
+    return out.select(*keys, "ord", *(F.col(f"s.{c}").alias(c) for c in ("segment_ids", "time_start", "time_end", "summary", "audio_summary")))
+
+
 def fold_idle_steps(steps: DataFrame, keys: list[str], similarity=token_similarity, threshold: float = IDLE_SIMILARITY) -> DataFrame:
     """Steps per key with idle ones folded and numbered anew.
 
     steps: keys, ord, segment_ids array<string>, idle_ids array<string>, time_start, time_end int, summary, audio_summary.
+    similarity: of two texts; Python runs only where one is plugged in.
     """
+    if similarity is token_similarity:
+        return _fold_by_tokens(steps, keys, threshold)
     ship_package(steps.sparkSession)
     schema = ", ".join(f"`{k}` {steps.schema[k].dataType.simpleString()}" for k in keys) + ", ord int, segment_ids array<string>, time_start int, time_end int, summary string, audio_summary string"
 

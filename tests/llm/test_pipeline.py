@@ -46,6 +46,6 @@ def test_odd_and_empty_tables(spark, tmp_path):
 
 
 def test_catalog_is_whole():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries()) == list(range(1, 11))
-    assert set(catalog.oracle_sql()) == {"op2_substring_dedup", "op7_warc", "op8_url_filter", "op10_quality"}
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries()) == list(range(1, 14))
+    assert set(catalog.oracle_sql()) == {"op2_substring_dedup", "op7_warc", "op8_url_filter", "op10_quality", "op11_prefix_trie", "op12_structure_repair"}
     assert len(corpus_pipeline.STAGES) == 5

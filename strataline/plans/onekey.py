@@ -82,8 +82,7 @@ SELECT t.event_id, count(*) AS n, min(u.event_id) AS first_id, sum(least(t.b, u.
 def overlaps_of_all_lengths(spark, d):
     rows = _spans(spark, d)
     other = rows.where("event_id % 3 = 1").select("g", F.col("event_id").alias("other"), F.col("a").alias("c"), F.col("b").alias("d"))
-    pairs = J.overlapping(rows.where("event_id % 3 = 0"), other, ["g"], ("a", "b"), ("c", "d"))
-    return pairs.groupBy("event_id").agg(F.count("*").alias("n"), F.min("other").alias("first_id"), F.sum(F.least("b", "d") - F.greatest("a", "c")).alias("shared"))
+    return J.overlap_summary(rows.where("event_id % 3 = 0"), other, ["g"], ("a", "b"), ("c", "d"), "event_id", "other").select("event_id", "n", F.col("first").alias("first_id"), "shared")
 
 
 @query(f"""WITH {E}, {_SPANS}, p AS (SELECT event_id, user_id % 5 AS g, sec FROM e WHERE event_type = 'click')

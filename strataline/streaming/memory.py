@@ -1,9 +1,11 @@
 """Temporal memory of a stream: what each frame is told of the frames before it, as they arrive.
 
 Frames wait in the state of their group until the watermark has passed them, so order of arrival does not matter within the
-delay; then they are taken in order. The state of a group is the frames that wait (map state), its last changes (list state),
-the keys it has shown in first-seen order (map state), and its last frame with the timer that is set (value state). One timer
-per group stands at its latest waiting frame; frames that the watermark has passed also leave when the group's next rows come.
+delay; then they are taken in order. The state of a group is the frames that wait (list state, packed by some thousand frames)
+and one value: its last frame, the timer that is set, the earliest frame that waits, its last changes and the keys it has shown
+in first-seen order. A call of a group thus costs a few messages between Python and the store, whatever the number of frames.
+One timer per group stands at its latest waiting frame; frames that the watermark has passed also leave when the group's next
+rows come.
 """
 
 from __future__ import annotations
@@ -11,8 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,6 +23,10 @@ from ..sources.files import scratch
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _OUT = "key string, id long, short_term array<string>, long_term array<string>"
+#: Frames in one entry of the list of those that wait.
+_PACK = 2000
+#: Later than any frame.
+_NEVER = (1 << 63) - 1
 
 
 class MemoryProcessor(StatefulProcessor):
@@ -32,56 +37,56 @@ class MemoryProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, id long", "l0 string, l1 string")
-        self.log = handle.getListState("log", "sign string, key string")
-        self.seen = handle.getMapState("seen", "key string", "n long")
-        self.last = handle.getValueState("last", "some boolean, l0 string, l1 string, timer long")
-
-    def _last(self) -> tuple:
-        return tuple(self.last.get()) if self.last.exists() else (False, "", "", -1)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        latest = -1
-        for part in rows:
-            for at, i, l0, l1 in zip(part["at"].tolist(), part["id"].tolist(), part["l0"], part["l1"], strict=True):
-                self.waiting.updateValue((at, i), (l0, l1))
-                latest = max(latest, -(-at // 1000))  # timers go by milliseconds
-        some, l0, l1, timer = self._last()
-        if latest > timer:
-            if timer >= 0:
-                self.handle.deleteTimer(timer)
+        self.waiting = handle.getListState("waiting", "at array<long>, id array<long>, l0 array<string>, l1 array<string>")
+        self.known = handle.getValueState("known", "some boolean, l0 string, l1 string, timer long, earliest long, signs array<string>, changed array<string>, seen array<string>")
+
+    def _known(self) -> list:
+        return list(self.known.get() or (False, "", "", -1, _NEVER, [], [], []))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known, new = self._known(), [(r["at"], r["id"], r["l0"], r["l1"]) for r in rows]
+        latest = max((-(-x[0] // 1000) for x in new), default=-1)  # timers go by milliseconds
+        if latest > known[3]:
+            if known[3] >= 0:
+                self.handle.deleteTimer(known[3])
             self.handle.registerTimer(latest)
-            self.last.update((some, l0, l1, latest))
-        yield self._taken(key, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        upto = expiredTimerInfo.getExpiryTimeInMs()
-        some, l0, l1, timer = self._last()
-        if timer <= upto:
-            self.last.update((some, l0, l1, -1))
-        yield self._taken(key, upto)
-
-    def _taken(self, key, upto: int) -> pd.DataFrame:
-        """The memory of the waiting frames up to a time, which then count as seen."""
-        ready = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator() if k[0] <= 1000 * upto)
-        out = []
-        if ready:
-            some, l0, l1, timer = self._last()
-            builder = MemoryBuilder(self.short_term)
-            builder.log = [tuple(x) for x in self.log.get()]
-            builder.seen = dict.fromkeys(k for _, k in sorted((v[0], k[0]) for k, v in self.seen.iterator()))
-            builder.last = (l0, l1) if some else None
-            known = len(builder.seen)
-            for at, (l0, l1) in ready:
-                long_term, short_term = builder.before()
-                out.append((key[0], at[1], short_term, long_term))
-                builder.record(l0, l1)
-                self.waiting.removeKey(at)
-            self.log.put(builder.log[-self.short_term :] or [])
-            for n, k in list(enumerate(builder.seen))[known:]:
-                self.seen.updateValue((k,), (n,))
-            self.last.update((True, *builder.last, timer))
-        return pd.DataFrame(out, columns=["key", "id", "short_term", "long_term"])
+            known[3] = latest
+        yield from self._taken(key, known, new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        upto, known = expiredTimerInfo.getExpiryTimeInMs(), self._known()
+        if known[3] <= upto:
+            known[3] = -1
+        yield from self._taken(key, known, [], upto)
+
+    def _wait(self, frames: list[tuple], write) -> None:
+        write([tuple(map(list, zip(*frames[i : i + _PACK], strict=True))) for i in range(0, len(frames), _PACK)])
+
+    def _taken(self, key, known: list, new: list[tuple], upto: int) -> Iterator[Row]:
+        """The memory of the waiting frames up to a time, which then count as seen; the others wait on."""
+        some, l0, l1, timer, earliest, signs, changed, seen = known
+        first = min((x[0] for x in new), default=_NEVER)
+        if min(earliest, first) > 1000 * upto:
+            if new:
+                self._wait(new, self.waiting.appendList)
+            self.known.update((some, l0, l1, timer, min(earliest, first), signs, changed, seen))
+            return
+        old = self.waiting.get() if earliest < _NEVER else ()
+        # a frame that came twice counts once, as it came last
+        frames = {x[:2]: x[2:] for x in [*(x for pack in old for x in zip(*pack, strict=True)), *new]}
+        late = [(*at, *said) for at, said in frames.items() if at[0] > 1000 * upto]
+        builder = MemoryBuilder(self.short_term)
+        builder.log, builder.seen, builder.last = list(zip(signs, changed, strict=True)), dict.fromkeys(seen), (l0, l1) if some else None
+        for at in sorted(at for at in frames if at[0] <= 1000 * upto):
+            long_term, short_term = builder.before()
+            yield Row(key=key[0], id=at[1], short_term=short_term, long_term=long_term)
+            builder.record(*frames[at])
+            builder.log = builder.log[-self.short_term :]
+        if late:
+            self._wait(late, self.waiting.put)
+        elif earliest < _NEVER:
+            self.waiting.clear()
+        self.known.update((True, *builder.last, timer, min((x[0] for x in late), default=_NEVER), [s for s, _ in builder.log], [k for _, k in builder.log], list(builder.seen)))
 
     def close(self) -> None:
         pass
@@ -95,7 +100,7 @@ def stream_memory(frames: DataFrame, delay: str = "10 minutes", short_term: int
     """
     ship_package(frames.sparkSession)
     rows = frames.select("key", "ts", F.unix_micros("ts").alias("at"), "id", F.coalesce("l0", F.lit("")).alias("l0"), F.coalesce("l1", F.lit("")).alias("l1"))
-    return rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(MemoryProcessor(short_term), _OUT, "append", "EventTime")
+    return rows.withWatermark("ts", delay).groupBy("key").transformWithState(MemoryProcessor(short_term), _OUT, "append", "EventTime")
 
 
 @contextmanager

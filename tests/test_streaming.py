@@ -47,3 +47,58 @@ def test_memory_of_a_stream_equals_batch(spark):
         stream.run()
     got = stream.rows().where("key <> 'end'").collect()
     assert len(got) == len(rows) and {r.id: (r.short_term, r.long_term) for r in got} == want
+
+
+def test_messages_to_the_store_do_not_grow_with_frames():
+    """A group's call sends a few messages, however many frames wait; two calls and a timer give the memory frame by frame."""
+    from types import SimpleNamespace as Box
+
+    from strataline.operators.memory import MemoryBuilder
+    from strataline.streaming.memory import MemoryProcessor
+
+    sent = []
+
+    class Store:
+        def __init__(self):
+            self.value = None
+
+        def get(self):
+            sent.append("get")
+            return self.value if not isinstance(self.value, list) else iter(self.value)
+
+        def put(self, value):
+            sent.append("put")
+            self.value = value
+
+        update = put
+
+        def appendList(self, value):  # noqa: N802
+            sent.append("append")
+            self.value = [*(self.value or []), *value]
+
+        def clear(self):
+            sent.append("clear")
+            self.value = None
+
+    timers = set()
+    handle = Box(getListState=lambda *a: Store(), getValueState=lambda *a: Store(), registerTimer=timers.add, deleteTimer=timers.remove)
+    p = MemoryProcessor(3)
+    p.init(handle)
+    rng = random.Random(4)
+    rows = [{"at": 1000 * t, "id": t % 7, "l0": rng.choice("ab"), "l1": rng.choice(["", "p"])} for t in range(5000)]
+    mixed = rng.sample(rows, len(rows))
+    at = lambda ms: Box(getCurrentWatermarkInMs=lambda: ms)
+    assert not list(p.handleInputRows(("k",), iter(mixed[:2500]), at(-1)))
+    early = {r["at"] for r in mixed[:2500] if r["at"] <= 1_000_000}
+    rest = [r for r in mixed[2500:] if r["at"] > 1_000_000]
+    out = list(p.handleInputRows(("k",), iter(rest), at(1000)))
+    assert timers == {max(r["at"] for r in mixed[:2500] + rest) // 1000} and len(out) == len(early)
+    out += p.handleExpiredTimer(("k",), None, Box(getExpiryTimeInMs=lambda: max(timers)))
+    builder, want = MemoryBuilder(3), []
+    for r in rows:
+        if r["at"] in early or r["at"] > 1_000_000:
+            long_term, short_term = builder.before()
+            want.append((r["id"], short_term, long_term))
+            builder.record(r["l0"], r["l1"])
+    assert [(r.id, r.short_term, r.long_term) for r in out] == want
+    assert len(sent) <= 15, sent

@@ -57,7 +57,9 @@ def recorded(spark, d):
 
     ev = events(spark, d)
     rows = ev.select("event_id", "user_id", "value", "event_type", "k", "sec", F.format_string("9%02d_PKA", F.col("user_id") % 7).alias("take"), F.floor(F.col("hour") / 6).alias("b"), _pick(_SUBJECTS, F.col("user_id")).alias("subj"), V.lookup(F.col("event_type"), _PREDICATES).alias("pred"), _pick(_OBJECTS, F.col("event_id")).alias("obj"))
-    return rows.withColumn("tp_id", F.format_string("%06d", F.dense_rank().over(Window.partitionBy("take").orderBy("b")) - 1))
+    # the time points of a recording are few, its events are not: places are found among those
+    points = rows.select("take", "b").distinct().withColumn("tp_id", F.format_string("%06d", F.row_number().over(Window.partitionBy("take").orderBy("b")) - 1))
+    return rows.join(points, ["take", "b"])
 
 
 def tree(spark, d) -> str:
@@ -424,9 +426,11 @@ def _tables(spark, d):
     key = (spark.sparkContext.applicationId, d, "tables")
     if key in _ROOTS:
         return {n: spark.read.parquet(f"{_ROOTS[key]}/{n}") for n in ("l0", "l1", "l2", "metadata", "analysis")}
-    root, frames, labels, line = _line(spark, d)
+    root, frames, labels, _ = _line(spark, d)
+    frames = files.materialise(frames, "frames")
+    labels = files.materialise(labels, "labels")  # label files are read once
+    line = files.materialise(S.role_timeline(labels.select("take", "tp_id", F.inline("triplets"))), "line")
     l0 = H.level0(line, frames)
-
     l1 = H.model_level(l0, 1, _pairs, chunked=False)
     tables = {"l0": l0, "l1": l1, "l2": H.model_level(l1, 2, _pairs, chunked=False)}
     at = files.scratch(spark, "tables")

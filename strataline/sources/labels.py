@@ -1,6 +1,7 @@
 """A data source of label files that opens only those that matter.
 
-A recording's label files are planned from listings: a partition is a slice of one recording. Filters on recording and time
+A recording's label files are planned from listings: a partition is a slice of one recording, and few recordings are cut into
+as many slices as there are tasks at a time. Files are handed on by number and size, however large they are. Filters on recording and time
 point are matched against names, and a file to which no entry of the recording's frame map belongs is told of (`mapped` is
 false) but not opened; a file that cannot be read only matters if it is read.
 """
@@ -18,8 +19,9 @@ from ..session import ship_package
 from . import files
 
 NAME = "recording_labels"
-#: Files whose contents are handed on at once.
+#: Files whose contents are handed on at once, and their characters from which fewer are.
 _BATCH = 500
+_LETTERS = 4 << 20
 
 
 def _test(f: D.Filter):
@@ -42,14 +44,14 @@ def _test(f: D.Filter):
 
 
 class LabelPartition(D.InputPartition):
-    def __init__(self, take: str, part: int):
+    def __init__(self, take: str, part: int, of: int):
         super().__init__((take, part))
-        self.take, self.part = take, part
+        self.take, self.part, self.of = take, part, of
 
 
 class LabelReader(D.DataSourceReader):
     def __init__(self, options):
-        self.root, self.slices = options["path"].rstrip("/"), int(options.get("slices", "1"))
+        self.root, self.slices, self.tasks = options["path"].rstrip("/"), int(options.get("slices", "0")), int(options.get("tasks", "1"))
         self.tests: dict[str, list] = {"take": [], "tp_id": []}
 
     def partitions(self):
@@ -57,7 +59,9 @@ class LabelReader(D.DataSourceReader):
 
         at, top = files.store(self.root)
         names = sorted(x.base_name for x in at.get_file_info(FileSelector(top)) if x.type == FileType.Directory)
-        return [LabelPartition(n, i) for n in names if all(t(n) for t in self.tests["take"]) for i in range(self.slices)]
+        names = [n for n in names if all(t(n) for t in self.tests["take"])]
+        slices = self.slices or -(-self.tasks // max(len(names), 1))
+        return [LabelPartition(n, i, slices) for n in names for i in range(slices)]
 
     def read(self, partition: LabelPartition) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSelector
@@ -65,20 +69,21 @@ class LabelReader(D.DataSourceReader):
         at, top = files.store(self.root)
         top = f"{top}/{partition.take}"
         names = sorted(x.base_name[:-5] for x in at.get_file_info(FileSelector(f"{top}/relation_labels", allow_not_found=True)) if x.base_name.endswith(".json"))
-        mine = [n for n in names[partition.part :: self.slices] if all(t(n) for t in self.tests["tp_id"])]
+        mine = [n for n in names[partition.part :: partition.of] if all(t(n) for t in self.tests["tp_id"])]
         if not mine:
             return
         try:
             frames = len(json.loads(files.read_text(at, f"{top}/timestamp_to_pcd_and_frames_list.json") or "[]"))
         except ValueError:
             frames = 0
-        rows = []
+        rows, letters = [], 0
         for name in mine:
             mapped = name.isascii() and name.isdigit() and len(name) == max(6, len(str(int(name)))) and int(name) < frames
             rows.append((partition.take, name, mapped, files.read_text(at, f"{top}/relation_labels/{name}.json") if mapped else None))
-            if len(rows) == _BATCH:
+            letters += len(rows[-1][3] or "")
+            if len(rows) == _BATCH or letters >= _LETTERS:
                 yield _batch(rows)
-                rows = []
+                rows, letters = [], 0
         if rows:
             yield _batch(rows)
 
@@ -101,7 +106,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class LabelSource(D.DataSource):
-    """take, tp_id, mapped, value of the label files below `path`; slices: partitions of a recording; push: are filters pushed."""
+    """take, tp_id, mapped, value of the label files below `path`; slices: partitions of a recording (0: as many as give
+    `tasks` partitions in all); push: are filters pushed."""
 
     @classmethod
     def name(cls) -> str:
@@ -123,10 +129,10 @@ def reachable(root: str) -> bool:
     return True
 
 
-def label_files(spark: SparkSession, root: str, slices: int = 1) -> DataFrame:
-    """take, tp_id, mapped and value of label files. Filters on take and tp_id are pushed if the session allows it now and when
+def label_files(spark: SparkSession, root: str, slices: int | None = None) -> DataFrame:
+    """take, tp_id, mapped and value of label files. slices: partitions of a recording, by default enough for all tasks. Filters on take and tp_id are pushed if the session allows it now and when
     the rows are read (`spark.sql.python.filterPushdown.enabled`)."""
     ship_package(spark)
     spark.dataSource.register(LabelSource)
     push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    return spark.read.format(NAME).option("slices", str(slices)).option("push", push).load(root)
+    return spark.read.format(NAME).option("slices", str(slices or 0)).option("tasks", str(spark.sparkContext.defaultParallelism)).option("push", push).load(root)

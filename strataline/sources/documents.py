@@ -67,4 +67,5 @@ def write_documents(rows: DataFrame, target: str) -> None:
     spark.dataSource.register(DocumentSource)
     at, top = files.store(f"{target.rstrip('/')}.staging")
     at.create_dir(top, recursive=True)
-    rows.select("path", "value").write.format(NAME).mode("append").save(target)
+    with files.small_batches(spark):
+        rows.select("path", "value").write.format(NAME).mode("append").save(target)

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
 
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts of files that a worker holds at once.
+_TEXTS = 8
+
 
 def shared_root(spark: SparkSession) -> str:
     """`spark.checkpoint.dir` of the session; on one machine, where it names none, a default of our own."""
@@ -58,21 +63,33 @@ def read_text(at, path: str) -> str | None:
         return None
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = _TEXTS):
+    """Actions within hand a worker few rows at a time: for rows that may be large."""
+    before = spark.conf.get(_RECORDS, None)
+    spark.conf.set(_RECORDS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_RECORDS) if before is None else spark.conf.set(_RECORDS, before)
+
+
 def write_files(rows: DataFrame, root: str) -> int:
     """Write each row (path, value) as the text file root/path, under a temporary name first; returns how many there are.
 
-    Executors write, so a value must fit one of them; a repeated task ends in the same files.
+    Executors write, so a value must fit one of them; a worker holds a few. A repeated task ends in the same files.
     """
     ship_package(rows.sparkSession)
 
     def run(batches):
         at, top = store(root)
         for b in batches:
-            for path, value in zip(b.column("path").to_pylist(), b.column("value").to_pylist(), strict=True):
-                write_text(at, f"{top}/{path}", value or "")
+            for path, value in zip(b.column("path"), b.column("value"), strict=True):  # a text at a time as Python's
+                write_text(at, f"{top}/{path.as_py()}", value.as_py() or "")
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
-    return rows.select("path", "value").mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0
+    with small_batches(rows.sparkSession):
+        return rows.select("path", "value").mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0
 
 
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -141,3 +141,35 @@ def test_history_starts_anew_after_a_broken_entry(spark):
     assert store.history().count() == 0 and store.read().count() == 1
     store.overwrite(spark.range(2), {"did": "again"})
     assert [json.loads(r.entry)["did"] for r in store.history().collect()] == ["again"] and store.read().count() == 2
+
+
+def test_large_label_files_are_handed_on_one_by_one(spark, tmp_path, monkeypatch):
+    """A worker holds some files at a time by their size, and few recordings are cut into as many slices as there are tasks."""
+    from strataline.sources import labels
+
+    root = tmp_path / "r"
+    (root / "001_PKA/relation_labels").mkdir(parents=True)
+    (root / "001_PKA/timestamp_to_pcd_and_frames_list.json").write_text(str([["x", {}]] * 9).replace("'", '"'))
+    for i in range(9):
+        (root / f"001_PKA/relation_labels/{i:06d}.json").write_text(f"{i}" * 60)
+    monkeypatch.setattr(labels, "_LETTERS", 100)
+    reader = labels.LabelReader({"path": str(root), "tasks": "4"})
+    parts = reader.partitions()
+    assert [(p.take, p.part, p.of) for p in parts] == [("001_PKA", i, 4) for i in range(4)]
+    batches = [b for p in parts for b in reader.read(p)]
+    assert max(b.num_rows for b in batches) == 2
+    assert sorted(v for b in batches for v in b.column("value").to_pylist()) == [f"{i}" * 60 for i in range(9)]
+
+
+def test_a_worker_holds_few_texts_of_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strataline.sources import files
+
+    before = spark.conf.get(files._RECORDS, None)
+    with files.small_batches(spark):
+        rows = spark.range(100).coalesce(1).mapInArrow(lambda bs: (b.slice(0, 1) for b in bs), "id long")
+        seen = rows.count()
+    assert seen == -(-100 // files._TEXTS) and spark.conf.get(files._RECORDS, None) == before
+    rows = spark.range(30).select(F.format_string("f%02d.txt", "id").alias("path"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("value"))
+    assert files.write_files(rows, str(tmp_path)) == 30 and (tmp_path / "f29.txt").read_text() == "x" * 29
